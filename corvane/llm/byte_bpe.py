@@ -145,7 +145,7 @@ class BytePairCodec:
                 self._matrix(words, rows[i : i + step], high, sizes, out)
             low = high
         for i in np.flatnonzero(sizes > BUCKETS[-1]):
-            out[i] = self._long(words[i])
+            out[i] = self.merge_word(words[i])
         return out
 
     def _matrix(self, words: list[bytes], rows: np.ndarray, width: int, sizes: np.ndarray, out: list[bytes]) -> None:
@@ -182,7 +182,7 @@ class BytePairCodec:
                 k = np.flatnonzero(ok)
                 ranks[k, begin[k]] = self.pairs.find(ids[k, begin[k]], ids[k, begin[k] + 1])
 
-    def _long(self, word: bytes) -> bytes:
+    def merge_word(self, word: bytes) -> bytes:
         """The same merges, in the same order, for one word of any length: pairs wait in a heap by rank and place."""
         n = len(word)
         ids = self.byte_ids[np.frombuffer(word, np.uint8)].tolist()

@@ -22,6 +22,9 @@ CONTEXT = 3
 #: Entries that a worker's cache of pre-token counts holds at most.
 CACHE = 600_000
 
+#: Fewer pre-tokens than this, as one edit brings, are encoded one by one instead of in matrices.
+FEW = 200
+
 EDIT = "array<struct<start:int,stop:int,replacement:string>>"
 
 
@@ -40,7 +43,8 @@ class Counter:
             if len(known) + len(missing) > CACHE:
                 known.clear()
                 missing = [*set(pieces)]
-            known.update((p, len(x) // 4) for p, x in zip(missing, self.coder.merge_rows([p.encode() for p in missing]), strict=True))
+            words = [p.encode() for p in missing]
+            known.update((p, len(x) // 4) for p, x in zip(missing, map(self.coder.merge_word, words) if len(words) < FEW else self.coder.merge_rows(words), strict=True))
         return [known[p] for p in pieces]
 
 

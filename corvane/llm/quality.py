@@ -12,6 +12,7 @@ from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -153,8 +154,6 @@ def fit(labelled: DataFrame, features: str = "features", label: str = "label", *
 
 def score(df: DataFrame, model: Discriminant, features: str = "features", out: str = "score", keep: list[str] | None = None) -> DataFrame:
     """``df`` with ``out``, the probability of label 1 for each feature vector. No shuffle."""
-    import pandas as pd
-
     @F.pandas_udf("double")
     def scored(x: pd.Series) -> pd.Series:
         return pd.Series(model.scores(np.stack(x.to_numpy())) if len(x) else np.zeros(0))

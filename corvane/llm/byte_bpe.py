@@ -25,9 +25,9 @@ from corvane.llm.common import with_arrow
 #: Upper bounds in bytes of the length buckets; pre-tokens beyond the last are merged one by one with a heap.
 BUCKETS = (2, 4, 6, 8, 10, 12, 16, 20, 24, 32, 48, 64, 96, 128, 256, 512)
 #: Rows of a matrix at most, so that its memory is bounded.
-MATRIX_CELLS = 1 << 21
+MATRIX_CELLS = 1 << 18
 #: Entries that a worker's cache of encoded units holds at most; it starts anew beyond that.
-CACHE_UNITS = 600_000
+CACHE_UNITS = 250_000
 
 _NONE = np.int32(np.iinfo(np.int32).max)
 _EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -103,8 +103,21 @@ class PairTable:
         return out.reshape(keys.shape)
 
 
+@lru_cache(maxsize=4)
+def pieces(ranks_path: str) -> list[bytes]:
+    """Bytes of each id of a file of ``base64 rank`` lines; an id that the file leaves out stands for none."""
+    with open(ranks_path, "rb") as f:
+        found = {int(b): base64.b64decode(a) for a, b in (line.split() for line in f if line.strip())}
+    return [found.get(i, b"") for i in range(max(found) + 1)]
+
+
+def decode_packed(packed: bytes | None, table: list[bytes]) -> bytes:
+    """Bytes of packed ids; null counts as no ids. An id outside the vocabulary raises IndexError."""
+    return b"".join(map(table.__getitem__, np.frombuffer(packed or b"", "<u4").tolist()))
+
+
 class BytePairCodec:
-    """Encoder and decoder for a file of ``base64 rank`` lines and a pre-token pattern (syntax of the regex library).
+    """Encoder for a file of ``base64 rank`` lines and a pre-token pattern (syntax of the regex library).
 
     ``split_units``: the pattern takes letters with one optional space before them as a token and never matches across the
     boundaries of ``units()``, which lets repeated words be encoded once; set it to False for a pattern that differs.
@@ -113,14 +126,10 @@ class BytePairCodec:
     def __init__(self, ranks_path: str, pattern: str, split_units: bool = True) -> None:
         import regex
 
-        with open(ranks_path, "rb") as f:
-            self.ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
+        self.pieces = pieces(ranks_path)
+        self.ranks = {piece: rank for rank, piece in enumerate(self.pieces) if piece}
         self.pattern = regex.compile(pattern)
         self.split_units = split_units
-        size = max(self.ranks.values()) + 1
-        self.pieces: list[bytes] = [b""] * size
-        for piece, rank in self.ranks.items():
-            self.pieces[rank] = piece
         self.byte_ids = np.array([self.ranks[bytes([b])] for b in range(256)], np.int32)
         left, right, merged = [], [], []
         for piece, rank in self.ranks.items():
@@ -237,10 +246,6 @@ class BytePairCodec:
     def encode(self, text: str | None) -> list[int]:
         return np.frombuffer(self.encode_packed([text])[0], "<u4").tolist()
 
-    def decode_packed(self, packed: bytes | None) -> bytes:
-        """Bytes of packed ids; null counts as empty. An id outside the vocabulary raises IndexError."""
-        return b"".join(map(self.pieces.__getitem__, np.frombuffer(packed or b"", "<u4").tolist()))
-
 
 @lru_cache(maxsize=4)
 def codec(ranks_path: str, pattern: str, split_units: bool = True) -> BytePairCodec:
@@ -266,11 +271,12 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text", i
     return with_arrow(docs, kernel, f"`{ids}` {'binary' if packed else 'array<int>'}", text, keep)
 
 
-def decode(df: DataFrame, ranks_path: str, pattern: str, ids: str = "token_ids", out: str = "decoded", keep: list[str] | None = None) -> DataFrame:
-    """``df`` with ``out``: the bytes that packed ``ids`` stand for. Null counts as no ids and decodes to no bytes."""
+def decode(df: DataFrame, ranks_path: str, ids: str = "token_ids", out: str = "decoded", keep: list[str] | None = None) -> DataFrame:
+    """``df`` with ``out``: the bytes that packed ``ids`` stand for. Null counts as no ids and decodes to no bytes; rows and
+    other columns stay, an input column named ``out`` gives way. No shuffle."""
 
     def kernel(part: pa.RecordBatch) -> dict[str, pa.Array]:
-        c = codec(ranks_path, pattern)
-        return {out: pa.array([c.decode_packed(x) for x in part.column(ids).to_pylist()], pa.binary())}
+        table = pieces(ranks_path)
+        return {out: pa.array([decode_packed(x, table) for x in part.column(ids).to_pylist()], pa.binary())}
 
     return with_arrow(df, kernel, f"`{out}` binary", ids, keep)

@@ -20,7 +20,7 @@ BLOCK = 32
 #: A pre-token stands if it ends this many characters before an edit: no alternative of the pattern looks farther ahead.
 CONTEXT = 3
 #: Entries that a worker's cache of pre-token counts holds at most.
-CACHE = 600_000
+CACHE = 250_000
 
 #: Fewer pre-tokens than this, as one edit brings, are encoded one by one instead of in matrices.
 FEW = 200

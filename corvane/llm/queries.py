@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from corvane.llm import queries_documents, queries_tokens
+from corvane.llm import queries_documents, queries_native, queries_tokens
 
-QUERIES = {**queries_tokens.QUERIES, **queries_documents.QUERIES}
-ORACLES = {**queries_tokens.ORACLES, **queries_documents.ORACLES}
+QUERIES = {**queries_tokens.QUERIES, **queries_documents.QUERIES, **queries_native.QUERIES}
+ORACLES = {**queries_tokens.ORACLES, **queries_documents.ORACLES, **queries_native.ORACLES}

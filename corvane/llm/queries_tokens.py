@@ -15,7 +15,7 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     coded = byte_bpe.encode(docs, ranks, pattern, packed=True, keep=["doc_id"])
-    decoded = byte_bpe.decode(coded, ranks, pattern)
+    decoded = byte_bpe.decode(coded, ranks)
     return decoded.select("doc_id", F.expr("octet_length(token_ids) div 4").cast("long").alias("n_tokens"), F.sha2("token_ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 

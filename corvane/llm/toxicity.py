@@ -36,7 +36,7 @@ WINDOW_CHARS = 64
 #: Labelled rows at most that the classifier is fitted on: those of the lowest hash of doc_id, toxic and ordinary.
 FIT_TOXIC, FIT_ORDINARY = 3000, 9000
 #: Entries that a worker's cache of window gains holds at most.
-CACHE = 600_000
+CACHE = 250_000
 
 
 def windows(text: str | None) -> list[str]:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from corvane.llm import queries_documents, queries_links, queries_native, queries_tokens
+from corvane.llm import queries_documents, queries_links, queries_native, queries_pages, queries_tokens
 
-QUERIES = {**queries_tokens.QUERIES, **queries_documents.QUERIES, **queries_links.QUERIES, **queries_native.QUERIES}
-ORACLES = {**queries_tokens.ORACLES, **queries_documents.ORACLES, **queries_links.ORACLES, **queries_native.ORACLES}
+QUERIES = {**queries_tokens.QUERIES, **queries_documents.QUERIES, **queries_links.QUERIES, **queries_native.QUERIES, **queries_pages.QUERIES}
+ORACLES = {**queries_tokens.ORACLES, **queries_documents.ORACLES, **queries_links.ORACLES, **queries_native.ORACLES, **queries_pages.ORACLES}

@@ -3,12 +3,12 @@
 Documents with the same set count as one node. A global order puts rare shingles first; two sets that are similar enough
 share one of the first ``n - ceil(t * n) + 1`` shingles of either, so only these prefixes are joined. The members of a
 prefix shingle are compared in numpy blocks by length, by position of the shared shingle and by a suffix filter: the
-sets' counts in fixed ranges of the hash space bound their distance from below. Pairs that survive are verified once,
-on the whole sets.
+sets' counts in fixed ranges of the hash space, kept modulo 16, bound their distance from below. Pairs that survive are
+verified once, on the whole sets.
 
-Only components are wanted, so links inside one are spared: a first round compares the members of each shingle with one
-anchor of theirs only, and the second compares members of different components only. Every link between components is
-still found, and groups of near copies cost as many comparisons as they have members.
+Only components are wanted, so links inside one are spared: a first round verifies each member with the few anchors that
+it shares most prefix shingles with, and the second compares members of different components, without any limit. Every
+link between components is still found, and groups of near copies cost as many comparisons as they have members.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corvane.llm.common import fresh_path, sliced, written
@@ -29,8 +29,10 @@ from corvane.llm.shingles import WordHashes, shingle_set
 #: Buckets of shingle counts that order shingles by rarity: as many whatever the corpus, 4 bytes each, broadcast. A shared
 #: bucket changes the order, not the result: any order that all documents share is right.
 BUCKETS = 1 << 18
-#: Ranges of the hash space whose counts the suffix filter compares.
-RANGES = 64
+#: Ranges of the hash space whose counts the suffix filter compares: half a byte each.
+RANGES = 128
+#: Anchors that a member is verified with in the first round; what they leave apart is the second round's.
+ANCHORS = 2
 #: Members of a shingle that are compared in one block; a larger group is dealt into pairs of blocks.
 BLOCK = 2048
 #: Shared prefix shingles up to which their table is broadcast (8 bytes each); beyond it the join shuffles.
@@ -93,7 +95,7 @@ def _sets(docs: DataFrame, doc_id: str, text: str, size: int, t: tuple[int, int]
                     else:
                         own = a
                     prefixes.append(own[np.lexsort((own, rank))][:first].view(np.int64))
-                    ranges.append(np.minimum(np.bincount((a >> np.uint64(58)).astype(np.int64), minlength=RANGES), 255).astype(np.uint8).tobytes())
+                    ranges.append(packed_counts(a))
                 yield pa.RecordBatch.from_arrays(
                     [part.column(doc_id), pa.array(ns, pa.int32()), pa.array(digests, pa.binary()), pa.array(prefixes, pa.list_(pa.int64())), pa.array(ranges, pa.binary())],
                     names=["doc_id", "n", "digest", "prefix", "ranges"],
@@ -103,6 +105,17 @@ def _sets(docs: DataFrame, doc_id: str, text: str, size: int, t: tuple[int, int]
     return written(frame.mapInArrow(run, "doc_id bigint, n int, digest binary, prefix array<bigint>, ranges binary"), "sets")
 
 
+def packed_counts(a: np.ndarray) -> bytes:
+    """The set's elements in each range of the hash space, modulo 16, two ranges a byte."""
+    n = np.bincount((a >> np.uint64(57)).astype(np.int64), minlength=RANGES).astype(np.uint8) & 15
+    return (n[0::2] << 4 | n[1::2]).tobytes()
+
+
+def unpacked_counts(rows: list[bytes]) -> np.ndarray:
+    both = np.frombuffer(b"".join(rows), np.uint8).reshape(len(rows), RANGES // 2)
+    return np.concatenate([both >> 4, both & 15], axis=1).astype(np.int8)
+
+
 def compare(node: np.ndarray, n: np.ndarray, pos: np.ndarray, ranges: np.ndarray, i: np.ndarray, j: np.ndarray, t: tuple[int, int]) -> np.ndarray:
     """Which of the pairs (i, j) of members of one shingle pass the length, position and suffix filters."""
     p, q = t
@@ -113,7 +126,8 @@ def compare(node: np.ndarray, n: np.ndarray, pos: np.ndarray, ranges: np.ndarray
     k = np.flatnonzero(ok)
     for begin in range(0, len(k), 1 << 14):
         part = k[begin : begin + (1 << 14)]
-        apart = np.abs(ranges[i[part]] - ranges[j[part]]).sum(1)
+        gap = ranges[i[part]] - ranges[j[part]] & 15  # counts that differ by d modulo 16 differ by d or 16 - d at least
+        apart = np.minimum(gap, 16 - gap).sum(1, dtype=np.int64)
         ok[part] = a[part] + b[part] - apart >= 2 * need[part]
     return ok
 
@@ -152,7 +166,7 @@ def _candidates(members: DataFrame, t: tuple[int, int], anchors: bool) -> DataFr
 
         def flush(rows: pa.Table) -> Iterator[pa.RecordBatch]:
             col = {c: rows.column(c).to_numpy() for c in ("h", "slot", "side", "comp", "node", "n", "pos")}
-            ranges = np.frombuffer(b"".join(rows.column("ranges").to_pylist()), np.uint8).reshape(-1, RANGES).astype(np.int16)
+            ranges = unpacked_counts(rows.column("ranges").to_pylist())
             change = np.flatnonzero((np.diff(col["h"]) != 0) | (np.diff(col["slot"]) != 0)) + 1
             for begin, end in zip([0, *change.tolist()], [*change.tolist(), len(rows)], strict=True):
                 if end - begin < 2:
@@ -160,17 +174,18 @@ def _candidates(members: DataFrame, t: tuple[int, int], anchors: bool) -> DataFr
                 own = {c: x[begin:end] for c, x in col.items()}
                 sig = ranges[begin:end]
                 for i, j in pairs_of(own["comp"], own["side"], own["node"], own["n"], own["pos"], sig):
-                    k = i != j
+                    k = own["node"][i] != own["node"][j]
                     i, j = i[k], j[k]
                     ok = compare(own["node"], own["n"], own["pos"], sig, i, j, t)
-                    got = {(min(x, y), max(x, y)) for x, y in zip(own["node"][i[ok]].tolist(), own["node"][j[ok]].tolist(), strict=True)}
-                    got -= seen
-                    if got:
+                    x, y = own["node"][i[ok]], own["node"][j[ok]]
+                    if not anchors:  # pairs that came up shortly before are left out
+                        got = {*zip(np.minimum(x, y).tolist(), np.maximum(x, y).tolist(), strict=True)} - seen
                         if len(seen) > 200_000:
                             seen.clear()
                         seen.update(got)
-                        a, b = zip(*got, strict=True)
-                        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=names)
+                        x, y = np.array([*got], np.int64).reshape(-1, 2).T
+                    if len(x):
+                        yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(y)], names=names)
 
         for batch in batches:
             if not batch.num_rows:
@@ -192,7 +207,13 @@ def _candidates(members: DataFrame, t: tuple[int, int], anchors: bool) -> DataFr
             yield from flush(pa.Table.from_batches(held))
 
     rows = members.select("h", "slot", "side", "comp", "node", "n", "pos", "ranges").repartition("h", "slot").sortWithinPartitions("h", "slot", "n", "node")
-    return rows.mapInArrow(run, "a bigint, b bigint").distinct()
+    pairs = rows.mapInArrow(run, "a bigint, b bigint")
+    if not anchors:
+        return pairs.distinct()
+    # a is an anchor of b: the anchors with which b shares most prefix shingles.
+    shared = pairs.groupBy("b", "a").agg(F.count(F.lit(1)).alias("m"))
+    few = shared.withColumn("r", F.row_number().over(Window.partitionBy("b").orderBy(F.desc("m"), "a"))).where(F.col("r") <= ANCHORS)
+    return few.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def _dealt(members: DataFrame) -> DataFrame:
@@ -242,13 +263,13 @@ def similar_components(docs: DataFrame, size: int, percent: int, doc_id: str = "
     t = (percent // g, 100 // g)
     sets = _sets(docs, doc_id, text, size, t, buckets)
     nodes = written(sets.where("digest is not null and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("node")), "nodes")
-    # A node is written out by the row that gives it its name; rows that repeat it fall together below.
+    # A node is written out by the row that gives it its name; should rows repeat it, pairs of a node with itself fall away.
     named = sets.where("digest is not null").join(nodes, "digest").where("doc_id = node")
     spread = named.select("node", "n", "ranges", F.posexplode("prefix").alias("pos", "h"))
     shared = spread.groupBy("h").agg(F.min("node").alias("x"), F.max("node").alias("y")).where("x <> y").select("h")
     shared = written(shared, "shared")
     few = shared.count() <= BROADCAST_SHINGLES
-    members = written(spread.join(F.broadcast(shared) if few else shared, "h").groupBy("h", "node").agg(F.max("n").alias("n"), F.max("pos").alias("pos"), F.max("ranges").alias("ranges")), "members")
+    members = written(spread.join(F.broadcast(shared) if few else shared, "h"), "members")
 
     alone = members.withColumn("comp", F.col("node"))
     first = written(_candidates(alone.withColumn("slot", F.lit(0).cast("long")).withColumn("side", F.lit(0)), t, anchors=True), "anchored")

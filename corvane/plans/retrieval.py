@@ -14,13 +14,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over all cores if its files make fewer partitions; larger inputs are left as they are, without a shuffle."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents as passages named by their source."""
-    return table(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("name"), F.lit(None).cast("string").alias("link"), F.col("text").alias("passage"))
+    return spread(table(spark, sf_dir, "documents")).select("doc_id", F.col("source").alias("name"), F.lit(None).cast("string").alias("link"), F.col("text").alias("passage"))
 
 
 def corpus_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chunking.with_index(chunking.chunk(passages(spark, sf_dir)))
+    """Chunks of the documents, kept in memory or on executors' disks: an index reads them several times."""
+    return chunking.with_index(chunking.chunk(passages(spark, sf_dir))).persist()
 
 
 def questions(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -135,8 +135,8 @@ _UNIT = r"""CASE WHEN regexp_matches(line, '^\d+\.\s') THEN 'p class="khoan"' WH
 
 POPULAR = "popular AS (SELECT doc_id, row_number() OVER (ORDER BY n DESC, f, doc_id) AS place FROM (SELECT doc_id, count(*) AS n, min(qid) AS f FROM gold GROUP BY doc_id) QUALIFY place <= 20)"
 PADDED = f"""{BM25}, {pool(3000)}, {docs("top3", 3)}, {GOLD}, {POPULAR},
-every AS (SELECT qid, doc_id, min((kind, p)) AS at FROM (SELECT qid, doc_id, rnk AS p, 0 AS kind FROM ranked UNION ALL SELECT qid, doc_id, place, 1 FROM asked, popular) GROUP BY ALL),
-padded AS (SELECT qid, doc_id, place FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY at) AS place FROM every) WHERE place <= 5)"""
+every AS (SELECT qid, doc_id, min((kind, p)) AS spot FROM (SELECT qid, doc_id, rnk AS p, 0 AS kind FROM ranked UNION ALL SELECT qid, doc_id, place, 1 FROM asked, popular) GROUP BY ALL),
+padded AS (SELECT qid, doc_id, place FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY spot) AS place FROM every) WHERE place <= 5)"""
 ANSWERS = f"{PADDED}, answers AS (SELECT qid, list(doc_id::VARCHAR ORDER BY place) AS answer FROM padded GROUP BY qid)"
 
 _BY = ", fusion"
@@ -168,7 +168,7 @@ ORACLES = {
     "rerank_candidates": f"{CANDIDATES} SELECT qid, chunk_idx, doc_id, rn, in_doc FROM candidates",
     "rerank_blend": f"{CANDIDATES}, logits AS (SELECT *, length(c.text)::DOUBLE % 97 AS logit FROM candidates JOIN (SELECT chunk_idx, text FROM chunks) c USING (chunk_idx)), blended AS (SELECT qid, chunk_idx, doc_id, 0.6::DOUBLE * {minmax('logit')} + (1 - 0.6::DOUBLE) * {minmax('fused')} AS fused FROM logits), {REFUSED.replace('FROM fused', 'FROM blended')}, {docs('top3', 5, source='fpool')} {RANKED}",
     "expand_rules": f"WITH {EXPANSIONS} SELECT qid, array_to_string(terms, '|') AS terms, normalized AS normalized_query FROM expanded",
-    "expand_filter": f"WITH {FILTERS} SELECT qid, CASE WHEN lower(a) = lower(b) THEN a ELSE a || '|' || b END AS terms FROM (SELECT qid, terms[1] AS a, regexp_replace(split_part(question, ' ', 2), '\\s+', ' ', 'g') || ' end' AS b FROM proposed)",
+    "expand_filter": f"WITH {FILTERS} SELECT qid, CASE WHEN lower(a) = lower(b) THEN a ELSE a || '|' || b END AS terms FROM (SELECT qid, regexp_replace(terms[1], '\\s+', ' ', 'g') AS a, regexp_replace(split_part(question, ' ', 2), '\\s+', ' ', 'g') || ' end' AS b FROM proposed)",
     "expanded_query": f"WITH {EXPANSIONS} SELECT qid, regexp_replace(question || ' ' || normalized || ' ' || array_to_string(terms, ' ') || ' ' || array_to_string(terms[1:4], ' '), '^\\s+|\\s+$', '', 'g') AS question FROM expanded",
     "expand_resume": "SELECT conv_id * 1000 + turn AS qid FROM conversations WHERE role = 'user' AND turn > 0",
     "combine_max": f"WITH {VARIANTS} SELECT qid, chunk_idx, round(greatest(o, e), 6) AS score FROM both_",

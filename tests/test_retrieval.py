@@ -19,7 +19,7 @@ def test_tokens(spark, text, expected):
 
 
 def test_clean_and_title(spark):
-    row = values(spark, [("﻿" and " a\t b\r\n\n\n c  ", "luat-dat-dai", None), ("", None, "http://h/x/nghi-dinh-5-2020-123.aspx")], "t string, n string, l string")
+    row = values(spark, [(" a\t b\r\n\n\n c  ", "luat-dat-dai", None), ("", None, "http://h/x/nghi-dinh-5-2020-123.aspx")], "t string, n string, l string")
     got = row.select(T.clean("t"), T.title("n", "l")).collect()
     assert got[0][0] == "a b\n c" and got[0][1] == "luat dat dai" and got[1][1] == "nghi dinh 5 2020"
 

@@ -6,9 +6,9 @@ prefix shingle are compared in numpy blocks by length, by position of the shared
 sets' counts in fixed ranges of the hash space, kept modulo 16, bound their distance from below. Pairs that survive are
 verified once, on the whole sets.
 
-Only components are wanted, so links inside one are spared: a first round verifies each member with the few anchors that
-it shares most prefix shingles with, and the second compares members of different components, without any limit. Every
-link between components is still found, and groups of near copies cost as many comparisons as they have members.
+Only components are wanted, so links inside one are spared: a first round verifies each document with its few nearest
+candidates by the suffix filter's bound, which joins most of a family, and the second compares documents of different
+components, without any limit. Every link between components is still found.
 """
 
 from __future__ import annotations
@@ -31,8 +31,8 @@ from corvane.llm.shingles import WordHashes, shingle_set
 BUCKETS = 1 << 18
 #: Ranges of the hash space whose counts the suffix filter compares: half a byte each.
 RANGES = 128
-#: Anchors that a member is verified with in the first round; what they leave apart is the second round's.
-ANCHORS = 2
+#: Nearest candidates that a document is verified with in the first round; what they leave apart is the second round's.
+NEAREST = 3
 #: Members of a shingle that are compared in one block; a larger group is dealt into pairs of blocks.
 BLOCK = 2048
 #: Shared prefix shingles up to which their table is broadcast (8 bytes each); beyond it the join shuffles.
@@ -116,53 +116,45 @@ def unpacked_counts(rows: list[bytes]) -> np.ndarray:
     return np.concatenate([both >> 4, both & 15], axis=1).astype(np.int8)
 
 
-def compare(node: np.ndarray, n: np.ndarray, pos: np.ndarray, ranges: np.ndarray, i: np.ndarray, j: np.ndarray, t: tuple[int, int]) -> np.ndarray:
-    """Which of the pairs (i, j) of members of one shingle pass the length, position and suffix filters."""
+def compare(node: np.ndarray, n: np.ndarray, pos: np.ndarray, ranges: np.ndarray, i: np.ndarray, j: np.ndarray, t: tuple[int, int]) -> tuple[np.ndarray, np.ndarray]:
+    """Which of the pairs (i, j) of members of one shingle pass the length, position and suffix filters, and for these the
+    bound of their distance over their size."""
     p, q = t
     a, b = n[i].astype(np.int64), n[j].astype(np.int64)
     need = required(a + b, t)
     # By length: the smaller set must suffice. By position: what comes after the shared shingle in either must suffice.
     ok = (p * np.maximum(a, b) <= q * np.minimum(a, b)) & (1 + np.minimum(a - pos[i], b - pos[j]) - 1 >= need)
-    k = np.flatnonzero(ok)
+    k, far = np.flatnonzero(ok), np.full(len(i), np.inf)
     for begin in range(0, len(k), 1 << 14):
         part = k[begin : begin + (1 << 14)]
         gap = ranges[i[part]] - ranges[j[part]] & 15  # counts that differ by d modulo 16 differ by d or 16 - d at least
         apart = np.minimum(gap, 16 - gap).sum(1, dtype=np.int64)
         ok[part] = a[part] + b[part] - apart >= 2 * need[part]
-    return ok
+        far[part] = apart / (a[part] + b[part])
+    return ok, far
 
 
-def _candidates(members: DataFrame, t: tuple[int, int], anchors: bool) -> DataFrame:
+def _candidates(members: DataFrame, t: tuple[int, int], nearest: bool) -> DataFrame:
     """Pairs (a, b) of nodes that pass the filters. ``members``: h, slot, side, comp and the columns of a member.
 
-    ``anchors``: each member against the first of those before it that its length allows, which gives one pair a member at
-    most; else all pairs of different components. Rows of an (h, slot) come together, sorted; a slot that joins two blocks
-    has members of both sides and pairs those of different sides only.
+    ``nearest``: of each node the NEAREST ones; else all pairs of different components. Rows of an (h, slot) come together,
+    sorted; a slot that joins two blocks has members of both sides and pairs those of different sides only.
     """
 
-    def pairs_of(comp: np.ndarray, side: np.ndarray, node: np.ndarray, n: np.ndarray, pos: np.ndarray, ranges: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        m = len(node)
-        if anchors:
-            p, q = t
-            first, anchor = 0, np.zeros(m, np.int64)
-            for k in range(m):  # sorted by n
-                if p * int(n[k]) > q * int(n[first]):
-                    first = k
-                anchor[k] = first
-            yield anchor, np.arange(m)
-            return
+    def pairs_of(own: dict[str, np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        m, comp, side, node = len(own["node"]), own["comp"], own["side"], own["node"]
         two = side.any() and not side.all()
         step = max(1, (1 << 18) // m)
         for begin in range(0, m, step):
             i, j = np.meshgrid(np.arange(begin, min(m, begin + step)), np.arange(m), indexing="ij")
             i, j = i.ravel(), j.ravel()
-            k = (comp[i] != comp[j]) & ((side[i] < side[j]) if two else (i < j))
+            k = (node[i] != node[j]) if nearest else (comp[i] != comp[j]) & ((side[i] < side[j]) if two else (i < j))
             yield i[k], j[k]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
         seen: set[tuple[int, int]] = set()
-        names = ["a", "b"]
+        names = ["a", "b", "far"]
 
         def flush(rows: pa.Table) -> Iterator[pa.RecordBatch]:
             col = {c: rows.column(c).to_numpy() for c in ("h", "slot", "side", "comp", "node", "n", "pos")}
@@ -173,19 +165,23 @@ def _candidates(members: DataFrame, t: tuple[int, int], anchors: bool) -> DataFr
                     continue
                 own = {c: x[begin:end] for c, x in col.items()}
                 sig = ranges[begin:end]
-                for i, j in pairs_of(own["comp"], own["side"], own["node"], own["n"], own["pos"], sig):
-                    k = own["node"][i] != own["node"][j]
-                    i, j = i[k], j[k]
-                    ok = compare(own["node"], own["n"], own["pos"], sig, i, j, t)
-                    x, y = own["node"][i[ok]], own["node"][j[ok]]
-                    if not anchors:  # pairs that came up shortly before are left out
+                for i, j in pairs_of(own):
+                    ok, far = compare(own["node"], own["n"], own["pos"], sig, i, j, t)
+                    i, j, far = i[ok], j[ok], far[ok]
+                    if nearest:  # one pair for each member: rows of i come together
+                        order = np.lexsort((own["node"][j], far, i))
+                        first = order[np.unique(i[order], return_index=True)[1]]
+                        x, y, far = own["node"][i[first]], own["node"][j[first]], far[first]
+                    else:  # pairs that came up shortly before are left out
+                        x, y = own["node"][i], own["node"][j]
                         got = {*zip(np.minimum(x, y).tolist(), np.maximum(x, y).tolist(), strict=True)} - seen
                         if len(seen) > 200_000:
                             seen.clear()
                         seen.update(got)
                         x, y = np.array([*got], np.int64).reshape(-1, 2).T
+                        far = np.zeros(len(x))
                     if len(x):
-                        yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(y)], names=names)
+                        yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(y), pa.array(far)], names=names)
 
         for batch in batches:
             if not batch.num_rows:
@@ -207,23 +203,24 @@ def _candidates(members: DataFrame, t: tuple[int, int], anchors: bool) -> DataFr
             yield from flush(pa.Table.from_batches(held))
 
     rows = members.select("h", "slot", "side", "comp", "node", "n", "pos", "ranges").repartition("h", "slot").sortWithinPartitions("h", "slot", "n", "node")
-    pairs = rows.mapInArrow(run, "a bigint, b bigint")
-    if not anchors:
-        return pairs.distinct()
-    # a is an anchor of b: the anchors with which b shares most prefix shingles.
-    shared = pairs.groupBy("b", "a").agg(F.count(F.lit(1)).alias("m"))
-    few = shared.withColumn("r", F.row_number().over(Window.partitionBy("b").orderBy(F.desc("m"), "a"))).where(F.col("r") <= ANCHORS)
-    return few.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    pairs = rows.mapInArrow(run, "a bigint, b bigint, far double")
+    if not nearest:
+        return pairs.select("a", "b").distinct()
+    ranked = pairs.groupBy("a", "b").agg(F.min("far").alias("far")).withColumn("r", F.row_number().over(Window.partitionBy("a").orderBy("far", "b")))
+    return ranked.where(F.col("r") <= NEAREST).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def _dealt(members: DataFrame) -> DataFrame:
-    """``members`` (with comp) of shingles with several components, dealt into blocks that compare together.
+def _dealt(members: DataFrame, across: bool) -> DataFrame:
+    """``members`` (with comp) of shingles with several components, dealt into blocks that compare together; ``across``:
+    blocks of one shingle with each other too.
 
     A shingle with up to BLOCK members is one slot. More make blocks by a hash of the node, and a slot for every pair of
     blocks, so that no task holds more than two blocks however many share the shingle.
     """
     groups = members.groupBy("h").agg(F.count(F.lit(1)).alias("m"), F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1").select("h", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"))
     placed = members.join(groups, "h").withColumn("block", F.expr("pmod(xxhash64(node), blocks)").cast("int"))
+    if not across:
+        return placed.withColumn("slot", F.col("block").cast("long")).withColumn("side", F.lit(0))
     others = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     slot = F.least("block", "other") * F.col("blocks") + F.greatest("block", "other")
     return others.withColumn("slot", slot.cast("long")).withColumn("side", (F.col("block") > F.col("other")).cast("int"))
@@ -272,11 +269,11 @@ def similar_components(docs: DataFrame, size: int, percent: int, doc_id: str = "
     members = written(spread.join(F.broadcast(shared) if few else shared, "h"), "members")
 
     alone = members.withColumn("comp", F.col("node"))
-    first = written(_candidates(alone.withColumn("slot", F.lit(0).cast("long")).withColumn("side", F.lit(0)), t, anchors=True), "anchored")
+    first = written(_candidates(_dealt(alone, across=False), t, nearest=True), "nearest")
     links = written(_verified(first, docs, doc_id, text, size, t), "links")
     roots = written(components(links), "roots")
     joined = members.join(roots, "node", "left").withColumn("comp", F.coalesce("root", "node")).drop("root")
-    second = _candidates(_dealt(joined), t, anchors=False).join(first, ["a", "b"], "left_anti")
+    second = _candidates(_dealt(joined, across=True), t, nearest=False).join(first, ["a", "b"], "left_anti")
     more = _verified(written(second, "pairs"), docs, doc_id, text, size, t)
     # Sets that fall together under several doc_ids, and doc_ids with several sets, link their nodes as well.
     same = sets.where("digest is not null").join(nodes, "digest").where("doc_id <> node").select(F.col("doc_id").alias("a"), F.col("node").alias("b"))

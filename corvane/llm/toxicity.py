@@ -34,7 +34,7 @@ ORDINARY_WINDOWS = 100_000
 #: Characters of a window; a longer word makes several.
 WINDOW_CHARS = 64
 #: Labelled rows at most that the classifier is fitted on: those of the lowest hash of doc_id, toxic and ordinary.
-FIT_TOXIC, FIT_ORDINARY = 3000, 9000
+FIT_TOXIC, FIT_ORDINARY = 2000, 5000
 #: Entries that a worker's cache of window gains holds at most.
 CACHE = 250_000
 
@@ -153,19 +153,21 @@ def train(texts: list[str | None], labels: list[int], contrast: float = 20.0, se
     halves = [[r for k in (0, 1) for r in [x for x in rows if x[1] == k][h::2]] for h in (0, 1)]
     if not all(any(y == k for _, y in half) for half in halves for k in (0, 1)):
         return Classifier(b"", b"", np.zeros(0), np.zeros(0), np.ones(0), np.zeros(0))
-    cut = [(windows(t), y) for t, y in halves[0]]
-    seen: tuple[Counter, Counter] = (Counter(), Counter())
-    for ws, y in cut:
-        seen[y].update(set(ws))
-    n_toxic = sum(y for _, y in cut)
-    least = 2 if n_toxic < 200 else 4
-    telling = {w for w, n in seen[1].items() if n >= least and n > contrast * seen[0][w]}
-    ordinary = [w for ws, y in cut if not y for w in ws]
-    if len(ordinary) > ORDINARY_WINDOWS:
-        ordinary = random.Random(seed).sample(ordinary, ORDINARY_WINDOWS)
-    toxic = [w for ws, y in cut if y for w in ws if w in telling] or [w for ws, y in cut if y for w in ws]
+    # Windows are made anew in each pass: the driver holds the texts and counts of words of toxic documents, nothing more.
+    toxic_texts, ordinary_texts = [[t for t, y in halves[0] if y == k] for k in (1, 0)]
+    seen = Counter(w for t in toxic_texts for w in set(windows(t)))
+    least = 2 if len(toxic_texts) < 200 else 4
+    often = {w: n for w, n in seen.items() if n >= least}
+    among = Counter(w for t in ordinary_texts for w in set(windows(t)) if w in often)
+    telling = {w for w, n in often.items() if n > contrast * among[w]}
+    rng, each = random.Random(seed), -(-ORDINARY_WINDOWS // len(ordinary_texts))
+    ordinary = []
+    for ws in map(windows, ordinary_texts):
+        ordinary += rng.sample(ws, each) if len(ws) > each else ws
+    toxic = [w for t in toxic_texts for w in windows(t) if w in telling] or [w for t in toxic_texts[:1000] for w in windows(t)]
     made = [_dictionary(size, [frame(w) for w in ws] or [b" " * 16]) for size, ws in ((ORDINARY_BYTES, ordinary), (TOXIC_BYTES, toxic))]
-    got = Gains(*made).of([windows(t) for t, _ in halves[1]])
+    gains_ = Gains(*made)
+    got = [gains_.of([windows(t)])[0] for t, _ in halves[1]]
     labels = np.array([y for _, y in halves[1]])
     # Weight of a cell: log ratio of the shares of toxic and ordinary documents that have such a window; none below zero.
     having = np.array([np.bincount(g, minlength=CELLS) > 0 for g in got])

@@ -6,6 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,9 +21,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or a local one where it is unset (tests)."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``. Where it is unset, a local master gets a
+    temporary folder; a cluster's executors would not see one, so that RuntimeError asks for the setting."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="corvane-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -89,3 +93,34 @@ def with_arrow(df: DataFrame, kernel: Callable[[pa.RecordBatch], dict[str, pa.Ar
                 yield pa.RecordBatch.from_arrays([*[part.column(c) for c in kept], *[got[n] for n in names]], names=[*kept, *names])
 
     return frame.mapInArrow(run, schema)
+
+
+def runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[pa.Table, list[tuple[int, int]]]]:
+    """Whole groups of equal ``keys`` (integer columns) from batches that are sorted by them, as tables with the bounds of
+    each group. What is held is one batch and the group that its end leaves open."""
+    held: list[pa.RecordBatch] = []
+
+    def changes(table: pa.Table | pa.RecordBatch) -> np.ndarray:
+        differ = np.zeros(max(0, table.num_rows - 1), bool)
+        for k in keys:
+            differ |= np.diff(table.column(k).to_numpy()) != 0
+        return np.flatnonzero(differ) + 1
+
+    def whole(parts: list[pa.RecordBatch]) -> tuple[pa.Table, list[tuple[int, int]]]:
+        table = pa.Table.from_batches(parts)
+        at = changes(table).tolist()
+        return table, [*zip([0, *at], [*at, table.num_rows], strict=True)]
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        if held and any(held[-1].column(k)[-1].as_py() != batch.column(k)[0].as_py() for k in keys):
+            yield whole(held)
+            held = []
+        at = changes(batch)
+        if len(at):
+            yield whole([*held, batch.slice(0, int(at[-1]))])
+            held = []
+        held.append(batch.slice(int(at[-1]) if len(at) else 0))
+    if held:
+        yield whole(held)

@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import random
 import re
 import unicodedata
 from collections import defaultdict
@@ -188,6 +189,38 @@ def test_join_of_odd_tables(spark):
     assert sorted((r["doc_id"] or 0) for r in kept.collect()) == [0, 1, 4]
 
 
+def test_join_of_repeated_ids(spark):
+    """A doc_id with several texts has the links of all of them, and links their families."""
+    a, b = "one two three four five six seven eight", "red blue green white black grey brown pink"
+    docs = spark.createDataFrame([(5, a, 0), (5, b, 0), (5, None, 0), (5, a, 1), (7, a + " ", 0), (9, b.upper(), 0), (11, "x y", 0), (12, None, 0)], "doc_id long, text string, comp int")
+    got = {(r["doc_id"], r["n_shingles"]): r["component_id"] for r in ngram_join.similar_components(docs, 4, 85).collect()}
+    assert got == {(5, 5): 5, (5, 0): 5, (7, 5): 5, (9, 5): 5, (11, 1): 11, (12, 0): 12}
+    kept = ngram_join.one_of_each(docs, 4, 85).collect()
+    assert sorted(r["doc_id"] for r in kept) == [5, 11, 12] and kept[0].asDict().keys() == {"doc_id", "text", "comp"}
+
+
+def test_every_link_of_random_families(spark, monkeypatch):
+    """Random edits of a few texts, in parts of three rows, so that groups are dealt and parts are crossed."""
+    monkeypatch.setattr(ngram_join, "BLOCK", 3)
+    monkeypatch.setattr(ngram_join, "FIRST", 1)
+    rng = random.Random(5)
+    texts = {}
+    for i in range(160):
+        w = [f"f{i % 5}_{k}" for k in range(50)]
+        for _ in range(rng.choice([0, 1, 1, 2, 2, 3])):
+            w[rng.randrange(50)] = f"e{rng.randrange(4)}"
+        texts[i * 3 + 1] = " ".join(w)
+    docs = spark.createDataFrame([*texts.items()], "doc_id long, text string")
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.similar_components(docs, 4, 85).collect()}
+    assert got == brute_components(texts, 4, 85)
+
+
+def test_unfinished_components_are_an_error(spark):
+    links = spark.createDataFrame([(i, i + 1) for i in range(50)], "a long, b long")
+    with pytest.raises(RuntimeError):
+        components.components(links, rounds=1)
+
+
 def test_components_of_chains(spark):
     links = [(i, i + 1) for i in range(100, 160)] + [(7, 3), (3, 7), (5, 5), (None, 2), (900, 100)]
     got = {r["node"]: r["root"] for r in components.components(spark.createDataFrame(links, "a long, b long")).collect()}

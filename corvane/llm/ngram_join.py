@@ -3,7 +3,7 @@
 Documents with the same set count as one node. A global order puts rare shingles first; two sets that are similar enough
 share one of the first ``n - ceil(t * n) + 1`` shingles of either, so only these prefixes are joined. The members of a
 prefix shingle are compared in numpy by length, by position of the shared shingle and by a suffix filter: a bit for each
-of 2,048 ranges of the hash space, whether the set has an odd number of elements there, so that differing bits bound the
+of 1,024 ranges of the hash space, whether the set has an odd number of elements there, so that differing bits bound the
 distance of two sets from below. A task gathers what passes into families (its candidate links' components) and returns
 one row for each member, never pairs.
 
@@ -32,7 +32,7 @@ from corvane.llm.shingles import WordHashes, shingle_sets
 #: bucket changes the order, not the result: any order that all documents share is right.
 BUCKETS = 1 << 18
 #: Bits of the suffix filter.
-BITS = 2048
+BITS = 1024
 #: Shared prefix shingles of a document that the first round looks at; what they leave apart is the second round's.
 FIRST = 4
 #: Members of a group that meet in one task; a larger group is dealt into parts, and parts into pairs where all must meet.
@@ -137,12 +137,12 @@ def _prefixes(docs: DataFrame, nodes: DataFrame, ranks: np.ndarray, size: int, t
 
 
 def _members(prefixes: DataFrame) -> DataFrame:
-    """node, n, bits and shared, the (pos, h) of a set's prefix shingles that another set has in its prefix too; sets
-    without any are left out."""
+    """node, n, bits and shared: pos, h and c of a set's prefix shingles that another set has in its prefix too, c being the
+    number of sets that do; sets without any are left out. Light rows alone are shuffled by shingle."""
     spread = prefixes.select("hi", "lo", F.posexplode("prefix").alias("pos", "h"))
     # Elements of a set differ and sets differ, so a shingle that counts twice belongs to two sets.
-    shared = written(spread.groupBy("h").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("h"), "shared")
-    kept = spread.join(small(shared), "h").groupBy("hi", "lo").agg(F.sort_array(F.collect_list(F.struct("pos", "h"))).alias("shared"))
+    shared = spread.groupBy("h").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
+    kept = spread.join(shared, "h").groupBy("hi", "lo").agg(F.sort_array(F.collect_list(F.struct("pos", "h", "c"))).alias("shared"))
     return written(prefixes.select("hi", "lo", "node", "n", "bits").join(kept, ["hi", "lo"]).drop("hi", "lo"), "members")
 
 
@@ -250,36 +250,34 @@ def _part(*seed: str | Column, parts: str) -> Column:
     return F.pmod(F.xxhash64(*seed), F.col(parts)).cast("int")
 
 
-def _scattered(rows: DataFrame, key: str, weight: Column, times: int = 1) -> DataFrame:
-    """``rows`` with slot and side: groups of ``key`` above a weight of one are dealt into parts, ``times`` ways each."""
-    large = written(rows.groupBy(key).agg(F.ceil(F.sum(weight)).cast("int").alias("parts")).where("parts > 1"), "large")
-    whole = rows.join(small(large), key, "left")
-    ways = F.when(F.col("parts").isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.lit(times - 1)))
-    spread = whole.withColumn("way", F.explode(ways))
-    slot = F.when(F.col("parts").isNull(), F.lit(0)).otherwise(F.col("way") * F.col("parts") + _part("node", key, "way", parts="parts"))
+def _scattered(families: DataFrame, weight: Column, times: int = 2) -> DataFrame:
+    """``families`` with slot and side: those above a weight of one are dealt into parts, ``times`` ways each, so that
+    parts overlap."""
+    large = written(families.groupBy("family").agg(F.ceil(F.sum(weight)).cast("int").alias("parts")).where("parts > 1"), "large")
+    whole = families.join(small(large), "family", "left")
+    spread = whole.withColumn("way", F.explode(F.when(F.col("parts").isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.lit(times - 1)))))
+    slot = F.when(F.col("parts").isNull(), F.lit(0)).otherwise(F.col("way") * F.col("parts") + _part("node", "way", parts="parts"))
     return spread.withColumn("slot", slot.cast("long")).withColumn("side", F.lit(0)).drop("way", "parts")
 
 
-def _crossed(rows: DataFrame, key: str, weight: Column) -> DataFrame:
-    """``rows`` of the groups of ``key`` with several components, with slot and side: any two rows of different components
-    of a group meet in a slot.
+def _crossed(rows: DataFrame, key: str, weight: Column, heavy: Column) -> DataFrame:
+    """``rows`` with slot and side: any two rows of different components of a group of ``key`` meet in a slot.
 
-    A group above a weight of one is dealt: its largest component makes ``major`` parts, which need not meet each other, and
-    the rest ``minor`` parts, which meet each other and those. A slot of two parts has a side for each.
+    A group above a weight of one, which only rows that are ``heavy`` belong to, is dealt: its largest component makes
+    ``major`` parts, which need not meet each other, and the rest ``minor`` parts, which meet each other and those. A slot of
+    two parts has a side for each. Such a group of one component has nothing to compare and goes.
     """
-    mixed = written(rows.groupBy(key).agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.sum(weight).alias("w")).where("c0 <> c1").select(key, "w"), "mixed")
-    mixed_rows = rows.join(small(mixed), key)
-    shares = mixed_rows.where("w > 1").groupBy(key, "comp").agg(F.sum(weight).alias("share"), F.max("w").alias("w"))
-    large = shares.groupBy(key).agg(F.max(F.struct("share", "comp")).alias("top"), F.max("w").alias("all"))
-    # A sum of fractions may end a trifle below its parts: a group has one minor part at least.
-    large = written(large.select(key, F.col("top.comp").alias("most"), F.greatest(F.ceil(F.col("all") - F.col("top.share")), F.lit(1)).cast("int").alias("minor"), F.greatest(F.ceil("top.share"), F.lit(1)).cast("int").alias("major")), "large")
-    whole = mixed_rows.join(small(large), key, "left")
+    shares = rows.where(heavy).groupBy(key, "comp").agg(F.sum(weight).alias("share"))
+    groups = shares.groupBy(key).agg(F.max(F.struct("share", "comp")).alias("top"), F.sum("share").alias("w"), F.count(F.lit(1)).alias("comps")).where("w > 1")
+    # Weights are sums of binary fractions: exact.
+    large = written(groups.select(key, "comps", F.col("top.comp").alias("most"), F.ceil(F.col("w") - F.col("top.share")).cast("int").alias("minor"), F.ceil("top.share").cast("int").alias("major")), "large")
+    whole = rows.join(small(large), key, "left").where("comps is null or comps > 1")
     own = F.when(F.col("comp") == F.col("most"), F.col("minor") + _part("node", parts="major")).otherwise(_part("node", parts="minor"))
     meets = F.when(F.col("own") >= F.col("minor"), F.sequence(F.lit(0), F.col("minor") - 1)).otherwise(F.sequence(F.lit(0), F.col("minor") + F.col("major") - 1))
     others = F.when(F.col("minor").isNull(), F.array(F.lit(0))).otherwise(meets)
     spread = whole.withColumn("own", own).withColumn("other", F.explode(others))
     slot = F.least("own", "other").cast("long") * (F.col("minor") + F.col("major")) + F.greatest("own", "other")
-    return spread.withColumn("slot", F.coalesce(slot, F.lit(0)).cast("long")).withColumn("side", F.coalesce((F.col("own") > F.col("other")).cast("int"), F.lit(0))).drop("w", "most", "minor", "major", "own", "other")
+    return spread.withColumn("slot", F.coalesce(slot, F.lit(0)).cast("long")).withColumn("side", F.coalesce((F.col("own") > F.col("other")).cast("int"), F.lit(0))).drop("comps", "most", "minor", "major", "own", "other")
 
 
 # -- links ---------------------------------------------------------------------------------------------------------------
@@ -360,17 +358,17 @@ def similar_components(docs: DataFrame, size: int, percent: int, doc_id: str = "
     nodes = written(light.where("hi is not null and doc_id is not null").groupBy("hi", "lo").agg(F.min("doc_id").alias("node")), "nodes")
     members = _members(_prefixes(plain, nodes, _ranks(described, buckets), size, t))
 
-    one = F.lit(1.0 / BLOCK)
-    heavy = F.greatest(one, F.col("n") / ELEMENTS)
+    one, hot = F.lit(1.0 / BLOCK), F.col("c") > BLOCK
+    weight = F.greatest(one, F.col("n") / ELEMENTS)
     few = members.withColumn("comp", F.col("node")).select("node", "comp", "n", "bits", F.inline(F.slice("shared", 1, FIRST)))
-    families = _families(_scattered(few, "h", one), t)
-    links = _links(plain, _scattered(families, "family", heavy, times=2), size, t)
+    parted = few.withColumn("parts", F.ceil(F.col("c") / BLOCK)).withColumn("slot", _part("node", "h", parts="parts").cast("long")).withColumn("side", F.lit(0))
+    links = _links(plain, _scattered(_families(parted, t), weight), size, t)
     roots = written(components(links), "roots")
 
     joined = members.join(roots, "node", "left").withColumn("comp", F.coalesce("root", "node")).drop("root")
     every = joined.select("node", "comp", "n", "bits", F.inline("shared"))
-    rest = _families(_crossed(every, "h", one), t)
-    more = _links(plain, _crossed(rest, "family", heavy), size, t)
+    rest = _families(_crossed(every, "h", one, hot), t)
+    more = _links(plain, _crossed(rest, "family", weight, F.lit(True)), size, t)
 
     named = written(nodes.join(roots, "node", "left").select("hi", "lo", F.coalesce("root", "node").alias("comp")), "named")
     # Texts that share a doc_id are one document: their components are one, and a text without words belongs to it.

@@ -27,7 +27,7 @@ BUCKETS = (2, 4, 6, 8, 10, 12, 16, 20, 24, 32, 48, 64, 96, 128, 256, 512)
 #: Rows of a matrix at most, so that its memory is bounded.
 MATRIX_CELLS = 1 << 18
 #: Entries that a worker's cache of encoded units holds at most; it starts anew beyond that.
-CACHE_UNITS = 250_000
+CACHE_UNITS = 150_000
 
 _NONE = np.int32(np.iinfo(np.int32).max)
 _EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -103,7 +103,7 @@ class PairTable:
         return out.reshape(keys.shape)
 
 
-@lru_cache(maxsize=4)
+@lru_cache(maxsize=1)
 def pieces(ranks_path: str) -> list[bytes]:
     """Bytes of each id of a file of ``base64 rank`` lines; an id that the file leaves out stands for none."""
     with open(ranks_path, "rb") as f:
@@ -247,7 +247,7 @@ class BytePairCodec:
         return np.frombuffer(self.encode_packed([text])[0], "<u4").tolist()
 
 
-@lru_cache(maxsize=4)
+@lru_cache(maxsize=1)
 def codec(ranks_path: str, pattern: str, split_units: bool = True) -> BytePairCodec:
     """One codec for each worker process, with its tables and cache."""
     return BytePairCodec(ranks_path, pattern, split_units)

@@ -54,6 +54,14 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """``name``, or that name with underscores behind it: none of the columns of ``df`` has it, in any case of letters."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def sliced(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """``batch`` in slices of about ``limit`` bytes of ``column`` (a string or binary column), whole rows each."""
     import pyarrow.compute as pc
@@ -91,6 +99,7 @@ def with_arrow(df: DataFrame, kernel: Callable[[pa.RecordBatch], dict[str, pa.Ar
             for part in sliced(batch, source):
                 got = kernel(part)
                 yield pa.RecordBatch.from_arrays([*[part.column(c) for c in kept], *[got[n] for n in names]], names=[*kept, *names])
+        pa.default_memory_pool().release_unused()  # the worker serves other tasks after this one
 
     return frame.mapInArrow(run, schema)
 

@@ -19,7 +19,8 @@ from corvane.llm.common import cut, written
 
 #: Copies of a document at most, and a source's target over its size.
 MOST = 3
-#: Newton steps at most; halving takes over where a step would leave its bracket, so that this always suffices.
+#: Newton steps after which the loop counts as broken; halving takes over where a step would leave its bracket, so that
+#: this suffices.
 STEPS = 80
 #: Relative distance from the target at which a source's multiplier stands.
 NEAR = 1e-7
@@ -76,9 +77,11 @@ def multipliers(histogram: DataFrame, wanted: DataFrame, count: int, most: int =
     state = cut(state)
     tilt = F.col("x") * F.col("size") / F.col("unit")
     rate = F.least(F.lit(float(most)), F.exp(F.least(tilt, F.lit(700.0))))
-    for _ in range(STEPS):
+    for step_number in range(STEPS + 1):
         if state.where(~F.col("done")).isEmpty():
             break
+        if step_number == STEPS:
+            raise RuntimeError(f"mixing: multipliers not found in {STEPS} steps")
         open_ = state.where(~F.col("done")).select("key", "unit", "x")
         moved = (
             _with_sources(histogram.where("size > 0"), open_, count)
@@ -114,10 +117,35 @@ def _shifts(rated: DataFrame, count: int) -> DataFrame:
     width = 2.0 / BINS
     inside = _with_sources(flips, first.select("key", "low"), count).where((F.col("flip") >= F.col("low")) & (F.col("flip") < F.col("low") + width))
     second = crossing(inside, first, F.col("low"), F.lit(width))
-    # The next bin's documents come as well if that ends nearer to the target: the remaining error is below one of them.
+    # Words taken stay at or below the target: a source misses it by the documents of one bin of the second pass at most.
     return second.select("key", F.col("low").alias("shift"))
 
 
+def _sources(docs: DataFrame, doc_id: str, text: str, source: str, most: int) -> tuple[DataFrame, DataFrame, int]:
+    """Sizes of the documents (doc_id, source, size, key), and the plan of each source (key, source_size, target, m, shift)
+    with its number of rows. Texts are read once, by the sizes."""
+    sized = written(docs.select(F.col(doc_id).alias("doc_id"), F.col(source).cast("string").alias("source"), n_words(F.col(text)).alias("size")).withColumn("key", _key(F.col("source"))), "sizes")
+    histogram = written(sized.groupBy("key", "size").agg(F.count(F.lit(1)).alias("n")), "histogram")
+    wanted = cut(targets(sized, most))
+    count = wanted.count()
+    found = cut(multipliers(histogram, wanted, count, most))
+    shifts = _shifts(_rated(_with_sources(sized, found, count), most), count)
+    return sized, cut(found.join(shifts, "key")), count
+
+
+def _rated(rows: DataFrame, most: int) -> DataFrame:
+    """``rows`` (doc_id, size, key and the plan of its source) with rate, whole and flip."""
+    rate = F.when(F.col("target") >= most * F.col("source_size"), F.lit(float(most))).when(F.col("target") <= 0, F.lit(0.0)).otherwise(F.least(F.lit(float(most)), F.exp(F.least(F.col("m") * F.col("size"), F.lit(700.0)))))
+    draw = F.shiftrightunsigned(F.xxhash64(F.lit("copies"), "doc_id", "size", "key"), 12) / F.lit(float(1 << 52))
+    return rows.withColumn("rate", rate).withColumn("whole", F.floor("rate")).withColumn("flip", F.when(F.col("rate") < most, draw - (F.col("rate") - F.col("whole"))))
+
+
+def _rounded(rows: DataFrame, plan: DataFrame, count: int, most: int) -> DataFrame:
+    """``rows`` (doc_id, size, key) with the plan of their source, rate and copies: a function of these columns alone."""
+    rated = _rated(_with_sources(rows, plan, count), most)
+    return rated.withColumn("copies", (F.col("whole") + F.coalesce((F.col("flip") < F.col("shift")).cast("int"), F.lit(0))).cast("int"))
+
+
 def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", most: int = MOST) -> DataFrame:
     """doc_id, source, size (words), source_size, target (both of the source), rate, copies and taken (copies times size)
     of each document: one row for each row of ``docs``, which gives no other columns.
@@ -127,26 +155,19 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
     the document's id, size and source alone besides the source's totals, and add up to within about one document of
     the target of each source. Documents are read once; what follows works on their sizes.
     """
-    sized = written(docs.select(F.col(doc_id).alias("doc_id"), F.col(source).cast("string").alias("source"), n_words(F.col(text)).alias("size")).withColumn("key", _key(F.col("source"))), "sizes")
-    histogram = written(sized.groupBy("key", "size").agg(F.count(F.lit(1)).alias("n")), "histogram")
-    wanted = cut(targets(sized, most))
-    count = wanted.count()
-    found = multipliers(histogram, wanted, count, most)
-    rate = F.when(F.col("target") >= most * F.col("source_size"), F.lit(float(most))).when(F.col("target") <= 0, F.lit(0.0)).otherwise(F.least(F.lit(float(most)), F.exp(F.least(F.col("m") * F.col("size"), F.lit(700.0)))))
-    draw = F.shiftrightunsigned(F.xxhash64(F.lit("copies"), "doc_id", "size", "key"), 12) / F.lit(float(1 << 52))
-    rated = _with_sources(sized, found, count).withColumn("rate", rate).withColumn("whole", F.floor("rate")).withColumn("flip", F.when(F.col("rate") < most, draw - (F.col("rate") - F.col("whole"))))
-    shifts = cut(_shifts(rated, count))
-    rounded = _with_sources(rated, shifts, count).withColumn("copies", (F.col("whole") + F.coalesce((F.col("flip") < F.col("shift")).cast("int"), F.lit(0))).cast("int"))
+    sized, plan, count = _sources(docs, doc_id, text, source, most)
+    rounded = _rounded(sized, plan, count, most)
     return rounded.select("doc_id", "source", "size", "source_size", "target", "rate", "copies", (F.col("copies") * F.col("size")).cast("long").alias("taken"))
 
 
-def apply_mix(docs: DataFrame, most: int = MOST) -> DataFrame:
-    """``docs`` with each row repeated as often as the mix takes it, columns unchanged.
+def apply_mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", most: int = MOST) -> DataFrame:
+    """``docs`` with each row repeated as often as the mix takes it; columns and their names are unchanged, whatever they are.
 
-    Rows with the same doc_id, source and size share one decision.
+    Copies follow from a row's doc_id, source and size and from its source's plan, so rows that are equal in these share
+    one decision, and texts join nothing but the plan of the sources. Nulls, empty texts and the empty table are as in
+    ``mix``; an empty text is taken as its rate says, at no cost in words.
     """
-    plan = mix(docs, most=most).groupBy("doc_id", "source", "size").agg(F.max("copies").alias("copies_"))
-    sized = docs.withColumn("size_", n_words(F.col("text")))
-    on = docs["doc_id"].eqNullSafe(plan["doc_id"]) & docs["source"].eqNullSafe(plan["source"]) & (F.col("size_") == plan["size"])
-    kept = sized.join(plan, on).where(F.col("copies_") > 0).select(*[docs[c] for c in docs.columns], F.explode(F.sequence(F.lit(1), F.col("copies_"))).alias("copy_"))
-    return kept.drop("copy_")
+    _, plan, count = _sources(docs, doc_id, text, source, most)
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(doc_id).alias("doc_id"), _key(F.col(source).cast("string")).alias("key"), n_words(F.col(text)).alias("size"))
+    taken = _rounded(rows, plan, count, most).where("copies > 0")
+    return taken.select("row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")

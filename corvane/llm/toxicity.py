@@ -20,7 +20,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corvane.llm.common import with_arrow
@@ -29,14 +29,15 @@ from corvane.llm.common import with_arrow
 LEVEL = 19
 #: Bytes of the dictionaries, ordinary and toxic.
 ORDINARY_BYTES, TOXIC_BYTES = 16384, 4096
-#: Windows at most that the ordinary dictionary is trained on.
-ORDINARY_WINDOWS = 100_000
 #: Characters of a window; a longer word makes several.
 WINDOW_CHARS = 64
-#: Labelled rows at most that the classifier is fitted on: those of the lowest hash of doc_id, toxic and ordinary.
-FIT_TOXIC, FIT_ORDINARY = 2000, 5000
+#: Labelled rows at most that the classifier is fitted on, toxic and ordinary, and bytes of their texts: rows come in order
+#: of the hash of their doc_id, and one whose text would pass the bound in bytes is not among them.
+FIT_TOXIC, FIT_ORDINARY, FIT_BYTES = 2000, 3000, 32 << 20
+#: A telling word occurs in this share of the toxic documents of the fit, and in two.
+LEAST_SHARE = 0.004
 #: Entries that a worker's cache of window gains holds at most.
-CACHE = 250_000
+CACHE = 150_000
 
 
 def windows(text: str | None) -> list[str]:
@@ -84,7 +85,7 @@ class Gains:
         return [np.fromiter(map(known.__getitem__, ws), np.int16, len(ws)) for ws in texts]
 
 
-@lru_cache(maxsize=4)
+@lru_cache(maxsize=1)
 def gains(ordinary: bytes, toxic: bytes) -> Gains:
     return Gains(ordinary, toxic)
 
@@ -146,9 +147,12 @@ def train(texts: list[str | None], labels: list[int], contrast: float = 20.0, se
     """Dictionaries from one half of the rows, the rule from the other, so that it sees unread documents' gains.
 
     ``contrast``: a toxic window's share of toxic documents must be that many times its number among ordinary ones. Texts
-    that repeat count once.
+    that repeat count once, as toxic if any of their rows is.
     """
-    rows = [*dict(zip(texts, labels, strict=True)).items()]
+    known: dict[str | None, int] = {}
+    for t, y in zip(texts, labels, strict=True):
+        known[t] = max(y, known.get(t, 0))
+    rows = [*known.items()]
     random.Random(seed).shuffle(rows)
     halves = [[r for k in (0, 1) for r in [x for x in rows if x[1] == k][h::2]] for h in (0, 1)]
     if not all(any(y == k for _, y in half) for half in halves for k in (0, 1)):
@@ -156,15 +160,13 @@ def train(texts: list[str | None], labels: list[int], contrast: float = 20.0, se
     # Windows are made anew in each pass: the driver holds the texts and counts of words of toxic documents, nothing more.
     toxic_texts, ordinary_texts = [[t for t, y in halves[0] if y == k] for k in (1, 0)]
     seen = Counter(w for t in toxic_texts for w in set(windows(t)))
-    least = 2 if len(toxic_texts) < 200 else 4
+    least = max(2, LEAST_SHARE * len(toxic_texts))
     often = {w: n for w, n in seen.items() if n >= least}
     among = Counter(w for t in ordinary_texts for w in set(windows(t)) if w in often)
     telling = {w for w, n in often.items() if n > contrast * among[w]}
-    rng, each = random.Random(seed), -(-ORDINARY_WINDOWS // len(ordinary_texts))
-    ordinary = []
-    for ws in map(windows, ordinary_texts):
-        ordinary += rng.sample(ws, each) if len(ws) > each else ws
-    toxic = [w for t in toxic_texts for w in windows(t) if w in telling] or [w for t in toxic_texts[:1000] for w in windows(t)]
+    # A window counts once a document: what matters is in how many documents a dictionary's content occurs.
+    ordinary = [w for t in ordinary_texts for w in dict.fromkeys(windows(t))]
+    toxic = [w for t in toxic_texts for w in windows(t) if w in telling] or [w for t in toxic_texts for w in windows(t)]
     made = [_dictionary(size, [frame(w) for w in ws] or [b" " * 16]) for size, ws in ((ORDINARY_BYTES, ordinary), (TOXIC_BYTES, toxic))]
     gains_ = Gains(*made)
     got = [gains_.of([windows(t)])[0] for t, _ in halves[1]]
@@ -179,19 +181,23 @@ def train(texts: list[str | None], labels: list[int], contrast: float = 20.0, se
     return Classifier(*made, cells, centre, scale, weights)
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", most_toxic: int = FIT_TOXIC, most_ordinary: int = FIT_ORDINARY) -> Classifier:
+def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", most_toxic: int = FIT_TOXIC, most_ordinary: int = FIT_ORDINARY, most_bytes: int = FIT_BYTES) -> Classifier:
     """Fits to a bounded sample of ``labels`` (doc_id, ``label``): at most ``most_toxic`` rows of label 1 and
-    ``most_ordinary`` of label 0, those of the lowest hash of doc_id, with their whole texts.
+    ``most_ordinary`` of label 0, those of the lowest hash of doc_id, with their whole texts, and at most ``most_bytes``
+    bytes of text (UTF-8) for each label.
 
-    Other and null labels don't count. Without rows of either class the classifier scores every text 0.
+    Other and null labels don't count; a doc_id with both is toxic. Without rows of either class the classifier scores every
+    text 0.
     """
     spark = docs.sparkSession
     known = labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(label).cast("int").alias("y"))
     chosen = [r for k, most in ((1, most_toxic), (0, most_ordinary)) for r in known.where(F.col("y") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most).collect()]
     picked = spark.createDataFrame([(r["doc_id"], r["y"]) for r in chosen], "doc_id long, y int")
-    # The sample has a fixed bound, so this side may be broadcast and the result may reach the driver.
-    rows = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("doc_id", "y", "text").collect()
-    rows.sort(key=lambda r: (r["doc_id"], r["text"] or ""))
+    # The sample has a fixed bound, so this side may be broadcast and what it finds may be ranked in one task a label.
+    found = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(picked), "doc_id").select("doc_id", "y", "text").dropDuplicates()
+    size = F.sum(F.octet_length("text")).over(Window.partitionBy("y").orderBy(F.xxhash64("doc_id"), "doc_id", "text"))
+    rows = found.withColumn("upto", size).where(F.col("upto") <= most_bytes).select("doc_id", "y", "text").collect()
+    rows.sort(key=lambda r: (r["doc_id"], r["text"]))
     return train([r["text"] for r in rows], [r["y"] for r in rows])
 
 

@@ -26,8 +26,8 @@ from corvane.llm.common import with_arrow
 BUCKETS = (2, 4, 6, 8, 10, 12, 16, 20, 24, 32, 48, 64, 96, 128, 256, 512)
 #: Rows of a matrix at most, so that its memory is bounded.
 MATRIX_CELLS = 1 << 18
-#: Entries that a worker's cache of encoded units holds at most; it starts anew beyond that.
-CACHE_UNITS = 150_000
+#: Entries that a worker's cache of encoded units holds at most; beyond that, those of the texts at hand stay.
+CACHE_UNITS = 250_000
 
 _NONE = np.int32(np.iinfo(np.int32).max)
 _EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -48,8 +48,9 @@ def units(text: str) -> list[str]:
         return []
     if _SPACES.search(text):
         return _SAFE.split(text)
-    first, *rest = text.split(" ")
-    return [first, *[" " + x for x in rest]]
+    if "\0" in text:
+        return _SAFE.split(text)
+    return text.replace(" ", "\0 ").split("\0")
 
 
 def pre_tokens(unit: str, findall) -> list[str]:
@@ -61,6 +62,17 @@ def pre_tokens(unit: str, findall) -> list[str]:
     return findall(unit)
 
 
+def unknown(cut: list[list[str]], cache: dict[str, bytes]) -> set[str]:
+    """Units of the texts at hand that ``cache`` lacks. Should they overfill it, it loses all units but those of these texts."""
+    needed = set().union(*cut)
+    missing = needed.difference(cache)
+    if len(cache) + len(missing) > CACHE_UNITS:
+        kept = {u: cache[u] for u in needed - missing}
+        cache.clear()
+        cache.update(kept)
+    return missing
+
+
 class PairTable:
     """Hash table from pairs of token ids to the id of their merger, probed for arrays."""
 
@@ -227,21 +239,14 @@ class BytePairCodec:
         parts = [pre_tokens(u, findall) for u in missing] if self.split_units else [findall(u) for u in missing]
         distinct = list({p for ps in parts for p in ps})
         coded = dict(zip(distinct, self.merge_rows([p.encode() for p in distinct]), strict=True))
-        if len(self.cache) + len(missing) > CACHE_UNITS:
-            self.cache.clear()
         self.cache.update(zip(missing, (b"".join(map(coded.__getitem__, ps)) for ps in parts), strict=True))
 
     def encode_packed(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers; a null text counts as empty."""
         split = units if self.split_units else (lambda t: [t] if t else [])
         cut = [split(t or "") for t in texts]
-        cache = self.cache
-        missing = {u for us in cut for u in us if u not in cache}
-        if len(cache) + len(missing) > CACHE_UNITS:  # what this call needs must stay together
-            cache.clear()
-            missing = {u for us in cut for u in us}
-        self._learn(missing)
-        return [b"".join(map(cache.__getitem__, us)) for us in cut]
+        self._learn(unknown(cut, self.cache))
+        return [b"".join(map(self.cache.__getitem__, us)) for us in cut]
 
     def encode(self, text: str | None) -> list[int]:
         return np.frombuffer(self.encode_packed([text])[0], "<u4").tolist()

@@ -22,7 +22,7 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_simple8b(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Writes every text's ids to Simple-8b shards in ascending doc_id order and reads them back."""
     docs = table(spark, sf_dir, "documents")
-    read = simple8b.round_trip(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN, end_id=2)
+    read = simple8b.round_trip(docs, public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
     return read.select("doc_id", "start", "n_tokens", F.crc32("token_ids").alias("ids_crc32"))
 
 

@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from corvane.llm.byte_bpe import CACHE_UNITS, pre_tokens, units
+from corvane.llm.byte_bpe import units, unknown
 from corvane.llm.common import fresh_path, sliced
 
 # Fixed values of the code: ids in a word and bits of each, by selector; selector 0 marks an escape, selectors 1 to 15 pack.
@@ -30,6 +30,10 @@ MAGIC = b"S8B1"
 BLOCK_IDS = 4096
 #: Ids of a segment, about; a longer document has a segment to itself.
 SEGMENT_IDS = 1 << 18
+#: The letter that stands for a space in byte-level vocabularies.
+SPACE = "\u0120"
+#: Units that the library encodes in one string.
+JOINED = 2000
 
 
 def choose(v: np.ndarray, block_ids: int) -> np.ndarray:
@@ -131,54 +135,74 @@ def decode_segment(data: bytes) -> np.ndarray:
 
 
 class LibraryTokenizer:
-    """Ids of whole texts by a byte-level BPE file of the tokenizers library, special-token strings being ordinary text.
+    """Ids of whole texts by a file of the tokenizers library, as its ``encode(..., add_special_tokens=False)`` gives them:
+    a string of an added token in a text becomes that token.
 
-    The library's model encodes each distinct pre-token once; the pre-tokens are those of its byte-level splitter.
+    ``split_units``: the file's splitter is the byte-level one, which never matches across the boundaries of ``units()``,
+    and no added token holds a space. Units that are not in the cache are then encoded by the library in strings of many;
+    as each id stands for a known number of bytes, the units' ids are found by place. Otherwise texts are encoded whole.
     """
 
-    def __init__(self, json_path: str, pattern: str) -> None:
-        import regex
+    def __init__(self, json_path: str, split_units: bool = True) -> None:
         from tokenizers import Tokenizer
 
-        self.model = Tokenizer.from_file(json_path).model
-        self.findall = regex.compile(pattern).findall
+        self.library = Tokenizer.from_file(json_path)
+        self.split_units = split_units
         self.cache: dict[str, bytes] = {}
-        plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]  # bytes that stand for themselves
-        other = iter(range(256, 512))
-        self.signs = {b: chr(b) if b in set(plain) else chr(next(other)) for b in range(256)}
+        # A token of a byte-level vocabulary has a character for each byte, an added token is its own text.
+        words = {i: len(w) for w, i in self.library.get_vocab(with_added_tokens=False).items()}
+        words |= {i: len(t.content.encode()) for i, t in self.library.get_added_tokens_decoder().items()}
+        self.width = np.zeros(max(words) + 1, np.int64)
+        self.width[[*words]] = [*words.values()]
 
-    def _piece(self, piece: str) -> bytes:
-        signs = piece if piece.isascii() and piece.isalpha() else piece.encode().decode("latin-1").translate(self.signs)
-        ids = [t.id for t in self.model.tokenize(signs)]
-        return pack(f"<{len(ids)}I", *ids)
+    def _whole(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, "<u4") for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _learn(self, missing: set[str]) -> None:
-        parts = [pre_tokens(u, self.findall) for u in missing]
-        coded = {p: self._piece(p) for p in {p for ps in parts for p in ps}}
-        self.cache.update(zip(missing, (b"".join(map(coded.__getitem__, ps)) for ps in parts), strict=True))
+        cache, model = self.cache, self.library.model
+        words, joined, alone = [], [], []
+        for u in missing:
+            if u[0] != " " or u[-1].isspace():
+                alone.append(u)
+            elif (w := u[1:]).isascii() and w.isalpha():
+                words.append(w)
+            else:
+                joined.append(u)
+        # A space and letters are one pre-token, in the vocabulary's letters: the library's model needs no splitter for it.
+        for w in words:
+            ids = [t.id for t in model.tokenize(SPACE + w)]
+            cache[" " + w] = pack(f"<{len(ids)}I", *ids)
+        cache.update((u, ids.tobytes()) for u, ids in zip(alone, self._whole(alone), strict=True))
+        # A unit that begins with its space and ends with none can stand behind another one.
+        groups = [joined[i : i + JOINED] for i in range(0, len(joined), JOINED)]
+        for group, ids in zip(groups, self._whole(["".join(g) for g in groups]), strict=True):
+            ends = np.cumsum([len(u.encode()) for u in group])
+            places = np.cumsum(self.width[ids])
+            at = np.searchsorted(places, ends) + 1
+            if not np.array_equal(places[at - 1], ends):
+                raise ValueError("a token crosses the boundary of a unit: use split_units=False for this tokenizer")
+            packed, at = ids.tobytes(), (4 * at).tolist()
+            cache.update((u, packed[a:b]) for u, a, b in zip(group, [0, *at[:-1]], at, strict=True))
 
     def encode_packed(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers; a null text counts as empty."""
+        if not self.split_units:
+            return [ids.tobytes() for ids in self._whole([t or "" for t in texts])]
         cut = [units(t or "") for t in texts]
-        cache = self.cache
-        missing = {u for us in cut for u in us if u not in cache}
-        if len(cache) + len(missing) > CACHE_UNITS:
-            cache.clear()
-            missing = {u for us in cut for u in us}
-        self._learn(missing)
-        return [b"".join(map(cache.__getitem__, us)) for us in cut]
+        self._learn(unknown(cut, self.cache))
+        return [b"".join(map(self.cache.__getitem__, us)) for us in cut]
 
 
-@lru_cache(maxsize=4)
-def tokenizer(json_path: str, pattern: str) -> LibraryTokenizer:
-    return LibraryTokenizer(json_path, pattern)
+@lru_cache(maxsize=1)
+def tokenizer(json_path: str, split_units: bool = True) -> LibraryTokenizer:
+    return LibraryTokenizer(json_path, split_units)
 
 
 #: Columns of a shard table.
 SHARD = "shard int, segment long, first long, doc_ids array<bigint>, n_tokens array<bigint>, payload binary"
 
 
-def write_shards(docs: DataFrame, path: str, json_path: str, pattern: str, end_id: int = 2, doc_id: str = "doc_id", text: str = "text", segment_ids: int = SEGMENT_IDS) -> None:
+def write_shards(docs: DataFrame, path: str, json_path: str, end_id: int = 2, doc_id: str = "doc_id", text: str = "text", segment_ids: int = SEGMENT_IDS, split_units: bool = True) -> None:
     """Encodes each text, appends ``end_id`` and writes the ids in ascending order of ``doc_id`` (null first) to ``path``.
 
     One range shuffle of the texts; each range is a shard that streams into segments, so a task holds one segment and one
@@ -188,7 +212,7 @@ def write_shards(docs: DataFrame, path: str, json_path: str, pattern: str, end_i
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard = TaskContext.get().partitionId()
-        encoder = tokenizer(json_path, pattern)
+        encoder = tokenizer(json_path, split_units)
         end = np.array([end_id], "<u4").tobytes()
         ids: list[int | None] = []
         held: list[bytes] = []
@@ -243,8 +267,8 @@ def read_shards(spark, path: str) -> DataFrame:
     return rows.join(F.broadcast(starts), "shard").select("doc_id", (F.col("base") + F.col("offset")).alias("start"), "n_tokens", "token_ids")
 
 
-def round_trip(docs: DataFrame, json_path: str, pattern: str, end_id: int = 2) -> DataFrame:
+def round_trip(docs: DataFrame, json_path: str, end_id: int = 2) -> DataFrame:
     """Writes ``docs`` as shards in the shared folder and returns what ``read_shards`` finds there."""
     path = fresh_path(docs.sparkSession, "simple8b")
-    write_shards(docs, path, json_path, pattern, end_id)
+    write_shards(docs, path, json_path, end_id)
     return read_shards(docs.sparkSession, path)

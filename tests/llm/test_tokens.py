@@ -90,8 +90,8 @@ def test_op4(spark, tmp_path):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(JSON)
-    t.encode_special_tokens = True
-    texts = [(5 * i, x) for i, x in enumerate(ODD)] + [(3, None)]
+    more = ["a<|endoftext|>b", "<|endoftext|>", "x <|endoftext|> y <|endoftext|>", " lead", "nul\0 byte", "tail ", "word, word. it's we'll 12 Ġ ab\u00a0cd"]
+    texts = [(5 * i, x) for i, x in enumerate([*ODD, *more])] + [(3, None)]
     spark.createDataFrame(texts[::-1], "doc_id long, text string").repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
     got = {r["doc_id"]: r for r in Q.op4_simple8b(spark, str(tmp_path)).collect()}
     start = 0
@@ -101,11 +101,21 @@ def test_op4(spark, tmp_path):
         start += len(ids)
 
 
+def test_library_ids_of_real_texts(spark):
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(JSON)
+    texts = [r["text"] for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").limit(400).collect()]
+    for whole in (True, False):
+        coder = simple8b.LibraryTokenizer(JSON, split_units=whole)
+        assert [np.frombuffer(x, "<u4").tolist() for x in coder.encode_packed(texts)] == [e.ids for e in t.encode_batch(texts, add_special_tokens=False)]
+
+
 def test_shards_of_an_empty_table_and_small_segments(spark, tmp_path):
     empty = spark.createDataFrame([], "doc_id long, text string")
-    assert simple8b.round_trip(empty, JSON, P.PATTERN).count() == 0
+    assert simple8b.round_trip(empty, JSON).count() == 0
     docs = spark.createDataFrame([(i, "word " * i) for i in range(40)] + [(7, "again"), (None, "no id")], "doc_id long, text string")
-    simple8b.write_shards(docs, str(tmp_path / "s"), JSON, P.PATTERN, segment_ids=10)
+    simple8b.write_shards(docs, str(tmp_path / "s"), JSON, segment_ids=10)
     rows = simple8b.read_shards(spark, str(tmp_path / "s")).orderBy("start").collect()
     assert len(rows) == 42 and rows[0]["doc_id"] is None
     assert all(a["start"] + a["n_tokens"] == b["start"] for a, b in zip(rows, rows[1:], strict=False))

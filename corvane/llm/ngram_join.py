@@ -114,7 +114,7 @@ def _ranks(described: DataFrame, buckets: int) -> np.ndarray:
 
 
 def _prefixes(docs: DataFrame, nodes: DataFrame, ranks: np.ndarray, size: int, t: Threshold) -> DataFrame:
-    """hi, lo, node, n, prefix and bits of each different set."""
+    """row (a number), node, n, prefix and bits of each different set."""
     shared = docs.sparkSession.sparkContext.broadcast(ranks)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -133,17 +133,19 @@ def _prefixes(docs: DataFrame, nodes: DataFrame, ranks: np.ndarray, size: int, t
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["hi", "lo", "n", "prefix", "bits"])
 
     made = docs.select("text").mapInArrow(run, "hi bigint, lo bigint, n int, prefix array<bigint>, bits binary")
-    return written(made.dropDuplicates(["hi", "lo"]).join(nodes, ["hi", "lo"]), "prefixes")
+    different = made.dropDuplicates(["hi", "lo"]).join(nodes, ["hi", "lo"])
+    # Numbers of the rows as written: short keys for what follows.
+    return written(different.withColumn("row", F.monotonically_increasing_id()), "prefixes")
 
 
 def _members(prefixes: DataFrame) -> DataFrame:
     """node, n, bits and shared: pos, h and c of a set's prefix shingles that another set has in its prefix too, c being the
     number of sets that do; sets without any are left out. Light rows alone are shuffled by shingle."""
-    spread = prefixes.select("hi", "lo", F.posexplode("prefix").alias("pos", "h"))
+    spread = prefixes.select("row", F.posexplode("prefix").alias("pos", "h"))
     # Elements of a set differ and sets differ, so a shingle that counts twice belongs to two sets.
     shared = spread.groupBy("h").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
-    kept = spread.join(shared, "h").groupBy("hi", "lo").agg(F.sort_array(F.collect_list(F.struct("pos", "h", "c"))).alias("shared"))
-    return written(prefixes.select("hi", "lo", "node", "n", "bits").join(kept, ["hi", "lo"]).drop("hi", "lo"), "members")
+    kept = spread.join(shared, "h").groupBy("row").agg(F.sort_array(F.collect_list(F.struct("pos", "h", "c"))).alias("shared"))
+    return written(prefixes.select("row", "node", "n", "bits").join(kept, "row").drop("row"), "members")
 
 
 # -- families ------------------------------------------------------------------------------------------------------------
@@ -394,7 +396,7 @@ def one_of_each(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     ids = written(found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("c"), F.max("component_id").alias("component")), "kept")
     gone = ids.where("component <> doc_id").select("doc_id")
     again = ids.where("component = doc_id and c > 1").select("doc_id")
-    apart = gone.unionByName(again)
+    apart, again = small(written(gone.unionByName(again), "apart")), small(written(again, "again"))
     least = F.struct(*[F.col(f"`{c}`") for c in ["text", *[c for c in docs.columns if c != "text"]]])
     repeated = docs.join(again, "doc_id", "left_semi").groupBy(F.col("doc_id").alias("_1")).agg(F.min(least).alias("_2")).select(*[F.col(f"_2.`{c}`") for c in docs.columns])
     return docs.join(apart, "doc_id", "left_anti").unionByName(repeated)

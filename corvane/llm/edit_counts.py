@@ -48,6 +48,10 @@ class Counter:
         return [known[p] for p in pieces]
 
 
+def _blocks(items: list) -> list[list]:
+    return [items[i : i + BLOCK] for i in range(0, len(items), BLOCK)]
+
+
 class CountTree:
     """The pre-tokens of one text in blocks below a binary tree of (characters, tokens)."""
 
@@ -55,16 +59,19 @@ class CountTree:
         self.counter = counter
         pieces = counter.split(text)
         counts = counter.counts(pieces)
-        self.pieces = [pieces[i : i + BLOCK] for i in range(0, len(pieces), BLOCK)] or [[]]
-        self.counts = [counts[i : i + BLOCK] for i in range(0, len(counts), BLOCK)] or [[]]
-        self.leaves = 1 << (len(self.pieces) - 1).bit_length()
+        self._place(_blocks(pieces) or [[]], _blocks(counts) or [[]])
+        self.reencoded = 0
+
+    def _place(self, pieces: list[list[str]], counts: list[list[int]]) -> None:
+        """Takes up the blocks and sums the tree above them: at the start, and when an edit has overfilled its blocks."""
+        self.pieces, self.counts = pieces, counts
+        self.leaves = 1 << (len(pieces) - 1).bit_length()
         self.chars, self.tokens = [0] * (2 * self.leaves), [0] * (2 * self.leaves)
-        for k, (p, c) in enumerate(zip(self.pieces, self.counts, strict=True)):
+        for k, (p, c) in enumerate(zip(pieces, counts, strict=True)):
             self.chars[self.leaves + k], self.tokens[self.leaves + k] = sum(map(len, p)), sum(c)
         for i in range(self.leaves - 1, 0, -1):
             self.chars[i] = self.chars[2 * i] + self.chars[2 * i + 1]
             self.tokens[i] = self.tokens[2 * i] + self.tokens[2 * i + 1]
-        self.reencoded = 0
 
     @property
     def n_tokens(self) -> int:
@@ -107,53 +114,61 @@ class CountTree:
         while keep < len(block) and begin + len(block[keep]) + CONTEXT <= start:
             begin += len(block[keep])
             keep += 1
-        last, old_end = first, begin + sum(map(len, block[keep:]))
+        last, old_end, step = first, begin + sum(map(len, block[keep:])), 1
         region = "".join(block[keep:])
+        grown = len(replacement) - (stop - start)
         while True:
+            whole = last + 1 >= len(self.pieces)
             if old_end >= stop:
-                tail_end = last + 1 >= len(self.pieces)
                 new = region[: start - begin] + replacement + region[stop - begin :]
                 pieces = self.counter.split(new)
-                grown = len(replacement) - (stop - start)
-                if tail_end:
-                    break
                 # Old boundaries behind the edit inside the region; from a common one on, both texts split alike, and the
-                # old pre-tokens stand. The last new ones may look beyond the region and don't count.
+                # old pre-tokens stand. The last new ones may look beyond a region that ends before the text does.
                 old = [p for k in range(first, last + 1) for p in self.pieces[k][keep if k == first else 0 :]]
                 bounds, at = {}, begin
                 for j, p in enumerate(old):
                     if at >= stop:
                         bounds[at + grown] = j
                     at += len(p)
-                at, limit, met = begin, begin + len(new) - CONTEXT, False
+                at, limit, met = begin, begin + len(new) - (0 if whole else CONTEXT), None
                 for j, p in enumerate(pieces):
                     if at in bounds and at + len(p) <= limit:
-                        pieces, met = pieces[:j] + old[bounds[at] :], True
+                        met = j
                         break
                     at += len(p)
-                if met:
+                if met is not None or whole:
                     break
-            last += 1
-            region += "".join(self.pieces[last])
-            old_end += sum(map(len, self.pieces[last]))
-        self.reencoded += len(new)
-        counts = self.counter.counts(pieces)
-        self.pieces[first], self.counts[first] = self.pieces[first][:keep] + pieces, self.counts[first][:keep] + counts
-        for k in range(first + 1, last + 1):
-            self.pieces[k], self.counts[k] = [], []
-        for k in range(first, last + 1):
-            self._update(k)
+            # The region doubles, so that an edit splits a bounded multiple of what it has to.
+            for _ in range(min(step, len(self.pieces) - 1 - last)):
+                last += 1
+                region += "".join(self.pieces[last])
+                old_end += sum(map(len, self.pieces[last]))
+            step *= 2
+        fresh, kept = (pieces, []) if met is None else (pieces[:met], old[bounds[at] :])
+        self.reencoded += sum(map(len, fresh))
+        pieces = self.pieces[first][:keep] + fresh + kept
+        known = [c for k in range(first, last + 1) for c in self.counts[k]]
+        counts = known[:keep] + self.counter.counts(fresh) + known[len(known) - len(kept) :]
+        if len(pieces) <= 2 * BLOCK * (last + 1 - first):
+            # Spread over the blocks that they come from: the paths above these alone change.
+            size = max(1, -(-len(pieces) // (last + 1 - first)))
+            for k in range(first, last + 1):
+                i = (k - first) * size
+                self.pieces[k], self.counts[k] = pieces[i : i + size], counts[i : i + size]
+                self._update(k)
+        else:
+            self._place(self.pieces[:first] + _blocks(pieces) + self.pieces[last + 1 :], self.counts[:first] + _blocks(counts) + self.counts[last + 1 :])
 
 
 def derived_edits(docs: DataFrame, edits: str = "edits") -> DataFrame:
     """``docs`` with three edits each, derived from the text's length and doc_id: a deletion at a third, an insertion of
     the text's first words in the middle, and a replacement at the end. A null or empty text gets insertions alone."""
     n = F.coalesce(F.char_length("text"), F.lit(0))
-    third, some = F.expr("n_ div 3"), F.expr("pmod(coalesce(doc_id, 0), 23)").cast("int")
+    third, middle, some = F.floor(n / 3), F.floor(n / 2), F.expr("pmod(coalesce(doc_id, 0), 23)").cast("int")
     one = lambda a, b, r: F.struct(a.cast("int").alias("start"), b.cast("int").alias("stop"), r.alias("replacement"))
     head = F.substring(F.coalesce("text", F.lit("")), 1, 40)
-    listed = F.array(one(third, third + some, F.lit("")), one(F.expr("n_ div 2"), F.expr("n_ div 2"), F.concat(F.lit(" "), head)), one(F.col("n_") - some, F.col("n_") + some, F.lit(" 'll end\n\n")))
-    return docs.withColumn("n_", n).withColumn(edits, listed).drop("n_")
+    listed = F.array(one(third, third + some, F.lit("")), one(middle, middle, F.concat(F.lit(" "), head)), one(n - some, n + some, F.lit(" 'll end\n\n")))
+    return docs.withColumn(edits, listed)
 
 
 _counters: dict[tuple[str, str], Counter] = {}

@@ -12,7 +12,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corvane.llm.common import written
+from corvane.llm.common import unused, written
 
 #: Documents of a range of ids, about, and ranges at most.
 RANGE_ROWS, RANGES = 1000, 65_536
@@ -60,9 +60,10 @@ def fingerprint(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` with ``fingerprint``; equal canonical texts, and they alone, have equal ones. Null counts as empty. Rows and
     other columns stay; an input column named ``fingerprint`` gives way."""
     kept = docs.drop(*[c for c in docs.columns if c.lower() == "fingerprint"])
-    made = kept.withColumn("canon_", canonical(F.col(text)))
-    collided = collisions(docs, made.select(digest(F.col("canon_")).alias("fingerprint")), text)
-    return made.withColumn("fingerprint", _fingerprint(F.col("canon_"), collided)).drop("canon_")
+    canon = unused(kept, "canon")
+    made = kept.withColumn(canon, canonical(F.col(text)))
+    collided = collisions(docs, made.select(digest(F.col(canon)).alias("fingerprint")), text)
+    return made.withColumn("fingerprint", _fingerprint(F.col(canon), collided)).drop(canon)
 
 
 def with_following(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", range_rows: int = RANGE_ROWS) -> DataFrame:

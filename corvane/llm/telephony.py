@@ -206,38 +206,56 @@ def decode(df: DataFrame, media: str = "media", keep: list[str] | None = None) -
     return with_arrow(df, kernel, "payload binary, pcm binary, pcm_rate int", media, keep)
 
 
+def pcm_file(media: bytes) -> bytes:
+    """A WAVE file of the samples that ``media`` codes, as 16-bit PCM at twice the rate."""
+    tag, rate, block, data = wav_parse(media)
+    return wav_build(resample_double(expand(data, tag, block)).tobytes(), TAG_PCM, 2 * rate, 16, 2)
+
+
+def store_pcm(df: DataFrame, media: str = "media", out: str = "pcm_media", keep: list[str] | None = None) -> DataFrame:
+    """``df`` with ``out``, the resampled samples of each file as a WAVE file of 16-bit PCM. A null file gives null; rows and
+    other columns stay, an input column named ``out`` gives way. No shuffle."""
+
+    def kernel(part: pa.RecordBatch) -> dict[str, pa.Array]:
+        return {out: pa.array([None if x is None else pcm_file(x) for x in part.column(media).to_pylist()], pa.binary())}
+
+    return with_arrow(df, kernel, f"`{out}` binary", media, keep)
+
+
 def features(df: DataFrame, media: str = "media", keep: list[str] | None = None) -> DataFrame:
     """``df`` with payload_bytes, payload_sha256 and tail_crc32 of the bytes read back from each file, media_bytes and
-    media_sha256 of the file, and a ``feature`` string.
+    media_sha256 of the file, a ``feature`` string, and pcm_bytes and pcm_sha256 of its ``pcm_file``.
 
     The feature names, for the payload read as mu-law, as A-law and as ADPCM blocks of 576 bytes: samples, mean absolute
-    value, peak and sign changes, and the CRC-32 of the resampled mu-law PCM. It depends on the bytes alone.
+    value, peak and sign changes, and samples and CRC-32 of the PCM that is read back from the file stored for it. It depends
+    on the bytes alone. A null file gives nulls; rows and other columns stay, those named like an added one give way; an empty
+    table stays empty. No shuffle.
     """
+    added = "payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string, pcm_bytes bigint, pcm_sha256 string"
+    kinds = [(n, pa.int64() if t == "bigint" else pa.string()) for n, t in (x.split() for x in added.split(", "))]
 
     def kernel(part: pa.RecordBatch) -> dict[str, pa.Array]:
         files = part.column(media).to_pylist()
-        data = [wav_parse(x)[3] for x in files]
+        data = [b"" if x is None else wav_parse(x)[3] for x in files]
         whole = np.frombuffer(b"".join(data), np.uint8)
         ends = np.cumsum([len(x) for x in data])
         # ADPCM blocks of all files of the slice decode together.
         adpcm = ima_decode(whole.reshape(-1, BLOCK_BYTES)) if len(whole) else np.zeros((0, 1), np.int16)
-        said = []
-        for x, end in zip(data, ends, strict=True):
-            mu = mulaw_table()[np.frombuffer(x, np.uint8)]
+        rows = []
+        for file, x, end in zip(files, data, ends, strict=True):
+            if file is None:
+                rows.append([None] * len(kinds))
+                continue
             parts = []
-            for name, pcm in (("mulaw", mu), ("alaw", alaw_table()[np.frombuffer(x, np.uint8)]), ("adpcm", adpcm[(end - len(x)) // BLOCK_BYTES : end // BLOCK_BYTES].ravel())):
+            codes = np.frombuffer(x, np.uint8)
+            for name, pcm in (("mulaw", mulaw_table()[codes]), ("alaw", alaw_table()[codes]), ("adpcm", adpcm[(end - len(x)) // BLOCK_BYTES : end // BLOCK_BYTES].ravel())):
                 size = np.abs(pcm.astype(np.int32))
                 negative = pcm < 0
                 parts.append(f"{name}:{len(pcm)},{int(size.sum()) // max(1, len(pcm))},{int(size.max(initial=0))},{int(np.count_nonzero(negative[1:] != negative[:-1]))}")
-            said.append(";".join([*parts, f"pcm16k:{zlib.crc32(resample_double(mu).tobytes())}"]))
-        return {
-            "payload_bytes": pa.array([len(x) for x in data], pa.int64()),
-            "payload_sha256": pa.array([hashlib.sha256(x).hexdigest() for x in data], pa.string()),
-            "tail_crc32": pa.array([zlib.crc32(x[-32:]) for x in data], pa.int64()),
-            "media_bytes": pa.array([len(x) for x in files], pa.int64()),
-            "media_sha256": pa.array([hashlib.sha256(x).hexdigest() for x in files], pa.string()),
-            "feature": pa.array(said, pa.string()),
-        }
-
-    added = "payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string"
-    return with_arrow(df.where(F.col(media).isNotNull()), kernel, added, media, keep)
+            stored = pcm_file(file)
+            samples = wav_parse(stored)[3]
+            parts.append(f"pcm16k:{len(samples) // 2},{zlib.crc32(samples)}")
+            rows.append([len(x), hashlib.sha256(x).hexdigest(), zlib.crc32(x[-32:]), len(file), hashlib.sha256(file).hexdigest(), ";".join(parts), len(stored), hashlib.sha256(stored).hexdigest()])
+        return {n: pa.array([r[k] for r in rows], t) for k, (n, t) in enumerate(kinds)}
+
+    return with_arrow(df, kernel, added, media, keep)

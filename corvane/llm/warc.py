@@ -15,6 +15,8 @@ import html
 import json
 import re
 import uuid
+import zlib
+from collections.abc import Iterator
 from urllib.parse import urljoin
 
 import pyarrow as pa
@@ -28,12 +30,13 @@ VERSION = b"WARC/1.1"
 DATE = "1970-01-01T00:00:00Z"
 NAMESPACE = uuid.uuid5(uuid.NAMESPACE_URL, "urn:corvane:warc")
 
-_GONE = re.compile(r"<!--.*?-->|<(script|style|noscript|template)\b[^>]*>.*?</\1\s*>|<head\b[^>]*>.*?</head\s*>|<!doctype[^>]*>", re.I | re.S)
-_BREAK = re.compile(r"</?(?:p|div|br|li|ul|ol|h[1-6]|tr|table|article|section|nav|header|footer|blockquote|pre|main|aside)\b[^>]*>", re.I)
-_TAG = re.compile(r"<[a-z/!][^>]*>", re.I)
-_TITLE = re.compile(r"<title\b[^>]*>(.*?)</title", re.I | re.S)
-_LINK = re.compile(r"""<a\b[^>]*?\bhref\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
-_UNSEEN = re.compile(r"<!--.*?-->|<(script|style)\b[^>]*>.*?</\1\s*>", re.I | re.S)
+#: Tags that begin a new line of text, and elements that show nothing.
+BREAKS = frozenset("p div br li ul ol h1 h2 h3 h4 h5 h6 tr table article section nav header footer blockquote pre main aside".split())
+HIDDEN = ("script", "style", "noscript", "template", "head")
+_NAME = re.compile(r"[a-z][^\s/>]*", re.I)
+_CLOSE = {name: re.compile(rf"</{name}\s*>", re.I) for name in HIDDEN}
+_TITLE, _TITLE_END = re.compile(r"<title\b", re.I), re.compile(r"</title", re.I)
+_HREF = re.compile(r"""\bhref\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 _LINE = re.compile(r"[^\S\n]+")
 
 
@@ -80,23 +83,68 @@ def response(url: str | None, body: str | None, key: str, date: str = DATE, comp
     return build("response", record_id("response", key, url, headers[2][1]), headers, "application/http; msgtype=response", http + payload, compressed)
 
 
+def scan(page: str, hidden: tuple[str, ...]) -> Iterator[tuple[str, str]]:
+    """The page from left to right, as ("text", its text), ("gone", "") for a comment or ``hidden`` element, and (name in
+    lower case, tag) for any other tag; a closing tag's name begins with "/", a declaration's is "!".
+
+    A tag ends at the next ">". What never ends is looked for once: a comment or hidden element without an end is a tag, a
+    tag without one is text. Every character is read a bounded number of times.
+    """
+    at = begin = 0
+    endless: set[str] = set()
+    while (lt := page.find("<", at)) >= 0:
+        end, kind, name = -1, "gone", ""
+        if page.startswith("<!--", lt) and "!--" not in endless:
+            end = page.find("-->", lt + 4) + 3
+            if end < 3:
+                endless.add("!--")
+                end = -1
+        if end < 0:
+            closing = page.startswith("/", lt + 1)
+            found = _NAME.match(page, lt + 1 + closing)
+            if not found and not page.startswith(("!", "/"), lt + 1):
+                at = lt + 1
+                continue
+            gt = page.find(">", found.end() if found else lt + 1)
+            if gt < 0:
+                break
+            name, end = (found[0].lower() if found else "!"), gt + 1
+            kind = "/" * closing + name
+            if not closing and name in hidden and name not in endless:
+                if close := _CLOSE[name].search(page, end):
+                    kind, end = "gone", close.end()
+                else:
+                    endless.add(name)
+        if lt > begin:
+            yield "text", page[begin:lt]
+        yield kind, "" if kind == "gone" else page[lt:end]
+        at = begin = end
+    if begin < len(page):
+        yield "text", page[begin:]
+
+
 def plain_text(page: str) -> str:
     """What a page shows: no scripts, styles, comments and head; a line for each block; character references resolved."""
-    shown = _TAG.sub("", _BREAK.sub("\n", _GONE.sub(" ", page)))
+    shown = "".join(x if kind == "text" else " " if kind == "gone" else "\n" if kind.lstrip("/") in BREAKS else "" for kind, x in scan(page, HIDDEN))
     lines = [_LINE.sub(" ", x).strip() for x in html.unescape(shown).split("\n")]
     return "\n".join(x for x in lines if x)
 
 
 def title(page: str) -> str | None:
+    """The first title, if it has an end."""
     found = _TITLE.search(page)
-    return " ".join(html.unescape(found[1]).split()) if found else None
+    begin = page.find(">", found.end()) + 1 if found else 0
+    end = _TITLE_END.search(page, begin) if begin else None
+    return " ".join(html.unescape(page[begin : end.start()]).split()) if end else None
 
 
 def links(page: str, base: str | None) -> list[str]:
     """Targets of the page's anchors in order, against ``base`` where one is known; a target that is no URL stays as it is."""
     out = []
-    for a, b, c in _LINK.findall(_UNSEEN.sub(" ", page)):
-        ref = html.unescape(a or b or c).strip()
+    for kind, tag in scan(page, ("script", "style")):
+        if kind != "a" or not (found := _HREF.search(tag)):
+            continue
+        ref = html.unescape(found[1] or found[2] or found[3] or "").strip()
         try:
             out.append(urljoin(base, ref) if base else ref)
         except ValueError:
@@ -133,7 +181,7 @@ def responses(pages: DataFrame, url: str = "url", body: str = "html", key: str =
 
     def kernel(part: pa.RecordBatch) -> dict[str, pa.Array]:
         rows = zip(part.column(url).to_pylist(), part.column(body).to_pylist(), part.column(key).to_pylist(), strict=True)
-        return {"record": pa.array([response(u, b, str(k), compressed=compressed) for u, b, k in rows], pa.binary())}
+        return {"record": pa.array([response(u, b, "" if k is None else str(k), compressed=compressed) for u, b, k in rows], pa.binary())}
 
     return with_arrow(pages, kernel, "record binary", body)
 
@@ -142,17 +190,29 @@ DERIVED = "array<struct<record_type:string,record_id:string,refers_to:string,tar
 
 
 def derivatives(records: DataFrame, record: str = "record", keep: list[str] | None = None, compressed: bool = False) -> DataFrame:
-    """``keep`` (all other columns by default) and ``derived``, the records made from each response in ``record``: first
-    the metadata, then the conversion. Null bytes and records of other types give an empty list; bytes that end inside a
-    record fail the task. No shuffle."""
+    """``keep`` (all other columns by default), ``derived``, the records made from each response in ``record`` (first the
+    metadata, then the conversion), and ``error``.
+
+    Null bytes and records of other types give an empty list. Bytes that are no records, or end inside one, give an empty list
+    and say why in ``error`` (null elsewhere), so that one bad file ends no job. Input columns named like an added one give
+    way. No shuffle."""
     kind = pa.list_(pa.struct([(n, pa.int64() if n == "block_bytes" else pa.binary() if n == "record" else pa.string()) for n in ("record_type", "record_id", "refers_to", "target_uri", "payload_digest", "block_digest", "block_bytes", "record")]))
 
+    def one(data: bytes | None) -> tuple[list[dict], str | None]:
+        try:
+            if data and data[:2] != b"\x1f\x8b" and data[:5] != b"WARC/":
+                raise ValueError("no WARC record")
+            return (derive_one(data, compressed) if data else []), None
+        except (ValueError, KeyError, OSError, EOFError, zlib.error) as e:
+            return [], f"{type(e).__name__}: {e}"
+
     def kernel(part: pa.RecordBatch) -> dict[str, pa.Array]:
-        return {"derived": pa.array([derive_one(x, compressed) if x else [] for x in part.column(record).to_pylist()], kind)}
+        rows = [one(x) for x in part.column(record).to_pylist()]
+        return {"derived": pa.array([d for d, _ in rows], kind), "error": pa.array([e for _, e in rows], pa.string())}
 
-    return with_arrow(records, kernel, f"derived {DERIVED}", record, [c for c in records.columns if c != record] if keep is None else keep)
+    return with_arrow(records, kernel, f"derived {DERIVED}, error string", record, [c for c in records.columns if c != record] if keep is None else keep)
 
 
 def flat(derived: DataFrame) -> DataFrame:
-    """One row for each derived record, with the other columns of ``derived``."""
-    return derived.select(*[F.col(f"`{c}`") for c in derived.columns if c != "derived"], F.inline("derived"))
+    """One row for each derived record, with the other columns of ``derived`` but ``error``; files without records have none."""
+    return derived.select(*[F.col(f"`{c}`") for c in derived.columns if c not in ("derived", "error")], F.inline("derived"))

@@ -154,6 +154,38 @@ def test_records_one_after_the_other_and_compressed():
         warc.parse(warc.response("http://a/", "xyz", "1")[:-8])
 
 
+def test_scanner_is_linear_and_keeps_what_never_ends():
+    from time import process_time
+
+    for part in ("<a ", "<script>", "<!--", "<title>", "</", '<a href="', "<p>" "<style><"):
+        page, begin = part * (2_000_000 // len(part)), process_time()
+        warc.plain_text(page), warc.title(page), warc.links(page, "http://h/")
+        assert process_time() - begin < 20, part
+    assert warc.plain_text("a < b <i>c</i> <!-- d <b>e</b>") == "a < b c e"
+    assert warc.plain_text("x<script>y<p>z") == "xy\nz" and warc.plain_text("<P CLASS=a>q</p >r<br/>s") == "q\nr\ns"
+    assert warc.links("<a>n</a><a HREF = '/x'>1<noscript><a href=y>2<script><a href=z></script><abbr href=w>", "http://h/p/") == ["http://h/x", "http://h/p/y"]
+    assert warc.title("<head><title lang=en>A &amp;\n B</title>") == "A & B" and warc.title("<title>no end") is None
+
+
+def test_files_that_are_no_records_say_why(spark):
+    good = warc.response("http://a/", "x", "1")
+    rows = [(1, good), (2, good[:-8]), (3, b"\x1f\x8bno gzip"), (4, b"noise"), (5, None)]
+    got = {r["n"]: r for r in warc.derivatives(spark.createDataFrame(rows, "n int, record binary")).collect()}
+    assert [len(got[n]["derived"]) for n in range(1, 6)] == [2, 0, 0, 0, 0]
+    assert [got[n]["error"] is None for n in range(1, 6)] == [True, False, False, False, True]
+
+
+def test_pcm_is_stored_and_read_back(spark):
+    payload = bytes(range(256)) * 9
+    docs = spark.createDataFrame([(1, telephony.wav_build(payload, telephony.TAG_MULAW)), (2, None)], "doc_id long, media binary")
+    rows = {r["doc_id"]: r for r in telephony.features(telephony.store_pcm(docs)).collect()}
+    tag, rate, _, data = telephony.wav_parse(bytes(rows[1]["pcm_media"]))
+    pcm = telephony.resample_double(telephony.mulaw_table()[np.frombuffer(payload, np.uint8)])
+    assert (tag, rate, bytes(data)) == (telephony.TAG_PCM, 16000, pcm.tobytes())
+    assert rows[1]["pcm_sha256"] == hashlib.sha256(bytes(rows[1]["pcm_media"])).hexdigest()
+    assert rows[1]["feature"].endswith(f"pcm16k:{len(pcm)},{zlib.crc32(pcm.tobytes())}") and rows[2]["feature"] is None
+
+
 def test_op6(spark, tmp_path):
     rows = [(1, "http://a/", PAGE), (2, None, None), (2, None, None), (None, "http://b/\r\nX: y", ""), (4, "no url [", "<a href='http://[bad'>x</a>" + "y" * 50_000)]
     spark.createDataFrame([(*r, "clash") for r in rows], "page_id long, url string, html string, record string").write.parquet(str(tmp_path / "pages.parquet"))

@@ -145,6 +145,20 @@ def test_edits_touch_little_of_a_long_text(coder):
     assert tree.reencoded < 1000 and tree.n_tokens == len(coder.encode(text[:50_000] + "XYZ" + text[50_003:]))
 
 
+def test_blocks_split_and_the_end_of_a_text_is_kept(coder):
+    counter = edit_counts.Counter(coder)
+    text = "word and other words, " * 500
+    tree = edit_counts.CountTree(text, counter)
+    tree.edit(1000, 1000, "x y z " * 15_000)
+    text = text[:1000] + "x y z " * 15_000 + text[1000:]
+    assert max(map(len, tree.pieces)) <= 2 * edit_counts.BLOCK
+    for at in (50_000, len(text) - 300):
+        tree.reencoded = 0
+        tree.edit(at, at + 1, "Q")
+        text = text[:at] + "Q" + text[at + 1 :]
+        assert tree.reencoded < 1000 and tree.text() == text and tree.n_tokens == len(coder.encode(text))
+
+
 def test_op10(spark, coder, tmp_path):
     docs = spark.createDataFrame([*enumerate(ODD), (None, None)], "doc_id long, text string")
     docs.write.parquet(str(tmp_path / "documents.parquet"))

@@ -18,7 +18,8 @@ ARTICLE = rf"(?md)^{T.SPACE}*(Điều{T.SPACE}+\p{{Nd}}+[a-zđ]?){T.SPACE}*[.:]?
 CLAUSE = rf"(?md)^{T.SPACE}*(\p{{Nd}}+)\.{T.SPACE}"
 #: Fixed labels.
 PREAMBLE, CLAUSE_LABEL, PART_LABEL, SUBPART_LABEL, TITLE_ONLY = "Phần mở đầu", "Khoản ", "Phần ", "phần ", "title-only"
-_MARK = ""
+#: A private character; "a" behind it stands for the character itself, "b" for a place to split at.
+_MARK = "\ue000"
 
 #: Chunk numbers of a document lie in a range of their own, so that no global sort is needed to number chunks.
 CHUNKS_PER_DOC = 1 << 20
@@ -26,7 +27,9 @@ CHUNKS_PER_DOC = 1 << 20
 
 def marked_pieces(text: Column, pattern: str) -> Column:
     """What stands before the first match of ``pattern``, then a piece from each match to the next."""
-    return F.split(F.regexp_replace(text, pattern, _MARK + "$0"), _MARK)
+    escaped = F.replace(text, F.lit(_MARK), F.lit(_MARK + "a"))
+    pieces = F.split(F.regexp_replace(escaped, pattern, _MARK + "b$0"), _MARK + "b")
+    return F.transform(pieces, lambda p: F.replace(p, F.lit(_MARK + "a"), F.lit(_MARK)))
 
 
 def windows(text: Column, window: int = WINDOW_WORDS, overlap: float = OVERLAP) -> Column:

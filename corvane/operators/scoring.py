@@ -5,7 +5,7 @@ Ties: scores are compared at nine decimals, then the lower chunk or document num
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corvane.functions import text as T
@@ -29,7 +29,8 @@ def hit_terms(index: Index, questions: DataFrame) -> DataFrame:
 def score(index: Index, questions: DataFrame, params: DataFrame | None = None, k1: float = K1, b: float = B) -> DataFrame:
     """(qid, chunk_idx, doc_id, score) of every chunk with a term of the question.
 
-    ``params`` (k1, b) scores for each of its rows in one job and adds its columns. Terms of questions reach the postings
+    ``params`` (k1, b: one row for each pair, a table of parameters) scores for each of its rows in one job and adds its
+    columns. Terms of questions reach the postings
     before these are counted: the semi join moves below their aggregation.
     """
     asked = query_terms(questions)
@@ -37,13 +38,20 @@ def score(index: Index, questions: DataFrame, params: DataFrame | None = None, k
     vocab = index.vocab.join(wanted, "term", "left_semi")
     postings = index.postings.join(wanted, "term", "left_semi").join(vocab.select("term", "idf"), "term").join(index.chunk_stats, "chunk_idx").crossJoin(F.broadcast(index.corpus_stats.select("avgdl")))
     matched = postings.join(asked, "term")
-    keys = ["qid", "chunk_idx", "doc_id"]
+    pairs = [(float(k1), float(b))] if params is None else [(r["k1"], r["b"]) for r in params.select("k1", "b").collect()]
+    if not pairs:
+        pairs, matched = [(k1, b)], matched.limit(0)
+
+    def total(k1: float, b: float) -> Column:
+        norm = k1 * (1 - b + b * F.col("doclen") / F.col("avgdl"))
+        return F.sum(F.col("qtf") * F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + norm))
+
+    # A match is read and grouped once, with a sum for each pair of parameters; these become rows afterwards.
+    groups = matched.groupBy("qid", "chunk_idx", "doc_id")
     if params is None:
-        matched = matched.withColumns({"k1": F.lit(float(k1)), "b": F.lit(float(b))})
-    else:
-        matched, keys = matched.crossJoin(F.broadcast(params)), [*keys, "k1", "b"]
-    norm = F.col("k1") * (1 - F.col("b") + F.col("b") * F.col("doclen") / F.col("avgdl"))
-    return matched.groupBy(*keys).agg(F.sum(F.col("qtf") * F.col("idf") * F.col("tf") * (F.col("k1") + 1) / (F.col("tf") + norm)).alias("score"))
+        return groups.agg(total(*pairs[0]).alias("score"))
+    sums = groups.agg(F.array(*[F.struct(F.lit(x).alias("k1"), F.lit(y).alias("b"), total(x, y).alias("score")) for x, y in pairs]).alias("by_pair"))
+    return sums.select("qid", "chunk_idx", "doc_id", F.inline("by_pair"))
 
 
 def top_chunks(scores: DataFrame, k: int, by: list[str] | None = None) -> DataFrame:

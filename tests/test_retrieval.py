@@ -7,6 +7,7 @@ from corvane.functions import json as J
 from corvane.functions import text as T
 from corvane.functions import vectors as V
 from corvane.operators import chunking, evaluation, expansion, fusion, index, prediction, rendering, scoring, validation
+from corvane.plans import retrieval
 
 
 def values(spark, rows, ddl):
@@ -159,3 +160,16 @@ def test_reflow_and_render(spark):
 def test_json_recovery(spark):
     rows = values(spark, [('{"a":1}',), ('so: {"a":2} ok',), ("none",)], "t string").select(J.recovered(F.col("t"), "a long")["a"]).collect()
     assert [r[0] for r in rows] == [1, 2, None]
+
+
+def test_short_passages_are_found(spark, tmp_path):
+    spark.createDataFrame([(1, "alpha beta"), (2, "beta gamma delta"), (3, "x alphabet beta gammas"), (4, "one two three four")], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(1, "alpha"), (2, "beta gamma"), (3, "one two three"), (4, None)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    got = {(r["qid"], r["doc_id"]) for r in retrieval.gold(spark, str(tmp_path)).collect()}
+    assert got == {(1, 1), (1, 3), (2, 2), (2, 3), (3, 4)}
+
+
+def test_private_characters_stay_in_their_pieces(spark):
+    text = "one \ue000 two \ue000b three\nĐiều 1. four\ue000a\nĐiều 2. five"
+    row = spark.createDataFrame([(text,)], "t string").select(chunking.marked_pieces(F.col("t"), chunking.ARTICLE).alias("p")).first()
+    assert row["p"] == ["one \ue000 two \ue000b three\n", "Điều 1. four\ue000a\n", "Điều 2. five"]

@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from corvane.llm.common import with_arrow
+from corvane.llm.common import held, with_arrow
 
 #: Upper bounds in bytes of the length buckets; pre-tokens beyond the last are merged one by one with a heap.
 BUCKETS = (2, 4, 6, 8, 10, 12, 16, 20, 24, 32, 48, 64, 96, 128, 256, 512)
@@ -252,10 +252,9 @@ class BytePairCodec:
         return np.frombuffer(self.encode_packed([text])[0], "<u4").tolist()
 
 
-@lru_cache(maxsize=1)
 def codec(ranks_path: str, pattern: str, split_units: bool = True) -> BytePairCodec:
-    """One codec for each worker process, with its tables and cache."""
-    return BytePairCodec(ranks_path, pattern, split_units)
+    """The codec that a worker process keeps, with its tables and cache."""
+    return held(("codec", ranks_path, pattern, split_units), lambda: BytePairCodec(ranks_path, pattern, split_units))
 
 
 def encode(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text", ids: str = "token_ids", packed: bool = False, keep: list[str] | None = None, split_units: bool = True) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -13,6 +14,38 @@ from pyspark.sql import functions as F
 
 #: Texts of one Arrow slice handed to a kernel at once, in bytes; a longer text forms a slice of its own.
 SLICE_BYTES = 3 << 20
+#: Rows of an Arrow batch between Spark and Python, unless the session sets another number than Spark's own.
+BATCH_ROWS = 2000
+
+#: The one model, with its caches, that a worker process keeps between tasks.
+_held: dict[object, object] = {}
+
+
+def held(key: object, make: Callable[[], object]) -> object:
+    """The model of ``key``, made when a worker first needs it. A worker keeps one, whatever operators it has served."""
+    if key not in _held:
+        let_go()
+        _held[key] = make()
+    return _held[key]
+
+
+def let_go() -> None:
+    """Drops the model that this worker keeps and gives memory back that nothing uses."""
+    _held.clear()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # a platform without it
+        pass
+
+
+def map_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: object) -> DataFrame:
+    """``df.mapInArrow`` in batches of a size that holds texts of some kilobytes."""
+    conf = df.sparkSession.conf
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if conf.get(name) == "10000":
+        conf.set(name, str(BATCH_ROWS))
+    return df.mapInArrow(run, schema)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -101,7 +134,7 @@ def with_arrow(df: DataFrame, kernel: Callable[[pa.RecordBatch], dict[str, pa.Ar
                 yield pa.RecordBatch.from_arrays([*[part.column(c) for c in kept], *[got[n] for n in names]], names=[*kept, *names])
         pa.default_memory_pool().release_unused()  # the worker serves other tasks after this one
 
-    return frame.mapInArrow(run, schema)
+    return map_arrow(frame, run, schema)
 
 
 def runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[pa.Table, list[tuple[int, int]]]]:

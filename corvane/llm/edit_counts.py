@@ -12,8 +12,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.byte_bpe import BytePairCodec, codec
-from corvane.llm.common import with_arrow
+from corvane.llm.byte_bpe import BytePairCodec
+from corvane.llm.common import held, with_arrow
 
 #: Pre-tokens of a fresh block.
 BLOCK = 32
@@ -171,9 +171,6 @@ def derived_edits(docs: DataFrame, edits: str = "edits") -> DataFrame:
     return docs.withColumn(edits, listed)
 
 
-_counters: dict[tuple[str, str], Counter] = {}
-
-
 def count_edits(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text", edits: str = "edits") -> DataFrame:
     """``docs`` with n_tokens (of the text), edited_n_tokens and edited_n_chars (after its ``edits``, in their order, each
     in the positions of the text that the one before left), n_edits and reencoded_chars (characters that edits had
@@ -185,7 +182,7 @@ def count_edits(docs: DataFrame, ranks_path: str, pattern: str, text: str = "tex
     """
 
     def kernel(part: pa.RecordBatch) -> dict[str, pa.Array]:
-        counter = _counters.setdefault((ranks_path, pattern), Counter(codec(ranks_path, pattern)))
+        counter = held(("counter", ranks_path, pattern), lambda: Counter(BytePairCodec(ranks_path, pattern)))
         texts = part.column(text).to_pylist()
         # The pre-tokens of the whole slice are learnt at once: the matrices of the encoder work best on many.
         counter.counts([*{p for t in texts if t for p in counter.split(t)}])

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.common import runs, sliced, written
+from corvane.llm.common import let_go, map_arrow, runs, sliced, written
 from corvane.llm.components import components
 from corvane.llm.shingles import WordHashes, shingle_sets
 
@@ -89,6 +89,7 @@ def _described(docs: DataFrame, size: int, buckets: int) -> DataFrame:
     in each bucket of hashes, summed within a task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         known, total = WordHashes(), np.zeros(buckets, np.int64)
         names = ["doc_id", "n", "hi", "lo", "bucket", "c"]
         for batch in batches:
@@ -102,7 +103,7 @@ def _described(docs: DataFrame, size: int, buckets: int) -> DataFrame:
         void = pa.nulls(len(at), pa.int64())
         yield pa.RecordBatch.from_arrays([void, void, void, void, pa.array(at), pa.array(total[at])], names=names)
 
-    return written(docs.mapInArrow(run, "doc_id bigint, n bigint, hi bigint, lo bigint, bucket bigint, c bigint"), "described")
+    return written(map_arrow(docs, run, "doc_id bigint, n bigint, hi bigint, lo bigint, bucket bigint, c bigint"), "described")
 
 
 def _ranks(described: DataFrame, buckets: int) -> np.ndarray:
@@ -118,6 +119,7 @@ def _prefixes(docs: DataFrame, nodes: DataFrame, ranks: np.ndarray, size: int, t
     shared = docs.sparkSession.sparkContext.broadcast(ranks)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         known, count = WordHashes(), shared.value
         seen: set[tuple[int, int]] = set()
         for batch in batches:
@@ -132,7 +134,7 @@ def _prefixes(docs: DataFrame, nodes: DataFrame, ranks: np.ndarray, size: int, t
                     kinds = [pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.binary()]
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["hi", "lo", "n", "prefix", "bits"])
 
-    made = docs.select("text").mapInArrow(run, "hi bigint, lo bigint, n int, prefix array<bigint>, bits binary")
+    made = map_arrow(docs.select("text"), run, "hi bigint, lo bigint, n int, prefix array<bigint>, bits binary")
     different = made.dropDuplicates(["hi", "lo"]).join(nodes, ["hi", "lo"])
     # Numbers of the rows as written: short keys for what follows.
     return written(different.withColumn("row", F.monotonically_increasing_id()), "prefixes")
@@ -219,6 +221,7 @@ def _families(rows: DataFrame, t: Threshold) -> DataFrame:
     row for each family of each task that it is in, and two candidates share one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         families, about = Families(), {}
         for table, groups in runs(batches, ["h", "slot"]):
             node, comp, n, pos, side = (table.column(c).to_numpy().astype(np.int64) for c in ("node", "comp", "n", "pos", "side"))
@@ -242,7 +245,7 @@ def _families(rows: DataFrame, t: Threshold) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names=["family", "node", "comp", "n"])
 
     dealt = rows.select("h", "slot", "side", "node", "comp", "n", "pos", "bits").repartition("h", "slot").sortWithinPartitions("h", "slot", "n", "node")
-    return written(dealt.mapInArrow(run, "family bigint, node bigint, comp bigint, n bigint").dropDuplicates(["family", "node"]), "families")
+    return written(map_arrow(dealt, run, "family bigint, node bigint, comp bigint, n bigint").dropDuplicates(["family", "node"]), "families")
 
 
 # -- dealing -------------------------------------------------------------------------------------------------------------
@@ -322,6 +325,7 @@ def _links(docs: DataFrame, rows: DataFrame, size: int, t: Threshold) -> DataFra
     come together; a doc_id that rows share brings all its texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         known = WordHashes()
         for table, groups in runs(batches, ["family", "slot"]):
             found = set()
@@ -341,7 +345,7 @@ def _links(docs: DataFrame, rows: DataFrame, size: int, t: Threshold) -> DataFra
     placed = rows.select("family", "slot", "side", F.col("node").alias("doc_id"), "comp")
     texts = docs.join(small(written(placed, "placed")), "doc_id").select("family", "slot", "side", "comp", "text")
     dealt = texts.repartition("family", "slot").sortWithinPartitions("family", "slot")
-    return written(dealt.mapInArrow(run, "a bigint, b bigint"), "links")
+    return written(map_arrow(dealt, run, "a bigint, b bigint"), "links")
 
 
 def similar_components(docs: DataFrame, size: int, percent: int, doc_id: str = "doc_id", text: str = "text", buckets: int = BUCKETS) -> DataFrame:

@@ -10,7 +10,6 @@ holds, in ascending order of ids, so that Spark writes and reads them on any sto
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
 from struct import pack
 
 import numpy as np
@@ -20,7 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corvane.llm.byte_bpe import units, unknown
-from corvane.llm.common import fresh_path, sliced
+from corvane.llm.common import fresh_path, held, map_arrow, sliced
 
 # Fixed values of the code: ids in a word and bits of each, by selector; selector 0 marks an escape, selectors 1 to 15 pack.
 COUNTS = (0, 120, 60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1)
@@ -193,9 +192,9 @@ class LibraryTokenizer:
         return [b"".join(map(self.cache.__getitem__, us)) for us in cut]
 
 
-@lru_cache(maxsize=1)
 def tokenizer(json_path: str, split_units: bool = True) -> LibraryTokenizer:
-    return LibraryTokenizer(json_path, split_units)
+    """The tokenizer that a worker process keeps, with its cache."""
+    return held(("tokenizer", json_path, split_units), lambda: LibraryTokenizer(json_path, split_units))
 
 
 #: Columns of a shard table.
@@ -238,7 +237,7 @@ def write_shards(docs: DataFrame, path: str, json_path: str, end_id: int = 2, do
 
     frame = docs.select(F.col(doc_id).cast("long").alias(doc_id), F.col(text).alias(text))
     ordered = frame.repartitionByRange(F.col(doc_id).asc_nulls_first()).sortWithinPartitions(F.col(doc_id).asc_nulls_first())
-    ordered.mapInArrow(run, SHARD).write.option("compression", "zstd").parquet(path)
+    map_arrow(ordered, run, SHARD).write.option("compression", "zstd").parquet(path)
 
 
 def read_shards(spark, path: str) -> DataFrame:
@@ -262,7 +261,7 @@ def read_shards(spark, path: str) -> DataFrame:
                     names=["shard", "doc_id", "offset", "n_tokens", "token_ids"],
                 )
 
-    rows = segments.mapInArrow(run, "shard int, doc_id bigint, offset bigint, n_tokens bigint, token_ids binary")
+    rows = map_arrow(segments, run, "shard int, doc_id bigint, offset bigint, n_tokens bigint, token_ids binary")
     # One row for each range of the writer, a bound that the session sets: the rows with their ids need no shuffle.
     return rows.join(F.broadcast(starts), "shard").select("doc_id", (F.col("base") + F.col("offset")).alias("start"), "n_tokens", "token_ids")
 

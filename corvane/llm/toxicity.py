@@ -15,7 +15,6 @@ from __future__ import annotations
 import random
 from collections import Counter
 from dataclasses import dataclass
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +22,7 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from corvane.llm.common import with_arrow
+from corvane.llm.common import held, with_arrow
 
 #: zstandard level: the optimal parser, whose lengths differ by content rather than by chance.
 LEVEL = 19
@@ -37,7 +36,7 @@ FIT_TOXIC, FIT_ORDINARY, FIT_BYTES = 2000, 3000, 32 << 20
 #: A telling word occurs in this share of the toxic documents of the fit, and in two.
 LEAST_SHARE = 0.004
 #: Entries that a worker's cache of window gains holds at most.
-CACHE = 150_000
+CACHE = 250_000
 
 
 def windows(text: str | None) -> list[str]:
@@ -73,10 +72,12 @@ class Gains:
 
     def of(self, texts: list[list[str]]) -> list[np.ndarray]:
         known = self.known
-        missing = {w for ws in texts for w in ws if w not in known}
-        if len(known) + len(missing) > CACHE:
+        needed = set().union(*texts)
+        missing = needed.difference(known)
+        if len(known) + len(missing) > CACHE:  # the windows of these texts stay
+            kept = {w: known[w] for w in needed - missing}
             known.clear()
-            missing = {w for ws in texts for w in ws}
+            known.update(kept)
         ordinary, toxic = self.ordinary.compress, self.toxic.compress
         for w in missing:
             f = frame(w)
@@ -85,9 +86,9 @@ class Gains:
         return [np.fromiter(map(known.__getitem__, ws), np.int16, len(ws)) for ws in texts]
 
 
-@lru_cache(maxsize=1)
 def gains(ordinary: bytes, toxic: bytes) -> Gains:
-    return Gains(ordinary, toxic)
+    """The compressors that a worker process keeps, with their cache."""
+    return held(("gains", ordinary, toxic), lambda: Gains(ordinary, toxic))
 
 
 def signals(cells: np.ndarray, weights: np.ndarray) -> list[float]:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 RANKS = 20
@@ -42,3 +42,19 @@ def rank_histogram(questions: DataFrame) -> DataFrame:
 def sample(questions: DataFrame, n: int, seed: int = 42) -> DataFrame:
     """``n`` questions by a seeded hash of their id; 0 means all."""
     return questions if n == 0 else questions.orderBy(F.xxhash64("qid", F.lit(seed)), "qid").limit(n)
+
+
+def best(metrics: DataFrame, by: list[str], metric: str = "recall") -> DataFrame:
+    """The configuration (``by``) of the highest ``metric``, one row; of equals the first in order of ``by``."""
+    return metrics.orderBy(F.round(metric, 9).desc(), *by).limit(1)
+
+
+def deltas(metrics: DataFrame, baseline: Column, metric: str = "recall") -> DataFrame:
+    """``metrics``, a row for each configuration, with ``delta``: ``metric`` less that of the row where ``baseline`` holds."""
+    base = metrics.where(baseline).agg(F.first(metric).alias("base_"))
+    return metrics.crossJoin(F.broadcast(base)).withColumn("delta", F.col(metric) - F.col("base_")).drop("base_")
+
+
+def matrix(metrics: DataFrame, row: str, column: str, values: list, metric: str = "recall") -> DataFrame:
+    """``metric`` by ``row`` and by each of ``values`` of ``column``."""
+    return metrics.groupBy(row).pivot(column, values).agg(F.first(metric))

@@ -34,6 +34,15 @@ def length_histogram(answered: DataFrame) -> DataFrame:
     return answered.groupBy(F.size("answer").alias("n_ids")).agg(F.count(F.lit(1)).alias("n_questions"))
 
 
+def summary(rows: DataFrame, ranked: DataFrame, k: int = ANSWERS) -> DataFrame:
+    """One row about padded answers ``rows`` (qid, doc_id): n_questions, n_documents (different ones), and n_padded, the
+    questions of which ``ranked`` has fewer than ``k`` documents."""
+    own = ranked.groupBy("qid").agg(F.count(F.lit(1)).alias("own"))
+    per = rows.groupBy("qid").agg(F.count(F.lit(1)).alias("n")).join(own, "qid", "left")
+    counted = per.agg(F.count(F.lit(1)).alias("n_questions"), F.count_if(F.coalesce("own", F.lit(0)) < k).alias("n_padded"))
+    return counted.crossJoin(F.broadcast(rows.agg(F.count_distinct("doc_id").alias("n_documents"))))
+
+
 def submission_json(answered: DataFrame) -> DataFrame:
     """One row: the submission as a JSON object by question."""
     entries = F.array_sort(F.collect_list(F.struct("qid", F.struct("answer").alias("value"))))

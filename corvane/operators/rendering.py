@@ -84,3 +84,17 @@ def search_results(ranked: DataFrame, chunks: DataFrame) -> DataFrame:
     shown = lines.groupBy("qid", "rnk").agg(F.left(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda x: x["line"]), " "), F.lit(SNIPPET)).alias("snippet"))
     head = F.substring_index(F.substring_index("text", "\n", 1), " > ", 1)
     return best.join(shown, ["qid", "rnk"], "left").select("qid", "rnk", "doc_id", "path", F.round("score", 2).alias("score"), head.alias("title"), "n_words", "tier", F.coalesce("snippet", F.lit("")).alias("snippet"), "n_chunk")
+
+
+def search_chunks(top: DataFrame, chunks: DataFrame) -> DataFrame:
+    """``search_results`` of ranked chunks (qid, chunk_idx, doc_id, score, rnk), one row for each chunk."""
+    return search_results(top.select("qid", "doc_id", "score", "rnk", F.col("chunk_idx").alias("best_chunk"), F.lit(1).alias("n_chunk")), chunks)
+
+
+def document_view(requested: DataFrame, docs: DataFrame, terms: list[str] | None = None, focus: str = "") -> DataFrame:
+    """(doc_id, found, name, link, html, truncated, anchor) of each document asked for: ``requested`` has doc_id, ``docs``
+    doc_id, name, link and passage. Documents that are not there have ``found`` false and nulls."""
+    asked = requested.select("doc_id").distinct()
+    held = docs.join(asked, "doc_id", "left_semi")
+    shown = held.select("doc_id", T.title("name", "link").alias("name"), "link").join(render(held, terms, focus), "doc_id")
+    return asked.join(shown.withColumn("found", F.lit(True)), "doc_id", "left").select("doc_id", F.coalesce("found", F.lit(False)).alias("found"), "name", "link", "html", "truncated", "anchor")

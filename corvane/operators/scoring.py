@@ -26,6 +26,12 @@ def hit_terms(index: Index, questions: DataFrame) -> DataFrame:
     return found.groupBy("qid").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "term"))), lambda x: x["term"]).alias("terms"))
 
 
+def known_terms(index: Index, questions: DataFrame) -> DataFrame:
+    """(qid, terms): what a document view highlights, the question's tokens of the vocabulary, each once, in order of
+    letters."""
+    return query_terms(questions).join(index.vocab.select("term"), "term", "left_semi").groupBy("qid").agg(F.array_sort(F.collect_set("term")).alias("terms"))
+
+
 def score(index: Index, questions: DataFrame, params: DataFrame | None = None, k1: float = K1, b: float = B) -> DataFrame:
     """(qid, chunk_idx, doc_id, score) of every chunk with a term of the question.
 

@@ -6,10 +6,13 @@ them counts, and the keys alone say which repeat.
 
 from __future__ import annotations
 
+import json
 from functools import reduce
 
-from pyspark.sql import DataFrame
+import pandas as pd
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from corvane.functions import text as T
 
@@ -17,6 +20,7 @@ EXAMPLES, MOST_IDS = 5, 5
 
 # Codes and titles of the rules.
 TITLES = {
+    "E001": "no submission in the file", "E002": "other files in the zip", "W003": "files of an operating system in the zip", "W004": "bare JSON, no zip",
     "E003": "not valid JSON", "E004": "top level is no object or empty", "E005": "missing questions", "E006": "unexpected questions", "E007": "value is no object", "E008": "no answer",
     "E009": "answer is no list", "E010": "document id is no string", "E011": "blank document id", "E012": "repeated document id", "E013": "repeated question", "E014": "unknown document id",
     "W001": "empty answer", "W002": "more than five ids", "W005": "no reference given",
@@ -34,14 +38,50 @@ def entries(parsed: DataFrame) -> DataFrame:
     return parsed.where(F.schema_of_variant("v").startswith("OBJECT")).select("sub_id", "v").lateralJoin(parsed.sparkSession.tvf.variant_explode(F.col("v").outer())).select("sub_id", F.col("key").alias("qid"), F.col("value"), F.schema_of_variant("value").alias("kind"))
 
 
+@F.pandas_udf(StringType())
+def _position(texts: pd.Series) -> pd.Series:
+    """Where a text stops being JSON."""
+
+    def where(text: str) -> str:
+        try:
+            json.loads(text)
+        except json.JSONDecodeError as e:
+            return f"line {e.lineno}, column {e.colno}"
+        except RecursionError:
+            pass
+        return ""
+
+    return texts.map(where, na_action="ignore")
+
+
 def findings(submissions: DataFrame, reference: DataFrame | None = None, corpus: DataFrame | None = None) -> DataFrame:
     """severity, code, title, n and up to five examples for each rule that a submission breaks.
 
     ``submissions``: sub_id, json. ``reference``: qid, the questions asked. ``corpus``: doc_id, the documents known.
     """
+    return _summarised(_broken(submissions, reference, corpus))
+
+
+def report(files: DataFrame, reference: DataFrame | None = None, corpus: DataFrame | None = None) -> DataFrame:
+    """``findings`` of submission files (sub_id, json, file_findings), what the files themselves show among them. A file
+    without readable text has these alone."""
+    of_files = files.select("sub_id", F.inline("file_findings")).select("sub_id", "code", F.col("detail").alias("what"))
+    return _summarised(of_files.unionByName(_broken(files.where("json is not null").select("sub_id", "json"), reference, corpus)))
+
+
+def statistics(submissions: DataFrame) -> DataFrame:
+    """(sub_id, n_questions, n_answers, n_ids, n_documents) of each submission that is an object: questions, those with a list
+    of ids, ids in all lists, and different ones."""
+    rows = entries(parse(submissions)).select("sub_id", "qid", F.expr("try_variant_get(value, '$.answer', 'array<variant>')").alias("ids"))
+    each = rows.select("sub_id", "qid", F.col("ids").isNotNull().alias("listed"), F.explode_outer("ids").alias("id")).withColumn("doc_id", F.expr("try_variant_get(id, '$', 'string')"))
+    return each.groupBy("sub_id").agg(F.count_distinct("qid").alias("n_questions"), F.count_distinct(F.when(F.col("listed"), F.col("qid"))).alias("n_answers"), F.count("doc_id").alias("n_ids"), F.count_distinct("doc_id").alias("n_documents"))
+
+
+def _broken(submissions: DataFrame, reference: DataFrame | None, corpus: DataFrame | None) -> DataFrame:
+    """(sub_id, code, what): one row for each breach of a rule."""
     parsed = parse(submissions)
     top = F.schema_of_variant("v")
-    broken = [parsed.where(F.col("v").isNull()).select("sub_id", F.lit("E003").alias("code"), F.lit("").alias("what"))]
+    broken = [parsed.where(F.col("v").isNull()).select("sub_id", F.lit("E003").alias("code"), _position(F.regexp_replace("json", "\\A\ufeff", "")).alias("what"))]
     broken.append(parsed.where(F.col("v").isNotNull() & (~top.startswith("OBJECT") | (top == "OBJECT<>"))).select("sub_id", F.lit("E004").alias("code"), top.alias("what")))
     rows = entries(parsed)
     answer = F.try_variant_get("value", "$.answer", "variant")
@@ -72,7 +112,15 @@ def findings(submissions: DataFrame, reference: DataFrame | None = None, corpus:
         all_asked = submissions.select("sub_id").crossJoin(F.broadcast(asked))  # a row for each question of a submission
         broken.append(rule(all_asked.join(rows.select("sub_id", "qid"), ["sub_id", "qid"], "left_anti"), "E005"))
         broken.append(rule(rows.join(asked, "qid", "left_anti"), "E006"))
-    every = reduce(DataFrame.unionByName, broken)
+    return reduce(DataFrame.unionByName, broken)
+
+
+def _summarised(broken: DataFrame) -> DataFrame:
+    """Counts and examples; these are ranked before they are gathered, so that a rule broken everywhere gathers five."""
+    each = broken.groupBy("sub_id", "code", "what").agg(F.count(F.lit(1)).alias("n"))
+    totals = each.groupBy("sub_id", "code").agg(F.sum("n").alias("n"))
+    place = F.row_number().over(Window.partitionBy("sub_id", "code").orderBy("what"))
+    examples = each.where("what is not null").withColumn("place", place).where(F.col("place") <= EXAMPLES).groupBy("sub_id", "code").agg(F.array_sort(F.collect_list("what")).alias("examples"))
     titles = F.create_map(*[F.lit(x) for item in TITLES.items() for x in item])
-    counted = every.groupBy("sub_id", "code").agg(F.count(F.lit(1)).alias("n"), F.slice(F.array_sort(F.collect_set("what")), 1, EXAMPLES).alias("examples"))
-    return counted.select("sub_id", F.when(F.col("code").startswith("E"), "error").otherwise("warning").alias("severity"), "code", titles[F.col("code")].alias("title"), "n", "examples")
+    severity = F.when(F.col("code").startswith("E"), "error").otherwise("warning")
+    return totals.join(examples, ["sub_id", "code"], "left").select("sub_id", severity.alias("severity"), "code", titles[F.col("code")].alias("title"), "n", F.coalesce("examples", F.array().cast("array<string>")).alias("examples"))

@@ -12,7 +12,7 @@ from corvane.functions import text as T
 from corvane.functions import vectors as V
 from corvane.operators import chunking, evaluation, expansion, fusion, index, prediction, rendering, scoring, validation
 from corvane.plans.retrieval import Options, corpus_chunks, dense_pool, gold, passages, questions, stand_in_vectors, table
-from corvane.plans.sql import ABBREVIATIONS, PHRASES
+from corvane.plans.sql import ABBREVIATIONS, ADDED, FAULTS, PHRASES
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -163,11 +163,14 @@ def rerank_candidates(s, d):
     return _candidates(s, d).select("qid", "chunk_idx", "doc_id", F.col("rn").cast("long").alias("rn"), F.col("in_doc").cast("long").alias("in_doc"))
 
 
+def _reranked(s: SparkSession, d: str) -> DataFrame:
+    texts = corpus_chunks(s, d).select("chunk_idx", "text")
+    return _candidates(s, d).join(texts, "chunk_idx").withColumn("logit", (F.char_length("text") % 97).cast("double"))
+
+
 @query
 def rerank_blend(s, d):
-    texts = corpus_chunks(s, d).select("chunk_idx", "text")
-    scored = _candidates(s, d).join(texts, "chunk_idx").withColumn("logit", (F.char_length("text") % 97).cast("double"))
-    return _shown(fusion.rerank_docs(scored))
+    return _shown(fusion.rerank_docs(_reranked(s, d)))
 
 
 def _users(s: SparkSession, d: str) -> DataFrame:
@@ -241,16 +244,49 @@ def rank_histogram(s, d):
     return evaluation.rank_histogram(_measured(s, d)).select("bucket", "n", F.round("percent", 6).alias("percent"))
 
 
-@query
-def bm25_grid(s, d):
-    params = s.createDataFrame([(k1, b) for k1 in (0.6, 0.9, 1.2, 1.5, 2.0) for b in (0.4, 0.6, 0.75, 0.9)], "k1 double, b double")
+K1S, BS = (0.6, 0.9, 1.2, 1.5, 2.0), (0.4, 0.6, 0.75, 0.9)
+
+
+def _grid(s: SparkSession, d: str) -> DataFrame:
+    params = s.createDataFrame([(k1, b) for k1 in K1S for b in BS], "k1 double, b double")
     by = ["k1", "b"]
     pool = scoring.top_chunks(scoring.score(_index(s, d), questions(s, d), params), scoring.POOL, by)
-    return _rounded(evaluation.means(evaluation.per_question(scoring.rank_docs(pool, "top3", 20, by=by), gold(s, d), by=by), by), *by)
+    return evaluation.means(evaluation.per_question(scoring.rank_docs(pool, "top3", 20, by=by), gold(s, d), by=by), by)
 
 
 @query
-def fusion_compare(s, d):
+def bm25_grid(s, d):
+    return _rounded(_grid(s, d), "k1", "b")
+
+
+@query
+def grid_deltas(s, d):
+    """Each pair of parameters against (1.5, 0.75)."""
+    compared = evaluation.deltas(_grid(s, d), (F.col("k1") == 1.5) & (F.col("b") == 0.75))
+    return compared.select("k1", "b", F.round("recall", 6).alias("recall"), F.round("delta", 6).alias("delta"))
+
+
+@query
+def grid_best(s, d):
+    return _rounded(evaluation.best(_grid(s, d), ["k1", "b"]), "k1", "b")
+
+
+@query
+def grid_matrix(s, d):
+    table_ = evaluation.matrix(_grid(s, d), "k1", "b", list(BS))
+    return table_.select("k1", *[F.round(F.col(f"`{b}`"), 6).alias(f"b_{round(100 * b)}") for b in BS])
+
+
+@query
+def best_aggregator(s, d):
+    idx, asked = _index(s, d), questions(s, d)
+    pool = scoring.top_chunks(scoring.score(idx, asked), scoring.POOL).persist()
+    listed = [scoring.rank_docs(pool, a, 20, scoring.chunks_per_doc(idx)).withColumn("agg", F.lit(a)) for a in ("max", "top3", "top3_log")]
+    ranked = listed[0].unionByName(listed[1]).unionByName(listed[2])
+    return _rounded(evaluation.best(evaluation.means(evaluation.per_question(ranked, gold(s, d), by=["agg"]), ["agg"]), ["agg"]), "agg")
+
+
+def _fusions(s: SparkSession, d: str) -> DataFrame:
     from pyspark.sql import Window
 
     per = Window.partitionBy("qid")
@@ -260,7 +296,29 @@ def fusion_compare(s, d):
     listed = F.array(*[F.struct(F.lit(n).alias("fusion"), c.alias("value")) for n, c in configs.items()])
     each = mixed.select("qid", "chunk_idx", "doc_id", F.inline(listed))
     ranked = scoring.rank_docs(fusion.ranked_by(each, "value", ["fusion"]), "top3", 20, by=["fusion"])
-    return _rounded(evaluation.means(evaluation.per_question(ranked, gold(s, d), by=["fusion"]), ["fusion"]), "fusion")
+    return evaluation.means(evaluation.per_question(ranked, gold(s, d), by=["fusion"]), ["fusion"])
+
+
+@query
+def fusion_compare(s, d):
+    return _rounded(_fusions(s, d), "fusion")
+
+
+@query
+def fusion_deltas(s, d):
+    """Each fusion against BM25 alone, the first of them."""
+    compared = evaluation.deltas(_fusions(s, d), F.col("fusion") == "bm25")
+    return compared.select("fusion", F.round("recall", 6).alias("recall"), F.round("delta", 6).alias("delta"))
+
+
+@query
+def rerank_compare(s, d):
+    """Fused documents against those of a reranker, whose stand-in scores are lengths."""
+    plain = fusion.hybrid_docs(_pool(s, d), k=20).withColumn("system", F.lit("hybrid"))
+    ranked = plain.unionByName(fusion.rerank_docs(_reranked(s, d), k=20).withColumn("system", F.lit("reranked")))
+    metrics = evaluation.means(evaluation.per_question(ranked, gold(s, d), by=["system"]), ["system"])
+    compared = evaluation.deltas(metrics, F.col("system") == "hybrid")
+    return compared.select("system", F.round("recall", 6).alias("recall"), F.round("mrr", 6).alias("mrr"), F.round("delta", 6).alias("delta"))
 
 
 def _popular(s: SparkSession, d: str) -> DataFrame:
@@ -272,9 +330,12 @@ def fallback_popular(s, d):
     return _popular(s, d).select("doc_id", F.col("place").cast("long").alias("place"))
 
 
+def _few(s: SparkSession, d: str) -> DataFrame:
+    return scoring.search_docs(_index(s, d), questions(s, d), agg="top3", k=3)
+
+
 def _padded(s: SparkSession, d: str) -> DataFrame:
-    asked = questions(s, d)
-    return prediction.padded(asked, scoring.search_docs(_index(s, d), asked, agg="top3", k=3), _popular(s, d))
+    return prediction.padded(questions(s, d), _few(s, d), _popular(s, d))
 
 
 @query
@@ -292,6 +353,11 @@ def answer_length_hist(s, d):
     return prediction.length_histogram(prediction.answers(_padded(s, d))).select(F.col("n_ids").cast("long").alias("n_ids"), "n_questions")
 
 
+@query
+def prediction_summary(s, d):
+    return prediction.summary(_padded(s, d), _few(s, d))
+
+
 def _lines(s: SparkSession, d: str) -> DataFrame:
     return rendering.reflow(table(s, d, "documents").select("doc_id", "text"), ["doc_id"])
 
@@ -317,24 +383,52 @@ def search_results(s, d):
     return rendering.search_results(scoring.search_docs(index.build(chunks), questions(s, d)), chunks)
 
 
+@query
+def search_chunks(s, d):
+    chunks = corpus_chunks(s, d)
+    return rendering.search_chunks(scoring.top_chunks(scoring.score(index.build(chunks), questions(s, d)), 5), chunks)
+
+
+@query
+def known_terms(s, d):
+    return scoring.known_terms(_index(s, d), questions(s, d)).select("qid", F.array_join("terms", " ").alias("terms"))
+
+
+@query
+def document_view(s, d):
+    """Every document, and as many ids that no document has."""
+    docs = passages(s, d)
+    asked = docs.select("doc_id").unionByName(docs.select((-1 - F.col("doc_id")).alias("doc_id")))
+    return rendering.document_view(asked, docs).select("doc_id", "found", "truncated", F.md5("html").alias("digest"))
+
+
 @query
 def length_percentiles(s, d):
     p = lambda q: F.round(F.percentile("n_chars", F.lit(q)), 6)
     return table(s, d, "documents").agg(p(0.5).alias("p50"), p(0.9).alias("p90"), p(0.99).alias("p99"), F.max("n_chars").alias("longest"), F.count_if(F.col("n_chars") > 5000).alias("n_long"))
 
 
+def _submission(s: SparkSession, d: str) -> DataFrame:
+    """A submission made from the benchmark with one fault of each kind."""
+    value: Column = F.expr(f"case item_id % 12 {' '.join(f"when {i} then '{v}'" for i, v in enumerate(FAULTS))} end")
+    entry = F.concat(F.lit('"'), F.col("item_id").cast("string"), F.lit('":'), value)
+    added = ",".join(f'"{k}":{v}' for k, v in ADDED)
+    listed = F.array_join(F.array_sort(F.collect_list(entry)), ",")
+    return table(s, d, "benchmark").agg(F.concat(F.lit("{"), listed, F.lit(f",{added}}}")).alias("json")).select(F.lit("made").alias("sub_id"), "json")
+
+
 @query
 def validate_findings(s, d):
-    """A submission made from the benchmark with one fault of each kind, checked against benchmark and documents."""
-    items = table(s, d, "benchmark")
-    value: Column = F.expr("""case item_id % 12 when 0 then '{"answer":["1","2"]}' when 1 then '{"answer":null}' when 2 then '{"answer":"x"}' when 3 then '{}' when 4 then '5' when 5 then '{"answer":[7]}'
-      when 6 then '{"answer":[" "]}' when 7 then '{"answer":["1","1"]}' when 8 then '{"answer":[]}' when 9 then '{"answer":["0","1","2","3","4","5"]}' when 10 then '{"answer":["no such"]}' end""")
-    entry = F.concat(F.lit('"'), F.col("item_id").cast("string"), F.lit('":'), value)
-    whole = items.agg(F.concat(F.lit("{"), F.array_join(F.array_sort(F.collect_list(entry)), ","), F.lit(',"0":{"answer":["1"]},"new":{"answer":["1"]}}')).alias("json")).select(F.lit("made").alias("sub_id"), "json")
-    found = validation.findings(whole, items.select(F.col("item_id").alias("qid")), table(s, d, "documents"))
+    """The made submission against benchmark and documents."""
+    found = validation.findings(_submission(s, d), table(s, d, "benchmark").select(F.col("item_id").alias("qid")), table(s, d, "documents"))
     return found.select("severity", "code", "title", "n", F.array_join("examples", ",").alias("examples"))
 
 
+@query
+def submission_statistics(s, d):
+    return validation.statistics(_submission(s, d))
+
+
 @query
 def json_recovery(s, d):
     """The objects inside chatter: every event's properties between words."""

@@ -50,9 +50,13 @@ def gold(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stand_in_vectors(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Vectors of the first chunks and of the questions, taken from the embeddings of the same number."""
+    """A vector for every chunk and every question: the embeddings stand in for an encoder, dealt by number in turn."""
     e = table(spark, sf_dir, "embeddings")
-    return e.select((F.col("vec_id") * chunking.CHUNKS_PER_DOC).alias("chunk_idx"), F.col("embedding").alias("vec")), e.select(F.col("vec_id").alias("qid"), F.col("embedding").alias("qvec"))
+    size = F.broadcast(e.agg(F.count(F.lit(1)).alias("n_vectors")))
+    dealt = lambda rows, number: rows.crossJoin(size).withColumn("vec_id", F.pmod(number, F.col("n_vectors"))).join(e, "vec_id")
+    ordinal = F.pmod("chunk_idx", F.lit(chunking.CHUNKS_PER_DOC))
+    chunks = dealt(corpus_chunks(spark, sf_dir).select("chunk_idx", "doc_id"), F.col("doc_id") * 31 + ordinal)
+    return chunks.select("chunk_idx", F.col("embedding").alias("vec")), dealt(questions(spark, sf_dir), F.col("qid")).select("qid", F.col("embedding").alias("qvec"))
 
 
 @dataclass

@@ -58,7 +58,7 @@ def docs(agg: str, k: int, name: str = "ranked", source: str = "pool", by: str =
 GOLD = "gold AS (SELECT item_id AS qid, doc_id FROM documents d JOIN benchmark b ON contains(d.text, b.text))"
 
 DENSE = """dense AS (SELECT p.*, list_dot_product(list_transform(v.embedding, lambda x: x::DOUBLE), list_transform(q.embedding, lambda x: x::DOUBLE)) AS dense
-  FROM pool p JOIN embeddings v ON v.vec_id * 1048576 = p.chunk_idx JOIN embeddings q ON q.vec_id = p.qid)"""
+  FROM pool p CROSS JOIN (SELECT count(*) AS n_vectors FROM embeddings) JOIN embeddings v ON v.vec_id = (p.doc_id * 31 + p.chunk_idx % 1048576) % n_vectors JOIN embeddings q ON q.vec_id = p.qid % n_vectors)"""
 
 
 def minmax(c: str, per: str = "PARTITION BY qid") -> str:
@@ -133,6 +133,26 @@ def _marked(c: str) -> str:
 
 _UNIT = r"""CASE WHEN regexp_matches(line, '^\d+\.\s') THEN 'p class="khoan"' WHEN regexp_matches(line, '^[a-zđ]\)\s') THEN 'p class="diem"' ELSE 'p' END"""
 
+# A submission with one fault of each kind: values by item_id % 12 (none for the last), and entries behind them.
+FAULTS = ('{"answer":["1","2"]}', '{"answer":null}', '{"answer":"x"}', "{}", "5", '{"answer":[7]}', '{"answer":[" "]}', '{"answer":["1","1"]}', '{"answer":[]}', '{"answer":["0","1","2","3","4","5"]}', '{"answer":["no such"]}')
+ADDED = (("0", '{"answer":["1"]}'), ("new", '{"answer":["1"]}'))
+
+SUBMISSION = f"""faults(r, v) AS (VALUES {", ".join(f"({i}, '{v}')" for i, v in enumerate(FAULTS))}),
+listed AS (SELECT item_id::VARCHAR AS qid, v, 0 AS o FROM benchmark JOIN faults ON r = item_id % 12 UNION ALL VALUES {", ".join(f"('{k}', '{v}', 1)" for k, v in ADDED)}),
+latest AS (SELECT qid, arg_max(v, o)::JSON AS v FROM listed GROUP BY qid),
+typed AS (SELECT qid, json_type(v) AS kind, json_type(v, '$.answer') AS t, json_extract(v, '$.answer') AS a FROM latest),
+ids AS (SELECT qid, json_type(e) AS t, json_extract_string(e, '$') AS doc_id FROM (SELECT qid, unnest(json_extract(a, '$[*]')) AS e FROM typed WHERE t = 'ARRAY'))"""
+
+# Titles as the rules have them.
+_RULE_TITLES = (("E005", "missing questions"), ("E006", "unexpected questions"), ("E007", "value is no object"), ("E008", "no answer"), ("E009", "answer is no list"), ("E010", "document id is no string"), ("E011", "blank document id"), ("E012", "repeated document id"), ("E013", "repeated question"), ("E014", "unknown document id"), ("W001", "empty answer"), ("W002", "more than five ids"))
+FINDINGS = f"""{SUBMISSION}, titles(code, title) AS (VALUES {", ".join(map(str, _RULE_TITLES))}),
+broken AS (SELECT 'E007' AS code, qid AS what FROM typed WHERE kind <> 'OBJECT' UNION ALL SELECT 'E008', qid FROM typed WHERE kind = 'OBJECT' AND t IS NULL
+  UNION ALL SELECT 'E009', qid FROM typed WHERE kind = 'OBJECT' AND t <> 'ARRAY' UNION ALL SELECT 'W001', qid FROM typed WHERE t = 'ARRAY' AND json_array_length(a) = 0
+  UNION ALL SELECT 'W002', qid FROM typed WHERE t = 'ARRAY' AND json_array_length(a) > 5 UNION ALL SELECT 'E010', qid FROM ids WHERE t <> 'VARCHAR'
+  UNION ALL SELECT 'E011', qid FROM ids WHERE t = 'VARCHAR' AND trim(doc_id) = '' UNION ALL SELECT 'E012', qid FROM ids WHERE t = 'VARCHAR' GROUP BY qid, doc_id HAVING count(*) > 1
+  UNION ALL SELECT 'E013', qid FROM listed GROUP BY qid HAVING count(*) > 1 UNION ALL SELECT 'E014', doc_id FROM ids WHERE t = 'VARCHAR' AND trim(doc_id) <> '' AND doc_id NOT IN (SELECT doc_id::VARCHAR FROM documents)
+  UNION ALL SELECT 'E005', item_id::VARCHAR FROM benchmark WHERE item_id::VARCHAR NOT IN (SELECT qid FROM latest) UNION ALL SELECT 'E006', qid FROM latest WHERE qid NOT IN (SELECT item_id::VARCHAR FROM benchmark))"""
+
 POPULAR = "popular AS (SELECT doc_id, row_number() OVER (ORDER BY n DESC, f, doc_id) AS place FROM (SELECT doc_id, count(*) AS n, min(qid) AS f FROM gold GROUP BY doc_id) QUALIFY place <= 20)"
 PADDED = f"""{BM25}, {pool(3000)}, {docs("top3", 3)}, {GOLD}, {POPULAR},
 every AS (SELECT qid, doc_id, min((kind, p)) AS spot FROM (SELECT qid, doc_id, rnk AS p, 0 AS kind FROM ranked UNION ALL SELECT qid, doc_id, place, 1 FROM asked, popular) GROUP BY ALL),
@@ -144,6 +164,28 @@ COMPARED = f"""{POOLED}, mm AS (SELECT *, {minmax("dense")} AS md, {minmax("scor
 configs AS (SELECT qid, chunk_idx, doc_id, unnest([{{'fusion': 'bm25', 'v': score}}, {{'fusion': 'dense', 'v': dense}}, {{'fusion': 'rrf', 'v': rrf}}, {{'fusion': 'linear_0.3', 'v': 0.3::DOUBLE * md + (1 - 0.3::DOUBLE) * ms}}, {{'fusion': 'linear_0.5', 'v': 0.5::DOUBLE * md + (1 - 0.5::DOUBLE) * ms}}, {{'fusion': 'linear_0.7', 'v': 0.7::DOUBLE * md + (1 - 0.7::DOUBLE) * ms}}]) AS c FROM mm),
 fpool AS (SELECT qid, fusion, chunk_idx, doc_id, score, row_number() OVER (PARTITION BY qid, fusion ORDER BY round(score, 9) DESC, chunk_idx) AS rnk FROM (SELECT qid, chunk_idx, doc_id, c.fusion AS fusion, c.v AS score FROM configs))"""
 
+_GRID = f"WITH {INDEX}, {questions()}, params AS (SELECT k1, b FROM (VALUES (0.6::DOUBLE), (0.9::DOUBLE), (1.2::DOUBLE), (1.5::DOUBLE), (2.0::DOUBLE)) a(k1), (VALUES (0.4::DOUBLE), (0.6::DOUBLE), (0.75::DOUBLE), (0.9::DOUBLE)) c(b)), {scores(k1='k1', b='b', params='params')}, {pool(3000, by=', k1, b')}, {docs('top3', 20, by=', k1, b')}, {GOLD}, {metrics(by=', k1, b')}"
+_FUSIONS = f"{COMPARED}, {docs('top3', 20, source='fpool', by=_BY)}, {GOLD}, {metrics(by=_BY)}"
+_AGGREGATORS = f"""{BM25}, {pool(3000)}, {docs("max", 20, "r1")}, {docs("top3", 20, "r2")}, {docs("top3_log", 20, "r3")}, {GOLD},
+ranked AS (SELECT *, 'max' AS agg FROM r1 UNION ALL SELECT *, 'top3' FROM r2 UNION ALL SELECT *, 'top3_log' FROM r3), {metrics(by=", agg")}"""
+_LOGITS = f"logits AS (SELECT *, length(c.text)::DOUBLE % 97 AS logit FROM candidates JOIN (SELECT chunk_idx, text FROM chunks) c USING (chunk_idx)), blended AS (SELECT qid, chunk_idx, doc_id, 0.6::DOUBLE * {minmax('logit')} + (1 - 0.6::DOUBLE) * {minmax('fused')} AS fused FROM logits)"
+_SYSTEMS = f"""{CANDIDATES}, {_LOGITS}, {REFUSED}, {docs("top3", 20, "r1", "fpool")}, {REFUSED.replace("fpool AS", "bpool AS").replace("FROM fused", "FROM blended")}, {docs("top3", 20, "r2", "bpool")}, {GOLD},
+ranked AS (SELECT *, 'hybrid' AS system FROM r1 UNION ALL SELECT *, 'reranked' FROM r2), {metrics(by=", system")}"""
+
+
+def snippets(ranked: str) -> str:
+    """What a search shows of ``ranked`` (qid, rnk, doc_id, score, best_chunk, n_chunk); a row's number stands for its keys."""
+    return rf"""best AS (SELECT *, qid * 100 + rnk AS row_no FROM (SELECT {ranked}) JOIN (SELECT chunk_idx AS best_chunk, path, n_words, text FROM chunks) USING (best_chunk)),
+shown AS (SELECT row_no AS doc_id, regexp_replace(text, '^[^\n]*\n?', '') AS text FROM best), {REFLOW.replace("FROM documents", "FROM shown")},
+snippets AS (SELECT doc_id AS row_no, left(string_agg(line, ' ' ORDER BY line_no), 260) AS snippet FROM lines GROUP BY doc_id)
+SELECT qid, rnk, doc_id, path, round(score, 2) AS score, split_part(split_part(text, chr(10), 1), ' > ', 1) AS title, n_words, 3 AS tier, coalesce(snippet, '') AS snippet, n_chunk FROM best LEFT JOIN snippets USING (row_no)"""
+
+
+_VIEW = f"""WITH shown AS (SELECT doc_id, {CLEAN.format("text")} AS text FROM documents), {REFLOW.replace("FROM documents", "FROM shown")},
+html AS (SELECT doc_id, string_agg('<' || {_UNIT} || '>' || {ESCAPED} || '</p>', chr(10) ORDER BY line_no) AS html FROM lines GROUP BY doc_id)
+SELECT doc_id, true AS found, length(text) > 400000 AS truncated, md5(coalesce(html, '<p class="empty"></p>')) AS digest FROM shown LEFT JOIN html USING (doc_id)
+UNION ALL SELECT -1 - doc_id, false, NULL, NULL FROM documents"""
+
 ORACLES = {
     "tokenize_stats": f"SELECT doc_id, len(t) AS n_tokens, len(list_distinct(t)) AS n_distinct FROM (SELECT doc_id, {tokens('text')} AS t FROM documents)",
     "doc_freq": f"WITH {INDEX} SELECT term, df FROM dfs",
@@ -166,7 +208,7 @@ ORACLES = {
     "fusion_rrf": f"{fused(RRF)} SELECT qid, chunk_idx, round(fused, 6) AS fused FROM fused",
     "hybrid_docs": f"{fused(LINEAR)}, {REFUSED}, {docs('top3', 5, source='fpool')} {RANKED}",
     "rerank_candidates": f"{CANDIDATES} SELECT qid, chunk_idx, doc_id, rn, in_doc FROM candidates",
-    "rerank_blend": f"{CANDIDATES}, logits AS (SELECT *, length(c.text)::DOUBLE % 97 AS logit FROM candidates JOIN (SELECT chunk_idx, text FROM chunks) c USING (chunk_idx)), blended AS (SELECT qid, chunk_idx, doc_id, 0.6::DOUBLE * {minmax('logit')} + (1 - 0.6::DOUBLE) * {minmax('fused')} AS fused FROM logits), {REFUSED.replace('FROM fused', 'FROM blended')}, {docs('top3', 5, source='fpool')} {RANKED}",
+    "rerank_blend": f"{CANDIDATES}, {_LOGITS}, {REFUSED.replace('FROM fused', 'FROM blended')}, {docs('top3', 5, source='fpool')} {RANKED}",
     "expand_rules": f"WITH {EXPANSIONS} SELECT qid, array_to_string(terms, '|') AS terms, normalized AS normalized_query FROM expanded",
     "expand_filter": f"WITH {FILTERS} SELECT qid, CASE WHEN lower(a) = lower(b) THEN a ELSE a || '|' || b END AS terms FROM (SELECT qid, regexp_replace(terms[1], '\\s+', ' ', 'g') AS a, regexp_replace(split_part(question, ' ', 2), '\\s+', ' ', 'g') || ' end' AS b FROM proposed)",
     "expanded_query": f"WITH {EXPANSIONS} SELECT qid, regexp_replace(question || ' ' || normalized || ' ' || array_to_string(terms, ' ') || ' ' || array_to_string(terms[1:4], ' '), '^\\s+|\\s+$', '', 'g') AS question FROM expanded",
@@ -176,12 +218,25 @@ ORACLES = {
     "gold_pairs": f"WITH {GOLD} SELECT qid, doc_id FROM gold",
     "eval_metrics": f"{BM25}, {pool(3000)}, {docs('top3', 20)}, {GOLD}, {metrics()} SELECT {MEANS} FROM measured",
     "rank_histogram": f"{BM25}, {pool(3000)}, {docs('top3', 20)}, {GOLD}, {metrics()} SELECT CASE WHEN first = 1 THEN '1' WHEN first <= 3 THEN '2-3' WHEN first <= 5 THEN '4-5' WHEN first <= 10 THEN '6-10' WHEN first <= 20 THEN '11-20' ELSE 'outside' END AS bucket, count(*) AS n, round(100.0 * count(*) / (SELECT count(*) FROM measured), 6) AS percent FROM measured GROUP BY 1",
-    "bm25_grid": f"WITH {INDEX}, {questions()}, params AS (SELECT k1, b FROM (VALUES (0.6::DOUBLE), (0.9::DOUBLE), (1.2::DOUBLE), (1.5::DOUBLE), (2.0::DOUBLE)) a(k1), (VALUES (0.4::DOUBLE), (0.6::DOUBLE), (0.75::DOUBLE), (0.9::DOUBLE)) c(b)), {scores(k1='k1', b='b', params='params')}, {pool(3000, by=', k1, b')}, {docs('top3', 20, by=', k1, b')}, {GOLD}, {metrics(by=', k1, b')} SELECT k1, b, {MEANS} FROM measured GROUP BY k1, b",
-    "fusion_compare": f"{COMPARED}, {docs('top3', 20, source='fpool', by=_BY)}, {GOLD}, {metrics(by=_BY)} SELECT fusion, {MEANS} FROM measured GROUP BY fusion",
+    "bm25_grid": f"{_GRID} SELECT k1, b, {MEANS} FROM measured GROUP BY k1, b",
+    "grid_deltas": f"{_GRID}, r AS (SELECT k1, b, avg(recall) AS recall FROM measured GROUP BY k1, b) SELECT k1, b, round(recall, 6) AS recall, round(recall - (SELECT recall FROM r WHERE k1 = 1.5 AND b = 0.75), 6) AS delta FROM r",
+    "grid_best": f"{_GRID} SELECT k1, b, {MEANS} FROM measured GROUP BY k1, b ORDER BY round(avg(measured.recall), 9) DESC, k1, b LIMIT 1",
+    "grid_matrix": f"{_GRID} SELECT k1, {', '.join(f'round(avg(recall) FILTER (WHERE b = {x / 100}), 6) AS b_{x}' for x in (40, 60, 75, 90))} FROM measured GROUP BY k1",
+    "best_aggregator": f"{_AGGREGATORS} SELECT agg, {MEANS} FROM measured GROUP BY agg ORDER BY round(avg(measured.recall), 9) DESC, agg LIMIT 1",
+    "fusion_compare": f"{_FUSIONS} SELECT fusion, {MEANS} FROM measured GROUP BY fusion",
+    "fusion_deltas": f"{_FUSIONS}, r AS (SELECT fusion, avg(recall) AS recall FROM measured GROUP BY fusion) SELECT fusion, round(recall, 6) AS recall, round(recall - (SELECT recall FROM r WHERE fusion = 'bm25'), 6) AS delta FROM r",
+    "rerank_compare": f"{_SYSTEMS}, r AS (SELECT system, avg(recall) AS recall, avg(rr) AS mrr FROM measured GROUP BY system) SELECT system, round(recall, 6) AS recall, round(mrr, 6) AS mrr, round(recall - (SELECT recall FROM r WHERE system = 'hybrid'), 6) AS delta FROM r",
     "fallback_popular": f"WITH {GOLD}, {POPULAR} SELECT doc_id, place FROM popular",
     "pad_answers": f"{PADDED} SELECT qid, doc_id, place FROM padded",
     "submission_rows": f"{ANSWERS} SELECT qid, array_to_string(answer, ',') AS answer FROM answers",
     "answer_length_hist": f"{ANSWERS} SELECT len(answer) AS n_ids, count(*) AS n_questions FROM answers GROUP BY 1",
+    "prediction_summary": f"{PADDED} SELECT (SELECT count(DISTINCT qid) FROM padded) AS n_questions, (SELECT count(DISTINCT doc_id) FROM padded) AS n_documents, (SELECT count(*) FROM asked WHERE qid NOT IN (SELECT qid FROM ranked GROUP BY qid HAVING count(*) >= 5)) AS n_padded",
+    "search_results": f"{BM25}, {pool(3000)}, {docs('max', 5)}, {snippets('* FROM ranked')}",
+    "search_chunks": f"{BM25}, {pool(5)}, {snippets('qid, rnk, doc_id, score, chunk_idx AS best_chunk, 1 AS n_chunk FROM pool')}",
+    "known_terms": f"WITH {INDEX}, {questions()}, each AS (SELECT DISTINCT qid, unnest({tokens('question')}) AS term FROM asked) SELECT qid, string_agg(term, ' ' ORDER BY term) AS terms FROM each SEMI JOIN vocab USING (term) GROUP BY qid",
+    "document_view": _VIEW,
+    "validate_findings": f"WITH {FINDINGS} SELECT CASE code[1] WHEN 'E' THEN 'error' ELSE 'warning' END AS severity, code, title, count(*) AS n, array_to_string(list_sort(list(DISTINCT what))[1:5], ',') AS examples FROM broken JOIN titles USING (code) GROUP BY code, title",
+    "submission_statistics": f"WITH {SUBMISSION} SELECT 'made' AS sub_id, (SELECT count(*) FROM latest) AS n_questions, (SELECT count(*) FROM typed WHERE t = 'ARRAY') AS n_answers, (SELECT count(doc_id) FROM ids) AS n_ids, (SELECT count(DISTINCT doc_id) FROM ids) AS n_documents",
     "reflow_text": f"WITH {REFLOW} SELECT doc_id, line_no, line FROM lines",
     "highlight": f"WITH {REFLOW} SELECT doc_id, line_no, {_marked(_marked(ESCAPED))} AS html FROM lines",
     "structure_classify": f"WITH {REFLOW} SELECT doc_id, line_no, {_UNIT} AS unit FROM lines",

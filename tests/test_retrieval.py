@@ -150,6 +150,37 @@ def test_validation(spark):
     assert "E003" in codes["bad"] and "E004" in codes["list"] and "E004" in codes["empty"]
 
 
+def test_report_and_statistics(spark):
+    files = values(spark, [("a", None, [("E001", "a.zip")]), ("b", '{"1":\n {"answer" ["x"]}}', [("W004", "b.json")]), ("c", '{"1":{"answer":["a","b"]},"2":{"answer":["a"]},"3":5}', [])], "sub_id string, json string, file_findings array<struct<code: string, detail: string>>")
+    got = {(r["sub_id"], r["code"]): (r["title"], r["n"], r["examples"]) for r in validation.report(files, corpus=values(spark, [("a",)], "doc_id string")).collect()}
+    assert set(got) == {("a", "E001"), ("b", "W004"), ("b", "E003"), ("b", "W005"), ("c", "E007"), ("c", "E014"), ("c", "W005")}
+    assert got["b", "E003"][2] == ["line 2, column 12"] and got["a", "E001"] == (validation.TITLES["E001"], 1, ["a.zip"]) and got["c", "E014"][1:] == (1, ["b"])
+    row = validation.statistics(files.where("sub_id = 'c'")).first()
+    assert (row["n_questions"], row["n_answers"], row["n_ids"], row["n_documents"]) == (3, 2, 3, 2)
+
+
+def test_examples_are_five(spark):
+    subs = values(spark, [("s", "{}")], "sub_id string, json string")
+    asked = values(spark, [(str(i),) for i in range(10, 30)], "qid string")
+    row = validation.findings(subs, asked).where("code = 'E005'").first()
+    assert row["n"] == 20 and row["examples"] == ["10", "11", "12", "13", "14"]
+
+
+def test_best_delta_matrix(spark):
+    rows = values(spark, [(1.0, 0.1, 0.5), (1.0, 0.2, 0.7), (2.0, 0.1, 0.7), (2.0, 0.2, 0.4)], "k1 double, b double, recall double")
+    top = evaluation.best(rows, ["k1", "b"]).first()
+    assert (top["k1"], top["b"]) == (1.0, 0.2)
+    assert {(r["k1"], r["b"]): round(r["delta"], 6) for r in evaluation.deltas(rows, F.col("k1") + F.col("b") == 1.1).collect()} == {(1.0, 0.1): 0.0, (1.0, 0.2): 0.2, (2.0, 0.1): 0.2, (2.0, 0.2): -0.1}
+    assert {r["k1"]: (r["0.1"], r["0.2"]) for r in evaluation.matrix(rows, "k1", "b", [0.1, 0.2]).collect()} == {1.0: (0.5, 0.7), 2.0: (0.7, 0.4)}
+
+
+def test_document_view(spark):
+    docs = values(spark, [(1, "luat-x", None, "1. abc."), (2, None, None, None)], "doc_id long, name string, link string, passage string")
+    asked = values(spark, [(1,), (1,), (2,), (3,)], "doc_id long")
+    got = {r["doc_id"]: (r["found"], r["name"], r["html"]) for r in rendering.document_view(asked, docs, ["abc"]).collect()}
+    assert got[1] == (True, "luat x", '<p class="khoan">1. <mark>abc</mark>.</p>') and got[2][0] and got[2][2] == '<p class="empty"></p>' and got[3] == (False, None, None)
+
+
 def test_reflow_and_render(spark):
     docs = values(spark, [(1, "Điều 1. Phạm\nvi điều chỉnh\n-----\n1. abc.\nx <b>")], "doc_id long, text string")
     assert [r["line"] for r in rendering.reflow(docs, ["doc_id"]).orderBy("line_no").collect()] == ["Điều 1. Phạm vi điều chỉnh", "1. abc.", "x <b>"]

@@ -154,8 +154,8 @@ def hybrid_docs(s, d):
     return _shown(fusion.hybrid_docs(_pool(s, d)))
 
 
-def _candidates(s: SparkSession, d: str) -> DataFrame:
-    return fusion.rerank_candidates(fusion.fuse(_pool(s, d), "linear"), n_docs=3, m_chunks=3)
+def _candidates(s: SparkSession, d: str, pool: DataFrame | None = None) -> DataFrame:
+    return fusion.rerank_candidates(fusion.fuse(pool or _pool(s, d), "linear"), n_docs=3, m_chunks=3)
 
 
 @query
@@ -163,9 +163,9 @@ def rerank_candidates(s, d):
     return _candidates(s, d).select("qid", "chunk_idx", "doc_id", F.col("rn").cast("long").alias("rn"), F.col("in_doc").cast("long").alias("in_doc"))
 
 
-def _reranked(s: SparkSession, d: str) -> DataFrame:
+def _reranked(s: SparkSession, d: str, pool: DataFrame | None = None) -> DataFrame:
     texts = corpus_chunks(s, d).select("chunk_idx", "text")
-    return _candidates(s, d).join(texts, "chunk_idx").withColumn("logit", (F.char_length("text") % 97).cast("double"))
+    return _candidates(s, d, pool).join(texts, "chunk_idx").withColumn("logit", (F.char_length("text") % 97).cast("double"))
 
 
 @query
@@ -314,8 +314,9 @@ def fusion_deltas(s, d):
 @query
 def rerank_compare(s, d):
     """Fused documents against those of a reranker, whose stand-in scores are lengths."""
-    plain = fusion.hybrid_docs(_pool(s, d), k=20).withColumn("system", F.lit("hybrid"))
-    ranked = plain.unionByName(fusion.rerank_docs(_reranked(s, d), k=20).withColumn("system", F.lit("reranked")))
+    pool = _pool(s, d).persist()
+    plain = fusion.hybrid_docs(pool, k=20).withColumn("system", F.lit("hybrid"))
+    ranked = plain.unionByName(fusion.rerank_docs(_reranked(s, d, pool), k=20).withColumn("system", F.lit("reranked")))
     metrics = evaluation.means(evaluation.per_question(ranked, gold(s, d), by=["system"]), ["system"])
     compared = evaluation.deltas(metrics, F.col("system") == "hybrid")
     return compared.select("system", F.round("recall", 6).alias("recall"), F.round("mrr", 6).alias("mrr"), F.round("delta", 6).alias("delta"))
@@ -334,8 +335,8 @@ def _few(s: SparkSession, d: str) -> DataFrame:
     return scoring.search_docs(_index(s, d), questions(s, d), agg="top3", k=3)
 
 
-def _padded(s: SparkSession, d: str) -> DataFrame:
-    return prediction.padded(questions(s, d), _few(s, d), _popular(s, d))
+def _padded(s: SparkSession, d: str, few: DataFrame | None = None) -> DataFrame:
+    return prediction.padded(questions(s, d), few or _few(s, d), _popular(s, d))
 
 
 @query
@@ -355,7 +356,8 @@ def answer_length_hist(s, d):
 
 @query
 def prediction_summary(s, d):
-    return prediction.summary(_padded(s, d), _few(s, d))
+    few = _few(s, d).persist()
+    return prediction.summary(_padded(s, d, few).persist(), few)
 
 
 def _lines(s: SparkSession, d: str) -> DataFrame:

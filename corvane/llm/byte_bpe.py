@@ -13,7 +13,7 @@ from __future__ import annotations
 import base64
 import heapq
 import re
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 from functools import lru_cache
 
 import numpy as np
@@ -34,7 +34,7 @@ _EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 #: A boundary that the usual byte-level patterns always respect: one space between two characters that are no space.
-_SPACES = re.compile(r"\s\s|^\s|\s\Z")
+_SPACES = re.compile(r"\s(?:\s|\Z)")
 _SAFE = re.compile(r"(?<=\S)(?= \S)")
 
 
@@ -46,9 +46,7 @@ def units(text: str) -> list[str]:
     """
     if not text:
         return []
-    if _SPACES.search(text):
-        return _SAFE.split(text)
-    if "\0" in text:
+    if text[0].isspace() or "\0" in text or _SPACES.search(text):
         return _SAFE.split(text)
     return text.replace(" ", "\0 ").split("\0")
 
@@ -62,15 +60,17 @@ def pre_tokens(unit: str, findall) -> list[str]:
     return findall(unit)
 
 
-def unknown(cut: list[list[str]], cache: dict[str, bytes]) -> set[str]:
-    """Units of the texts at hand that ``cache`` lacks. Should they overfill it, it loses all units but those of these texts."""
-    needed = set().union(*cut)
-    missing = needed.difference(cache)
-    if len(cache) + len(missing) > CACHE_UNITS:
-        kept = {u: cache[u] for u in needed - missing}
+def cached(cut: list[list[str]], cache: dict[str, bytes], learn: Callable[[set[str]], None], limit: int = CACHE_UNITS) -> list[bytes]:
+    """The ids of each text, joined from those of its units. ``learn`` adds the units that ``cache`` lacks; should they overfill
+    it, it loses all units but those of the texts at hand."""
+    found = [[*map(cache.get, us)] for us in cut]
+    missing = {u for us, ids in zip(cut, found, strict=True) for u, x in zip(us, ids, strict=True) if x is None}
+    if len(cache) + len(missing) > limit:
         cache.clear()
-        cache.update(kept)
-    return missing
+        cache.update((u, x) for us, ids in zip(cut, found, strict=True) for u, x in zip(us, ids, strict=True) if x is not None)
+    if missing:
+        learn(missing)
+    return [b"".join([cache[u] if x is None else x for u, x in zip(us, ids, strict=True)]) for us, ids in zip(cut, found, strict=True)]
 
 
 class PairTable:
@@ -245,8 +245,7 @@ class BytePairCodec:
         """Ids of each text as little-endian unsigned 32-bit integers; a null text counts as empty."""
         split = units if self.split_units else (lambda t: [t] if t else [])
         cut = [split(t or "") for t in texts]
-        self._learn(unknown(cut, self.cache))
-        return [b"".join(map(self.cache.__getitem__, us)) for us in cut]
+        return cached(cut, self.cache, self._learn)
 
     def encode(self, text: str | None) -> list[int]:
         return np.frombuffer(self.encode_packed([text])[0], "<u4").tolist()

@@ -18,42 +18,46 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from corvane.llm.byte_bpe import units, unknown
+from corvane.llm.byte_bpe import cached, units
 from corvane.llm.common import fresh_path, held, map_arrow, sliced
 
 # Fixed values of the code: ids in a word and bits of each, by selector; selector 0 marks an escape, selectors 1 to 15 pack.
 COUNTS = (0, 120, 60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1)
 BITS = (0, 0, 1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60)
 
+#: Values from which the selectors 1 to 15 do not suffice.
+LIMITS = np.array([1 << b for b in BITS[1:]], np.uint64)
 MAGIC = b"S8B1"
 BLOCK_IDS = 4096
 #: Ids of a segment, about; a longer document has a segment to itself.
 SEGMENT_IDS = 1 << 18
-#: The letter that stands for a space in byte-level vocabularies.
-SPACE = "\u0120"
+#: Entries of a worker's cache of encoded units: about 200 bytes each.
+CACHE_UNITS = 1_000_000
+#: Letters below this code point are the same in every version of Unicode.
+PLAIN = "\u0180"
 #: Units that the library encodes in one string.
 JOINED = 2000
 
 
 def choose(v: np.ndarray, block_ids: int) -> np.ndarray:
-    """The fullest selector at each place: the one whose run of small enough values, cut at the block's end, suffices."""
+    """The fullest selector at each place: the one whose run of small enough values, cut at the block's end, suffices; 0
+    where an escape is needed."""
     n = len(v)
-    # A value too large for any selector stands behind each block, so that no run passes its end.
-    walled = np.insert(v, [*range(block_ids, n, block_ids), n], np.uint64(0xFFFFFFFFFFFFFFFF))
-    choice = np.zeros(len(walled), np.int8)
+    needed = np.full(-(-n // block_ids) * block_ids, 16, np.int8)
+    needed[:n] = np.searchsorted(LIMITS, v, side="right") + 1
+    most = needed.reshape(-1, block_ids)  # of the ``count`` values from each place
+    choice, count = np.zeros_like(most), 1
     for s in range(15, 0, -1):
-        large = walled >= np.uint64(1 << BITS[s])
-        if COUNTS[s] > 1 and len(large) - np.count_nonzero(large) < COUNTS[s]:
-            break  # ever smaller bounds leave ever fewer values
-        stops = np.flatnonzero(large)
-        begin, last = np.append(0, stops[:-1] + 1), stops - COUNTS[s] + 1
-        run = last > begin
-        if run.any():
-            mark = np.zeros(len(walled) + 1, np.int8)
-            mark[begin[run]] += 1
-            mark[last[run]] -= 1
-            choice[np.cumsum(mark[:-1], dtype=np.int8) > 0] = s
-    return np.delete(choice, np.append(np.arange(block_ids, n, block_ids), n) + np.arange(-(-n // block_ids)))
+        if COUNTS[s] > block_ids:
+            break
+        while count < COUNTS[s]:
+            step = min(count, COUNTS[s] - count)
+            most, count = np.maximum(most[:, :-step], most[:, step:]), count + step
+        fits = most <= s
+        if not fits.any():
+            break  # longer runs of smaller values fit even less
+        choice[:, : fits.shape[1]][fits] = s
+    return choice.ravel()[:n]
 
 
 def encode_blocks(values: np.ndarray, block_ids: int = BLOCK_IDS) -> list[bytes]:
@@ -133,13 +137,43 @@ def decode_segment(data: bytes) -> np.ndarray:
     return np.concatenate(parts) if parts else np.zeros(0, np.uint64)
 
 
+def letters() -> str:
+    """The letter of each byte in byte-level vocabularies: a printable byte's own, the others have U+0100 and the next."""
+    shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = iter(range(256, 512))
+    return "".join(chr(b if b in shown else next(others)) for b in range(256))
+
+
+LETTERS = letters()
+
+
+def plain_parts(unit: str) -> list[str] | None:
+    """The pre-tokens of a unit of words, each with at most a comma or a full stop behind it, and single line breaks between
+    them; None for any other unit."""
+    if not unit.isascii() and max(unit) >= PLAIN:
+        return None
+    parts = []
+    for i, line in enumerate(unit.split("\n")):
+        if i:
+            parts.append("\n")
+        word = line[1:] if not i and line[:1] == " " else line
+        if word.isalpha():
+            parts.append(line)
+        elif word[-1:] in (",", ".") and word[:-1].isalpha():
+            parts += line[:-1], word[-1]
+        else:
+            return None
+    return parts
+
+
 class LibraryTokenizer:
     """Ids of whole texts by a file of the tokenizers library, as its ``encode(..., add_special_tokens=False)`` gives them:
     a string of an added token in a text becomes that token.
 
     ``split_units``: the file's splitter is the byte-level one, which never matches across the boundaries of ``units()``,
-    and no added token holds a space. Units that are not in the cache are then encoded by the library in strings of many;
-    as each id stands for a known number of bytes, the units' ids are found by place. Otherwise texts are encoded whole.
+    and no added token holds a space or consists of letters. Pre-tokens of plain words are then encoded by the library's
+    model, other units that are not in the cache by the whole library in strings of many; as each id stands for a known
+    number of bytes, the units' ids are found by place. Otherwise texts are encoded whole.
     """
 
     def __init__(self, json_path: str, split_units: bool = True) -> None:
@@ -158,19 +192,22 @@ class LibraryTokenizer:
         return [np.array(e.ids, "<u4") for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _learn(self, missing: set[str]) -> None:
-        cache, model = self.cache, self.library.model
-        words, joined, alone = [], [], []
+        cache, tokenize = self.cache, self.library.model.tokenize
+        plain, words, joined, alone = [], set(), [], []
         for u in missing:
-            if u[0] != " " or u[-1].isspace():
+            if parts := plain_parts(u):
+                words.update(parts)
+                if len(parts) > 1:
+                    plain.append((u, parts))
+            elif u[0] != " " or u[-1].isspace():
                 alone.append(u)
-            elif (w := u[1:]).isascii() and w.isalpha():
-                words.append(w)
             else:
                 joined.append(u)
-        # A space and letters are one pre-token, in the vocabulary's letters: the library's model needs no splitter for it.
-        for w in words:
-            ids = [t.id for t in model.tokenize(SPACE + w)]
-            cache[" " + w] = pack(f"<{len(ids)}I", *ids)
+        # The library's model needs no splitter for a pre-token, written in the vocabulary's letters.
+        for w in words.difference(cache):
+            ids = [t.id for t in tokenize((w if w.isascii() else w.encode().decode("latin-1")).translate(LETTERS))]
+            cache[w] = pack(f"<{len(ids)}I", *ids)
+        cache.update((u, b"".join(map(cache.__getitem__, parts))) for u, parts in plain)
         cache.update((u, ids.tobytes()) for u, ids in zip(alone, self._whole(alone), strict=True))
         # A unit that begins with its space and ends with none can stand behind another one.
         groups = [joined[i : i + JOINED] for i in range(0, len(joined), JOINED)]
@@ -188,8 +225,7 @@ class LibraryTokenizer:
         if not self.split_units:
             return [ids.tobytes() for ids in self._whole([t or "" for t in texts])]
         cut = [units(t or "") for t in texts]
-        self._learn(unknown(cut, self.cache))
-        return [b"".join(map(self.cache.__getitem__, us)) for us in cut]
+        return cached(cut, self.cache, self._learn, CACHE_UNITS)
 
 
 def tokenizer(json_path: str, split_units: bool = True) -> LibraryTokenizer:

@@ -145,6 +145,7 @@ def letters() -> str:
 
 
 LETTERS = letters()
+SPACE = LETTERS[32]
 
 
 def plain_parts(unit: str) -> list[str] | None:
@@ -180,6 +181,7 @@ class LibraryTokenizer:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(json_path)
+        self.model = self.library.model
         self.split_units = split_units
         self.cache: dict[str, bytes] = {}
         # A token of a byte-level vocabulary has a character for each byte, an added token is its own text.
@@ -191,23 +193,32 @@ class LibraryTokenizer:
     def _whole(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, "<u4") for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _pre_token(self, piece: str) -> bytes:
+        """Ids of one pre-token: the library's model needs no splitter for it, but the vocabulary's letters."""
+        if piece.isascii() and piece != "\n":  # their printable characters stand for themselves
+            spelt = piece.replace(" ", SPACE)
+        else:
+            spelt = piece.encode().decode("latin-1").translate(LETTERS)
+        ids = [t.id for t in self.model.tokenize(spelt)]
+        return pack(f"<{len(ids)}I", *ids)
+
     def _learn(self, missing: set[str]) -> None:
-        cache, tokenize = self.cache, self.library.model.tokenize
-        plain, words, joined, alone = [], set(), [], []
+        cache, whole, others, joined, alone = self.cache, self._pre_token, [], [], []
         for u in missing:
+            if (u[1:] if u[0] == " " else u).isalpha() and (u.isascii() or max(u) < PLAIN):
+                cache[u] = whole(u)
+            else:
+                others.append(u)
+        for u in others:
             if parts := plain_parts(u):
-                words.update(parts)
-                if len(parts) > 1:
-                    plain.append((u, parts))
+                for part in parts:
+                    if part not in cache:
+                        cache[part] = whole(part)
+                cache[u] = b"".join([cache[part] for part in parts])
             elif u[0] != " " or u[-1].isspace():
                 alone.append(u)
             else:
                 joined.append(u)
-        # The library's model needs no splitter for a pre-token, written in the vocabulary's letters.
-        for w in words.difference(cache):
-            ids = [t.id for t in tokenize((w if w.isascii() else w.encode().decode("latin-1")).translate(LETTERS))]
-            cache[w] = pack(f"<{len(ids)}I", *ids)
-        cache.update((u, b"".join(map(cache.__getitem__, parts))) for u, parts in plain)
         cache.update((u, ids.tobytes()) for u, ids in zip(alone, self._whole(alone), strict=True))
         # A unit that begins with its space and ends with none can stand behind another one.
         groups = [joined[i : i + JOINED] for i in range(0, len(joined), JOINED)]

@@ -111,6 +111,18 @@ def test_library_ids_of_real_texts(spark):
         assert [np.frombuffer(x, "<u4").tolist() for x in coder.encode_packed(texts)] == [e.ids for e in t.encode_batch(texts, add_special_tokens=False)]
 
 
+@settings(max_examples=150, deadline=None)
+@given(st.text(alphabet=" \n\tabstre,.'1éßĀƀͰ日!\x85\xa0", max_size=40))
+def test_library_ids_of_any_text(text):
+    coder = simple8b.tokenizer(JSON)
+    assert np.frombuffer(coder.encode_packed([text])[0], "<u4").tolist() == coder.library.encode(text, add_special_tokens=False).ids
+
+
+def test_parts_of_plain_units():
+    assert simple8b.plain_parts(" the") == [" the"] and simple8b.plain_parts(" end.\nThe,") == [" end", ".", "\n", "The", ","]
+    assert [simple8b.plain_parts(u) for u in (" ", "", "\n", " a\n", " it's", " a..", "a\n b", " 日")] == [None] * 8
+
+
 def test_shards_of_an_empty_table_and_small_segments(spark, tmp_path):
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert simple8b.round_trip(empty, JSON).count() == 0

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from corvane.llm import queries_documents, queries_links, queries_native, queries_pages, queries_tokens
+from corvane.llm import queries_documents, queries_links, queries_manifest, queries_native, queries_pages, queries_series, queries_tokens, queries_vectors
 
-QUERIES = {**queries_tokens.QUERIES, **queries_documents.QUERIES, **queries_links.QUERIES, **queries_native.QUERIES, **queries_pages.QUERIES}
-ORACLES = {**queries_tokens.ORACLES, **queries_documents.ORACLES, **queries_links.ORACLES, **queries_native.ORACLES, **queries_pages.ORACLES}
+_PARTS = (queries_tokens, queries_documents, queries_links, queries_native, queries_pages, queries_manifest, queries_series, queries_vectors)
+QUERIES = {name: f for part in _PARTS for name, f in part.QUERIES.items()}
+ORACLES = {name: sql for part in _PARTS for name, sql in part.ORACLES.items()}

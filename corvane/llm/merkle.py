@@ -213,18 +213,20 @@ def manifest(leaves: DataFrame, tree: str, key: str, path: str | None = None) ->
     """
     spark = leaves.sparkSession
     path = path or fresh_path(spark, "manifest")
-    placed = written(ranked(leaves, [tree, key, "leaf"], "place_"), "placed")
-    trees = placed.groupBy(F.col(tree).alias("tree_")).agg(F.min("place_").alias("first_"), F.count(F.lit(1)).alias("size"))
-    numbered = written(ranked(trees, ["tree_"], "tree_no"), "trees")  # broadcast if Spark finds it small
-    same = F.col(tree).eqNullSafe(F.col("tree_"))
-    located = placed.join(numbered, same).withColumn("pos", F.col("place_") - F.col("first_")).drop("place_", "first_", "tree_")
+    names = {c: f"c{i}" for i, c in enumerate(leaves.columns)}  # none is the name of a generated column
+    group, own = names[tree], names["leaf"]
+    placed = written(ranked(leaves.select(*[F.col(f"`{c}`").alias(n) for c, n in names.items()]), [group, names[key], own], "place"), "placed")
+    trees = placed.groupBy(F.col(group).alias("tree")).agg(F.min("place").alias("first"), F.count(F.lit(1)).alias("size"))
+    numbered = written(ranked(trees, ["tree"], "tree_no"), "trees")  # broadcast if Spark finds it small
+    located = placed.join(numbered, F.col(group).eqNullSafe(F.col("tree"))).withColumn("pos", F.col("place") - F.col("first")).drop("place", "first", "tree")
     located = written(located, "located")
-    forest = build(located.select("tree_no", "pos", "size", F.col("leaf").alias("hash")), f"{path}/trees")
+    forest = build(located.select("tree_no", "pos", "size", F.col(own).alias("hash")), f"{path}/trees")
     n_trees = numbered.agg(F.count(F.lit(1)).alias("size"))
-    zero = F.lit(0).cast("long")
-    roots = forest.trees.select(zero.alias("tree_no"), F.col("tree_no").alias("pos"), F.col("top").alias("hash")).crossJoin(F.broadcast(n_trees))
+    roots = forest.trees.select(F.lit(0).cast("long").alias("tree_no"), F.col("tree_no").alias("pos"), F.col("top").alias("hash")).crossJoin(F.broadcast(n_trees))
     roots = written(roots, "roots")
     last = build(roots, f"{path}/root")
     root = last.trees.select(F.col("top").alias("root"))
     above = paths(last, roots.select("tree_no", "pos", F.col("hash").alias("subroot"))).select(F.col("pos").alias("tree_no"), "path", "subroot").crossJoin(F.broadcast(root))
-    return paths(forest, located.drop("size"), above).drop("tree_no", "pos")
+    found = paths(forest, located.drop("size"), above)
+    kept = [F.col(n).alias(c) for c, n in names.items() if c.lower() not in ("path", "subroot", "root")]
+    return found.select(*kept, "path", "subroot", "root")

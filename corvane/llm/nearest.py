@@ -41,8 +41,9 @@ class Codes:
         scale[scale == 0] = 1.0  # components so small that their 127th part is zero
         self.codes = np.clip(np.rint(x / scale[:, None]), -127, 127).astype(np.int8)
         coded = scale[:, None] * self.codes
-        self.scale, self.rest = scale, np.sqrt(np.square(x - coded).sum(1))
-        self.square = np.square(coded).sum(1)
+        with np.errstate(over="ignore"):  # infinite bounds prune nothing
+            self.scale, self.rest = scale, np.sqrt(np.square(x - coded).sum(1))
+            self.square = np.square(coded).sum(1)
 
 
 def products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -66,9 +67,10 @@ def bounds(q: Codes, c: Codes) -> tuple[np.ndarray, np.ndarray]:
 def distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Euclidean distances of paired rows, components summed in order, in double precision."""
     total = np.zeros(len(x))
-    for k in range(x.shape[1]):
-        d = x[:, k] - y[:, k]
-        total += d * d
+    with np.errstate(over="ignore"):
+        for k in range(x.shape[1]):
+            d = x[:, k] - y[:, k]
+            total += d * d
     return np.sqrt(total)
 
 

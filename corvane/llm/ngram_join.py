@@ -401,6 +401,8 @@ def one_of_each(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     gone = ids.where("component <> doc_id").select("doc_id")
     again = ids.where("component = doc_id and c > 1").select("doc_id")
     apart, again = small(written(gone.unionByName(again), "apart")), small(written(again, "again"))
-    least = F.struct(*[F.col(f"`{c}`") for c in ["text", *[c for c in docs.columns if c != "text"]]])
-    repeated = docs.join(again, "doc_id", "left_semi").groupBy(F.col("doc_id").alias("_1")).agg(F.min(least).alias("_2")).select(*[F.col(f"_2.`{c}`") for c in docs.columns])
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    # Maps and variants have no order: rows of equal text are told apart by their digests as JSON.
+    first = F.min_by(whole, F.struct(F.col("text"), F.sha2(F.to_json(whole, {"ignoreNullFields": "false"}), 256)))
+    repeated = docs.join(again, "doc_id", "left_semi").groupBy(F.col("doc_id").alias("_1")).agg(first.alias("_2")).select(*[F.col(f"_2.`{c}`") for c in docs.columns])
     return docs.join(apart, "doc_id", "left_anti").unionByName(repeated)

@@ -153,10 +153,13 @@ def fit(labelled: DataFrame, features: str = "features", label: str = "label", *
 
 
 def score(df: DataFrame, model: Discriminant, features: str = "features", out: str = "score", keep: list[str] | None = None) -> DataFrame:
-    """``df`` with ``out``, the probability of label 1 for each feature vector. No shuffle."""
+    """``df`` with ``out``, the probability of label 1 for each feature vector; a null vector counts as that of an empty text.
+    Rows that repeat have equal scores, an empty table stays empty, an input column named ``out`` gives way. No shuffle."""
+    empty = statistics([None])[0]
+
     @F.pandas_udf("double")
     def scored(x: pd.Series) -> pd.Series:
-        return pd.Series(model.scores(np.stack(x.to_numpy())) if len(x) else np.zeros(0))
+        return pd.Series(model.scores(np.stack([empty if v is None else v for v in x])) if len(x) else np.zeros(0))
 
     kept = [c for c in (df.columns if keep is None else keep) if c.lower() != out.lower()]
     return df.select(*[F.col(f"`{c}`") for c in kept], scored(F.col(features)).alias(out))

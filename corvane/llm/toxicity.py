@@ -12,6 +12,7 @@ documents lack (``contrast`` in ``train``): else both dictionaries would learn t
 
 from __future__ import annotations
 
+import warnings
 import random
 from collections import Counter
 from dataclasses import dataclass
@@ -196,9 +197,12 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", most_toxic: in
     picked = spark.createDataFrame([(r["doc_id"], r["y"]) for r in chosen], "doc_id long, y int")
     # The sample has a fixed bound, so this side may be broadcast and what it finds may be ranked in one task a label.
     found = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(picked), "doc_id").select("doc_id", "y", "text").dropDuplicates()
+    fitting = found.where(F.octet_length("text") <= most_bytes)  # a longer text goes alone, not with all behind it
     size = F.sum(F.octet_length("text")).over(Window.partitionBy("y").orderBy(F.xxhash64("doc_id"), "doc_id", "text"))
-    rows = found.withColumn("upto", size).where(F.col("upto") <= most_bytes).select("doc_id", "y", "text").collect()
+    rows = fitting.withColumn("upto", size).where(F.col("upto") <= most_bytes).select("doc_id", "y", "text").collect()
     rows.sort(key=lambda r: (r["doc_id"], r["text"]))
+    if chosen and len({r["y"] for r in rows}) < len({r["y"] for r in chosen}):
+        warnings.warn(f"no text of a labelled class is there, or has {most_bytes} bytes or fewer: every score is 0", stacklevel=2)
     return train([r["text"] for r in rows], [r["y"] for r in rows])
 
 

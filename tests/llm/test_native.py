@@ -199,6 +199,16 @@ def test_join_of_repeated_ids(spark):
     assert sorted(r["doc_id"] for r in kept) == [5, 11, 12] and kept[0].asDict().keys() == {"doc_id", "text", "comp"}
 
 
+def test_near_copies_with_columns_that_have_no_order(spark):
+    docs = spark.sql("""SELECT doc_id, text, map('k', n) AS m, parse_json(concat('[', n, ']')) AS v, n FROM VALUES
+      (1, 'a b c d e f', 1), (2, 'A b c d e f', 2), (3, 'other words here and there', 3), (3, 'other words here and there', 4), (3, 'zzz', 5), (4, NULL, 6) AS t(doc_id, text, n)""").withColumn("doc_id", F.col("doc_id").cast("long"))
+    kept = ngram_join.one_of_each(docs)
+    assert kept.dtypes == docs.dtypes
+    rows = sorted((r["doc_id"], r["text"], r["m"]["k"]) for r in kept.select("doc_id", "text", "m").collect())
+    assert [r[:2] for r in rows] == [(1, "a b c d e f"), (3, "other words here and there"), (4, None)] and rows[1][2] in (3, 4)
+    assert rows == sorted((r["doc_id"], r["text"], r["m"]["k"]) for r in ngram_join.one_of_each(docs.repartition(7)).select("doc_id", "text", "m").collect())
+
+
 def test_every_link_of_random_families(spark, monkeypatch):
     """Random edits of a few texts, in parts of three rows, so that groups are dealt and parts are crossed."""
     monkeypatch.setattr(ngram_join, "BLOCK", 3)

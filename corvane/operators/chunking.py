@@ -13,6 +13,9 @@ from corvane.functions import text as T
 
 TARGET_WORDS, MIN_WORDS, WINDOW_WORDS, OVERLAP, HEAD_WORDS = 350, 32, 256, 0.25, 30
 
+#: What chunks depend on besides their documents.
+OPTIONS = {"version": 2, "target": TARGET_WORDS, "min": MIN_WORDS, "window": WINDOW_WORDS, "overlap": OVERLAP, "head": HEAD_WORDS}
+
 #: Fixed patterns of the legal texts that the defaults are for: article and clause headings at line starts.
 ARTICLE = rf"(?md)^{T.SPACE}*(Điều{T.SPACE}+\p{{Nd}}+[a-zđ]?){T.SPACE}*[.:]?"
 CLAUSE = rf"(?md)^{T.SPACE}*(\p{{Nd}}+)\.{T.SPACE}"

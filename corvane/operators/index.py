@@ -1,35 +1,84 @@
-"""The inverted index as four tables without parameters: postings, vocabulary, chunk and corpus statistics."""
+"""The inverted index as tables without parameters: postings, vocabulary, blocks, chunk and corpus statistics.
+
+Terms are counted inside a chunk's row; what is shuffled is one row for each term of a chunk, once, to the place where it stays.
+"""
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corvane.functions import text as T
 
 MIN_DF, MAX_DF_RATIO, MOST_TF = 2, 0.7, 65535
+#: Chunks whose lengths agree up to so many tokens form a block of each of their terms.
+BLOCK_LENGTHS = 32
+#: Postings of a bucket of the written index at least, and of one part of a term that has more.
+BUCKET_ROWS, PART_ROWS = 1 << 22, 1 << 21
+#: Documents in a row whose postings of a parted term stay together.
+PART_DOCS = 4096
+
+#: What a written index depends on besides its chunks.
+OPTIONS = {"version": 2, "min_df": MIN_DF, "max_df_ratio": MAX_DF_RATIO, "block_lengths": BLOCK_LENGTHS}
+
+_TABLES = ("postings", "vocab", "blocks", "chunk_stats", "corpus_stats")
 
 
 @dataclass
 class Index:
-    """postings(term, chunk_idx, tf), vocab(term, df, idf), chunk_stats(chunk_idx, doc_id, doclen),
-    corpus_stats(n_chunks, avgdl, nnz, vocab_size): lazy, or read from a written index."""
+    """postings(term, chunk_idx, doc_id, doclen, tf, bucket), vocab(term, df, idf), blocks(term, block, most_tf, least_len, n),
+    chunk_stats(chunk_idx, doc_id, doclen), corpus_stats(n_chunks, avgdl, nnz, vocab_size): lazy, or read from a written index.
+
+    ``buckets``: how many the postings' folders are; 0 if they are not in folders.
+    """
 
     postings: DataFrame
     vocab: DataFrame
+    blocks: DataFrame
     chunk_stats: DataFrame
     corpus_stats: DataFrame
+    buckets: int = 0
 
+    def postings_of(self, terms: DataFrame) -> DataFrame:
+        """The postings in the buckets of ``terms`` (term): other folders are not read. At most every bucket's number goes to
+        the driver."""
+        if not self.buckets:
+            return self.postings
+        used = [r[0] for r in terms.select(bucket("term", self.buckets).alias("b")).distinct().collect()]
+        return self.postings.where(F.col("bucket").isin(used))
 
-def term_frequencies(chunks: DataFrame) -> DataFrame:
-    """(chunk_idx, term, tf) of all terms, before pruning."""
-    return chunks.select("chunk_idx", F.explode(T.tokens("text")).alias("term")).groupBy("chunk_idx", "term").agg(F.least(F.count(F.lit(1)), F.lit(MOST_TF)).cast("int").alias("tf"))
 
+def bucket(term: str, n: int) -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(n)).cast("int")
 
-def chunk_statistics(chunks: DataFrame) -> DataFrame:
-    return chunks.select("chunk_idx", F.col("doc_id").cast("long").alias("doc_id"), F.size(T.tokens("text")).alias("doclen"))
+
+def block(doclen: str) -> Column:
+    return F.floor(F.col(doclen) / BLOCK_LENGTHS).cast("int")
+
+
+def forward(chunks: DataFrame) -> DataFrame:
+    """(chunk_idx, doc_id, doclen, terms: array of (term, tf) in order of terms) of each of ``chunks`` (chunk_idx, doc_id, text)."""
+    ordered = chunks.select("chunk_idx", F.col("doc_id").cast("long").alias("doc_id"), F.sort_array(T.tokens("text")).alias("s"))
+    n = F.size("s")
+    begins = F.filter(F.sequence(F.lit(0), n - 1), lambda i: (i == 0) | (F.get("s", i) != F.get("s", i - 1)))
+    runs = ordered.select("*", F.when(n > 0, begins).otherwise(F.array().cast("array<int>")).alias("at"))
+    tf = lambda p, j: F.least(F.coalesce(F.get("at", j + 1), n) - p, F.lit(MOST_TF))
+    terms = F.transform("at", lambda p, j: F.struct(F.get("s", p).alias("term"), tf(p, j).cast("int").alias("tf")))
+    return runs.select("chunk_idx", "doc_id", n.alias("doclen"), terms.alias("terms"))
+
+
+def listed(rows: DataFrame) -> DataFrame:
+    """(term, chunk_idx, doc_id, doclen, tf) of the rows of ``forward``: all terms, before pruning."""
+    # The outer form: for the other one Spark infers a filter on the array, which would repeat the whole count below it.
+    each = rows.select("chunk_idx", "doc_id", "doclen", F.inline_outer("terms"))
+    return each.where("term is not null").select("term", "chunk_idx", "doc_id", "doclen", "tf")
+
+
+def term_frequencies(chunks: DataFrame) -> DataFrame:
+    """(chunk_idx, term, tf) of all terms, before pruning."""
+    return listed(forward(chunks)).select("chunk_idx", "term", "tf")
 
 
 def document_frequencies(frequencies: DataFrame) -> DataFrame:
@@ -43,15 +92,25 @@ def vocabulary(df: DataFrame, n_chunks: DataFrame) -> DataFrame:
     return kept.select("term", "df", F.log(1 + (F.col("n_chunks") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
 
 
+def block_bounds(postings: DataFrame) -> DataFrame:
+    """Of each term and block the greatest tf, the least length and the number of postings: what a score can reach there,
+    whatever the parameters."""
+    return postings.groupBy("term", block("doclen").alias("block")).agg(F.max("tf").alias("most_tf"), F.min("doclen").alias("least_len"), F.count(F.lit(1)).alias("n"))
+
+
+def assemble(rows: DataFrame, df: DataFrame, sizes: DataFrame) -> Index:
+    """The index of the rows of ``forward``, their document frequencies (term, df) and their totals (n_chunks, avgdl)."""
+    vocab = vocabulary(df, sizes)
+    postings = listed(rows).join(vocab.select("term"), "term", "left_semi").select("term", "chunk_idx", "doc_id", "doclen", "tf", F.lit(0).alias("bucket"))
+    totals = sizes.crossJoin(vocab.agg(F.coalesce(F.sum("df"), F.lit(0)).alias("nnz"), F.count(F.lit(1)).alias("vocab_size")))
+    return Index(postings, vocab, block_bounds(postings), rows.select("chunk_idx", "doc_id", "doclen"), totals)
+
+
 def build(chunks: DataFrame) -> Index:
     """The index over ``chunks`` (chunk_idx, doc_id, text)."""
-    frequencies = term_frequencies(chunks)
-    stats = chunk_statistics(chunks)
-    sizes = stats.agg(F.count(F.lit(1)).alias("n_chunks"), F.avg("doclen").alias("avgdl"))
-    vocab = vocabulary(document_frequencies(frequencies), sizes)
-    postings = frequencies.join(vocab.select("term"), "term", "left_semi").select("term", "chunk_idx", "tf")
-    totals = sizes.crossJoin(vocab.agg(F.coalesce(F.sum("df"), F.lit(0)).alias("nnz"), F.count(F.lit(1)).alias("vocab_size")))
-    return Index(postings, vocab, stats, totals)
+    rows = forward(chunks)
+    sizes = rows.agg(F.count(F.lit(1)).alias("n_chunks"), F.avg("doclen").alias("avgdl"))
+    return assemble(rows, document_frequencies(listed(rows)), sizes)
 
 
 def pruning_counts(df: DataFrame, n_chunks: DataFrame) -> DataFrame:
@@ -61,12 +120,29 @@ def pruning_counts(df: DataFrame, n_chunks: DataFrame) -> DataFrame:
     return counted.agg(F.count_if(F.col("df").between(MIN_DF, most)).alias("kept"), F.count_if(F.col("df") < MIN_DF).alias("rare"), F.count_if(F.col("df") > most).alias("common"))
 
 
-def write(index: Index, path: str) -> None:
-    """Four Parquet tables below ``path``; postings are clustered and sorted by term, so that readers prune row groups."""
-    index.postings.repartition("term").sortWithinPartitions("term", "chunk_idx").write.mode("overwrite").parquet(f"{path}/postings")
+def dealt(index: Index, buckets: int, part_rows: int = PART_ROWS) -> DataFrame:
+    """The postings by bucket of their term, a term of more than ``part_rows`` postings in parts of neighbouring documents: a
+    task gets a bucket's common run of terms, or parts, never a whole hot term."""
+    parts = index.vocab.select("term", F.ceil(F.col("df") / part_rows).alias("parts")).where("parts > 1")
+    spread = index.postings.join(parts, "term", "left").withColumn("bucket", bucket("term", buckets))
+    part = F.coalesce(F.pmod(F.floor(F.col("doc_id") / PART_DOCS), F.col("parts")), F.lit(-1))
+    return spread.withColumn("part", part).withColumn("hot", F.when(F.col("parts").isNotNull(), F.col("term"))).repartition("bucket", "hot", "part").sortWithinPartitions("bucket", "term", "chunk_idx").drop("part", "parts", "hot")
+
+
+def write(index: Index, path: str, buckets: int | None = None, part_rows: int = PART_ROWS) -> None:
+    """Parquet tables below ``path``: the postings in a folder a bucket, sorted by term in each file, so that readers prune
+    folders and row groups. ``buckets``: from the number of postings by default."""
     for name in ("vocab", "chunk_stats", "corpus_stats"):
         getattr(index, name).write.mode("overwrite").parquet(f"{path}/{name}")
+    spark = index.postings.sparkSession
+    stored = Index(index.postings, spark.read.parquet(f"{path}/vocab"), index.blocks, index.chunk_stats, index.corpus_stats)
+    if buckets is None:
+        nnz = spark.read.parquet(f"{path}/corpus_stats").first()["nnz"]
+        buckets = max(8, -(-nnz // BUCKET_ROWS))
+    dealt(stored, buckets, part_rows).write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
+    block_bounds(spark.read.parquet(f"{path}/postings")).write.mode("overwrite").parquet(f"{path}/blocks")
+    spark.range(1).select(F.lit(buckets).alias("buckets")).write.mode("overwrite").parquet(f"{path}/layout")
 
 
 def read(spark, path: str) -> Index:
-    return Index(*[spark.read.parquet(f"{path}/{name}") for name in ("postings", "vocab", "chunk_stats", "corpus_stats")])
+    return Index(*[spark.read.parquet(f"{path}/{name}") for name in _TABLES], buckets=spark.read.parquet(f"{path}/layout").first()["buckets"])

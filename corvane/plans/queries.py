@@ -11,7 +11,7 @@ from corvane.functions import json as J
 from corvane.functions import text as T
 from corvane.functions import vectors as V
 from corvane.operators import chunking, evaluation, expansion, fusion, index, prediction, rendering, scoring, validation
-from corvane.plans.retrieval import Options, corpus_chunks, dense_pool, gold, passages, questions, stand_in_vectors, table
+from corvane.plans.retrieval import Options, corpus_chunks, corpus_index, dense_pool, gold, passages, questions, stand_in_vectors, table
 from corvane.plans.sql import ABBREVIATIONS, ADDED, FAULTS, PHRASES
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -24,7 +24,7 @@ def query(f: Query) -> Query:
 
 
 def _index(s: SparkSession, d: str) -> index.Index:
-    return index.build(corpus_chunks(s, d))
+    return corpus_index(s, d)
 
 
 def _shown(ranked: DataFrame) -> DataFrame:
@@ -94,6 +94,24 @@ def bm25_chunks_topk(s, d):
     return scoring.top_chunks(scoring.score(_index(s, d), questions(s, d)), 10).select("qid", "chunk_idx", "doc_id", F.round("score", 6).alias("score"), F.col("rnk").cast("long").alias("rnk"))
 
 
+def _bounded(s: SparkSession, d: str) -> scoring.Bounded:
+    return scoring.bounded_top_chunks(_index(s, d), questions(s, d), 10)
+
+
+@query
+def bm25_bounded_topk(s, d):
+    """The ten best chunks of each question from the bounds of blocks."""
+    return _bounded(s, d).top.select("qid", "chunk_idx", "doc_id", F.round("score", 6).alias("score"), F.col("rnk").cast("long").alias("rnk"))
+
+
+@query
+def bm25_bounded_tally(s, d):
+    """How many postings match the questions, and whether the bounded search has scored fewer."""
+    stage = F.col("stage") == "matched"
+    n, scored = F.sum(F.when(stage, F.col("scored"))), F.sum(F.when(~stage, F.col("scored")))
+    return _bounded(s, d).tally.agg(n.alias("n_matched"), (scored < n).alias("fewer"))
+
+
 @query
 def bm25_docs_max(s, d):
     return _shown(scoring.search_docs(_index(s, d), questions(s, d), agg="max"))
@@ -280,7 +298,7 @@ def grid_matrix(s, d):
 @query
 def best_aggregator(s, d):
     idx, asked = _index(s, d), questions(s, d)
-    pool = scoring.top_chunks(scoring.score(idx, asked), scoring.POOL).persist()
+    pool = scoring.top_chunks(scoring.score(idx, asked), scoring.POOL)
     listed = [scoring.rank_docs(pool, a, 20, scoring.chunks_per_doc(idx)).withColumn("agg", F.lit(a)) for a in ("max", "top3", "top3_log")]
     ranked = listed[0].unionByName(listed[1]).unionByName(listed[2])
     return _rounded(evaluation.best(evaluation.means(evaluation.per_question(ranked, gold(s, d), by=["agg"]), ["agg"]), ["agg"]), "agg")
@@ -314,7 +332,7 @@ def fusion_deltas(s, d):
 @query
 def rerank_compare(s, d):
     """Fused documents against those of a reranker, whose stand-in scores are lengths."""
-    pool = _pool(s, d).persist()
+    pool = _pool(s, d)
     plain = fusion.hybrid_docs(pool, k=20).withColumn("system", F.lit("hybrid"))
     ranked = plain.unionByName(fusion.rerank_docs(_reranked(s, d, pool), k=20).withColumn("system", F.lit("reranked")))
     metrics = evaluation.means(evaluation.per_question(ranked, gold(s, d), by=["system"]), ["system"])
@@ -356,8 +374,8 @@ def answer_length_hist(s, d):
 
 @query
 def prediction_summary(s, d):
-    few = _few(s, d).persist()
-    return prediction.summary(_padded(s, d, few).persist(), few)
+    few = _few(s, d)
+    return prediction.summary(_padded(s, d, few), few)
 
 
 def _lines(s: SparkSession, d: str) -> DataFrame:
@@ -382,13 +400,13 @@ def structure_classify(s, d):
 @query
 def search_results(s, d):
     chunks = corpus_chunks(s, d)
-    return rendering.search_results(scoring.search_docs(index.build(chunks), questions(s, d)), chunks)
+    return rendering.search_results(scoring.search_docs(_index(s, d), questions(s, d)), chunks)
 
 
 @query
 def search_chunks(s, d):
     chunks = corpus_chunks(s, d)
-    return rendering.search_chunks(scoring.top_chunks(scoring.score(index.build(chunks), questions(s, d)), 5), chunks)
+    return rendering.search_chunks(scoring.top_chunks(scoring.score(_index(s, d), questions(s, d)), 5), chunks)
 
 
 @query

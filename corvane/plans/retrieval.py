@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.operators import chunking, evaluation, fusion, index, prediction, scoring
+from corvane.operators import chunking, evaluation, expansion, fusion, index, prediction, scoring
+from corvane.operators.fusion import BETA, M_CHUNKS, N_DOCS
+from corvane.sources.products import Products, content_digest, files_digest, shared_root
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,9 +28,27 @@ def passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spread(table(spark, sf_dir, "documents")).select("doc_id", F.col("source").alias("name"), F.lit(None).cast("string").alias("link"), F.col("text").alias("passage"))
 
 
+def products(spark: SparkSession) -> Products:
+    """What queries over the tables share, in the folder that driver and executors share."""
+    return Products(spark, f"{shared_root(spark)}/corvane-products")
+
+
+def _chunks_at(spark: SparkSession, sf_dir: str) -> str:
+    """The folder of the corpus's chunks, made once for the files as they are."""
+    source = f"{sf_dir}/documents.parquet"
+    return products(spark).get("chunks", {"documents": files_digest(spark, source), "options": chunking.OPTIONS}, lambda at: chunking.with_index(chunking.chunk(passages(spark, sf_dir))).write.mode("overwrite").parquet(f"{at}/chunks"))
+
+
 def corpus_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Chunks of the documents, kept in memory or on executors' disks: an index reads them several times."""
-    return chunking.with_index(chunking.chunk(passages(spark, sf_dir))).persist()
+    """Chunks of the documents, written once and read by every query."""
+    return spark.read.parquet(f"{_chunks_at(spark, sf_dir)}/chunks")
+
+
+def corpus_index(spark: SparkSession, sf_dir: str) -> index.Index:
+    """The index of the corpus's chunks, written once and read by every query."""
+    chunks = _chunks_at(spark, sf_dir)
+    at = products(spark).get("index", {"chunks": chunks, "options": index.OPTIONS}, lambda at: index.write(index.build(spark.read.parquet(f"{chunks}/chunks")), at))
+    return index.read(spark, at)
 
 
 def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,7 +82,9 @@ def stand_in_vectors(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataF
 
 @dataclass
 class Options:
-    """Parameters of a run; the defaults are those of the whole pipeline."""
+    """Parameters of a run; the defaults are those of the whole pipeline. ``combine``: how the scores of a question and of its
+    expanded form meet (``off``, ``expanded``, ``max``, ``interpolate``); ``beta``: the reranker's share; ``n_docs`` and
+    ``m_chunks``: what it sees."""
 
     k1: float = 2.5
     b: float = 0.9
@@ -70,6 +93,11 @@ class Options:
     pool: int = 1000
     agg: str = "top3"
     topk: int = 5
+    combine: str = "max"
+    weight: float = expansion.WEIGHT
+    beta: float = BETA
+    n_docs: int = N_DOCS
+    m_chunks: int = M_CHUNKS
 
 
 def dense_pool(idx: index.Index, asked: DataFrame, vectors: DataFrame, question_vectors: DataFrame, o: Options) -> DataFrame:
@@ -78,26 +106,56 @@ def dense_pool(idx: index.Index, asked: DataFrame, vectors: DataFrame, question_
     return fusion.with_dense(pool, vectors, question_vectors)
 
 
-def run(docs: DataFrame, asked: DataFrame, path: str, vectors: tuple[DataFrame, DataFrame] | None = None, known: DataFrame | None = None, options: Options | None = None) -> DataFrame:
-    """Chunks, indexes and answers: (qid, answer). Products below ``path`` are used again if they are whole.
+def lexical_scores(idx: index.Index, asked: DataFrame, o: Options, expansions: DataFrame | None = None) -> DataFrame:
+    """(qid, chunk_idx, doc_id, score) of the questions, combined with those of their expanded forms where ``expansions`` (qid,
+    normalized_query, expansion_terms) has any: both are scored in one pass over the postings."""
+    if expansions is None or o.combine == "off":
+        return scoring.score(idx, asked, k1=o.k1, b=o.b)
+    longer = expansion.expanded_queries(asked, expansions)
+    both = asked.select(F.struct("qid", F.lit(0).alias("v")).alias("qid"), "question").unionByName(longer.select(F.struct("qid", F.lit(1).alias("v")).alias("qid"), "question"))
+    scores = scoring.score(idx, both, k1=o.k1, b=o.b).select("qid.qid", "qid.v", "chunk_idx", "doc_id", "score")
+    return expansion.combine(scores.where("v = 0").drop("v"), scores.where("v = 1").drop("v"), o.combine, o.weight)
 
-    ``known``: gold (doc_id, pos) of other questions, whose popular documents fill short answers.
-    """
-    o, spark = options or Options(), docs.sparkSession
 
-    def product(name: str, make) -> None:
-        hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/{name}/_SUCCESS")
-        if not hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop):
-            make(f"{path}/{name}")
-
-    product("chunks", lambda at: chunking.with_index(chunking.chunk(docs)).write.mode("overwrite").parquet(at))
-    chunks = spark.read.parquet(f"{path}/chunks")
-    product("index/corpus_stats", lambda at: index.write(index.build(chunks), f"{path}/index"))
-    idx = index.read(spark, f"{path}/index")
-    if vectors is None:
-        ranked = scoring.search_docs(idx, asked, agg=o.agg, k=o.topk, pool=o.pool, k1=o.k1, b=o.b)
+def ranked_docs(idx: index.Index, asked: DataFrame, o: Options, vectors: tuple[DataFrame, DataFrame] | None = None, expansions: DataFrame | None = None, chunks: DataFrame | None = None, rerank: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """Ranked documents of each question, in one plan: BM25, with expansions combined before the pool is cut, dense scores
+    fused if there are ``vectors``, and the candidates of that ranking put in order by ``rerank``.
+
+    ``rerank`` gets (qid, chunk_idx, doc_id, fused, question, text) of the candidates, with the texts of ``chunks``, and adds
+    ``logit``. Without vectors the fused score is BM25's.
+    """
+    pool = scoring.top_chunks(lexical_scores(idx, asked, o, expansions), o.pool)
+    if vectors is not None:
+        fused = fusion.fuse(fusion.with_dense(pool, *vectors), o.fusion, o.alpha)
+    elif rerank is None:
+        return scoring.rank_docs(pool, o.agg, o.topk, scoring.chunks_per_doc(idx))
     else:
-        ranked = fusion.hybrid_docs(dense_pool(idx, asked, *vectors, o), o.fusion, o.alpha, o.agg, o.topk)
+        fused = fusion.fuse(pool, "bm25")
+    if rerank is None:
+        return scoring.rank_docs(fusion.ranked_by(fused, "fused"), "max" if o.agg == "max" else "top3", o.topk)
+    seen = fusion.rerank_candidates(fused, o.n_docs, o.m_chunks).select("qid", "chunk_idx", "doc_id", "fused")
+    pairs = seen.join(asked.select("qid", "question"), "qid").join(chunks.select("chunk_idx", "text"), "chunk_idx")
+    return fusion.rerank_docs(rerank(pairs).select("qid", "chunk_idx", "doc_id", "fused", "logit"), o.beta, o.agg, o.topk)
+
+
+def run(
+    docs: DataFrame, asked: DataFrame, path: str, vectors: tuple[DataFrame, DataFrame] | None = None, known: DataFrame | None = None, options: Options | None = None,
+    expansions: DataFrame | None = None, rerank: Callable[[DataFrame], DataFrame] | None = None, force: bool = False,
+) -> DataFrame:
+    """Chunks, indexes and answers: (qid, answer). See ``ranked_docs`` for ``vectors``, ``expansions`` and ``rerank``.
+
+    Chunks and index below ``path`` are used again if they were made from the same rows with the same options; each has a
+    manifest that says so. ``force`` makes them anew. ``known``: gold (doc_id, pos) of other questions, whose popular
+    documents fill short answers.
+    """
+    o, spark = options or Options(), docs.sparkSession
+    made = Products(spark, path, force)
+    at = made.get("chunks", {"documents": content_digest(docs), "options": chunking.OPTIONS}, lambda p: chunking.with_index(chunking.chunk(docs)).write.mode("overwrite").parquet(f"{p}/chunks"))
+    chunks = spark.read.parquet(f"{at}/chunks")
+    # Made from chunks that were made anew, the index is made anew as well.
+    stamp = {"chunks": at, "options": index.OPTIONS}
+    idx = index.read(spark, made.get("index", stamp, lambda p: index.write(index.build(chunks), p)))
+    ranked = ranked_docs(idx, asked, o, vectors, expansions, chunks, rerank)
     if known is None:
         return prediction.answers(ranked.withColumnRenamed("rnk", "place"))
     return prediction.answers(prediction.padded(asked, ranked, prediction.popular(known), o.topk))

@@ -199,6 +199,8 @@ ORACLES = {
     "chunk_windows": f"WITH {CHUNKS} SELECT doc_id, chunk_id, i AS ordinal, 3 AS tier, path, n_words, text FROM chunks",
     "chunk_tier_counts": f"WITH {CHUNKS} SELECT 3 AS tier, count(*) AS n_chunks, sum(n_words)::BIGINT AS n_words FROM chunks",
     "bm25_chunks_topk": f"{BM25}, {pool(10)} SELECT qid, chunk_idx, doc_id, round(score, 6) AS score, rnk FROM pool",
+    "bm25_bounded_topk": f"{BM25}, {pool(10)} SELECT qid, chunk_idx, doc_id, round(score, 6) AS score, rnk FROM pool",
+    "bm25_bounded_tally": f"{BM25} SELECT count(*) AS n_matched, true AS fewer FROM scores_qt JOIN vocab USING (term) JOIN tf USING (term)",
     **{f"bm25_docs_{a}": f"{BM25}, {pool(3000)}, {docs(a, 5)} {RANKED}" for a in ("max", "top3", "top3_log")},
     "bm25_hit_terms": f"WITH {INDEX}, {questions()}, each AS (SELECT qid, unnest({tokens('question')}) AS term, generate_subscripts({tokens('question')}, 1) AS pos FROM asked) SELECT qid, array_to_string(list(term ORDER BY pos), ' ') AS terms FROM each SEMI JOIN vocab USING (term) GROUP BY qid",
     "matryoshka_dot": "WITH cut AS (SELECT vec_id, list_transform(embedding[1:16], lambda x: x::DOUBLE) AS v FROM embeddings) SELECT a.vec_id, round(list_dot_product(a.v, b.v) / sqrt(list_dot_product(a.v, a.v)) / sqrt(list_dot_product(b.v, b.v)), 6) AS dot FROM cut a JOIN cut b ON b.vec_id = a.vec_id + 1",

@@ -1,12 +1,14 @@
 """Structural chunking: articles, clauses, fixed windows.
 
 A text is cut by putting a mark before every heading and splitting at the marks, which keeps the left-to-right matching of
-the pattern. Pieces are rows; small ones merge by running sums over the rows of a document, which are shuffled once.
+the pattern. Pieces are arrays in the document's row: merging, cutting and numbering are expressions, without a shuffle.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corvane.functions import text as T
@@ -35,17 +37,25 @@ def marked_pieces(text: Column, pattern: str) -> Column:
     return F.transform(pieces, lambda p: F.replace(p, F.lit(_MARK + "a"), F.lit(_MARK)))
 
 
+def let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """``f`` of ``value``, which is computed once however often ``f`` reads it."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
 def windows(text: Column, window: int = WINDOW_WORDS, overlap: float = OVERLAP) -> Column:
     """Windows of words: the text itself if it has no more than ``window``, else every ``window * (1 - overlap)`` words one
     of single-spaced words, until one reaches the end; a last one below MIN_WORDS is left out."""
     stride = max(1, int(window * (1 - overlap)))
-    listed = T.words(text)
-    n = F.size(listed)
-    # The last start is the first one whose window reaches the end.
-    last = F.greatest(F.ceil((n - window) / F.lit(stride)), F.lit(0)).cast("int") * stride
-    starts = F.filter(F.sequence(F.lit(0), last, F.lit(stride)), lambda i: (i == 0) | (n - i >= MIN_WORDS))
-    many = F.transform(starts, lambda i: F.array_join(F.slice(listed, i + 1, F.lit(window)), " "))
-    return F.when(n <= window, F.array(text)).otherwise(many)
+
+    def cut(listed: Column) -> Column:
+        n = F.size(listed)
+        # The last start is the first one whose window reaches the end.
+        last = F.greatest(F.ceil((n - window) / F.lit(stride)), F.lit(0)).cast("int") * stride
+        starts = F.filter(F.sequence(F.lit(0), last, F.lit(stride)), lambda i: (i == 0) | (n - i >= MIN_WORDS))
+        many = F.transform(starts, lambda i: F.array_join(F.slice(listed, i + 1, F.lit(window)), " "))
+        return F.when(n <= window, F.array(text)).otherwise(many)
+
+    return let(T.words(text), cut)
 
 
 def merged_label(first: Column, last: Column) -> Column:
@@ -56,78 +66,95 @@ def merged_label(first: Column, last: Column) -> Column:
     return F.when(first == last, first).when(alike, F.concat(stem(first), number(first), F.lit("-"), number(last))).otherwise(F.concat(first, F.lit(" + "), last))
 
 
-def merge_small(pieces: DataFrame, keys: list[str], least: int = MIN_WORDS) -> DataFrame:
-    """Pieces (keys, idx, label, body) with small ones appended to the one before; a small first group joins the next.
+def merge_small(pieces: Column, least: int = MIN_WORDS) -> Column:
+    """An array of (label, body) with small pieces appended to the one before; a small first group joins the next."""
 
-    Returns keys, idx (of a group's first piece), label and body.
-    """
-    order = Window.partitionBy(*keys).orderBy("idx")
-    sized = pieces.withColumn("n_", T.n_words("body"))
-    grouped = sized.withColumn("g_", F.sum(F.when((F.row_number().over(order) == 1) | (F.col("n_") >= least), 1).otherwise(0)).over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    whole = Window.partitionBy(*keys)
-    first_words = F.sum(F.when(F.col("g_") == 1, F.col("n_"))).over(whole)
-    moved = grouped.withColumn("last_", F.max("g_").over(whole)).withColumn("first_", first_words).withColumn("g_", F.when((F.col("g_") == 1) & (F.col("last_") > 1) & (F.col("first_") < least), 2).otherwise(F.col("g_")))
-    joined = moved.groupBy(*keys, "g_").agg(F.min("idx").alias("idx"), F.min_by("label", "idx").alias("a_"), F.max_by("label", "idx").alias("b_"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("idx", "body"))), lambda x: x["body"]), "\n").alias("body"))
-    return joined.select(*keys, "idx", merged_label(F.col("a_"), F.col("b_")).alias("label"), "body")
-
-
-def clauses(articles: DataFrame, keys: list[str]) -> DataFrame:
-    """Pieces (keys, idx, label, body) of each body of ``articles`` that has two clause headings or more; what stands before
-    the first clause is glued to it."""
-    cut = articles.withColumn("parts_", marked_pieces(F.col("body"), CLAUSE)).where(F.size("parts_") >= 3)
-    rows = cut.select(*keys, F.element_at("parts_", 1).alias("head_"), F.posexplode(F.slice(F.col("parts_"), 2, F.size("parts_"))).alias("idx", "raw_"))
-    body = T.strip("raw_")
-    glued = F.when((F.col("idx") == 0) & (T.strip("head_") != ""), F.concat(T.strip("head_"), F.lit("\n"), body)).otherwise(body)
-    return rows.select(*keys, "idx", F.concat(F.lit(CLAUSE_LABEL), F.regexp_extract("raw_", CLAUSE, 1)).alias("label"), glued.alias("body"))
+    def sized(p: Column) -> Column:
+        return F.struct(p["label"].alias("label"), p["body"].alias("body"), T.n_words(p["body"]).alias("n"))
+
+    def grouped(p: Column) -> Column:
+        starts = F.filter(F.sequence(F.lit(0), F.size(p) - 1), lambda i: (i == 0) | (F.get(p, i)["n"] >= least))
+
+        def joined(s: Column) -> Column:
+            words = F.aggregate(F.slice(p, F.lit(1), F.get(s, F.lit(1))), F.lit(0), lambda n, x: n + x["n"])
+            return F.when((F.size(s) > 1) & (words < least), F.concat(F.slice(s, 1, 1), F.slice(s, F.lit(3), F.size(s)))).otherwise(s)
+
+        def whole(s: Column) -> Column:
+            one = lambda g: F.struct(merged_label(F.get(g, F.lit(0))["label"], F.element_at(g, -1)["label"]).alias("label"), F.array_join(F.transform(g, lambda x: x["body"]), "\n").alias("body"))
+            return F.transform(s, lambda at, k: let(F.slice(p, at + 1, F.coalesce(F.get(s, k + 1), F.size(p)) - at), one))
+
+        return let(let(starts, joined), whole)
+
+    return F.when(F.size(pieces) > 0, let(F.transform(pieces, sized), grouped)).otherwise(F.array().cast("array<struct<label: string, body: string>>"))
+
+
+def clauses(parts: Column) -> Column:
+    """An array of (label, body) of an article's parts, cut at clauses; what stands before the first clause is glued to it."""
+    head = T.strip(F.get(parts, F.lit(0)))
+
+    def clause(raw: Column, i: Column) -> Column:
+        body = T.strip(raw)
+        return F.struct(F.concat(F.lit(CLAUSE_LABEL), F.regexp_extract(raw, CLAUSE, 1)).alias("label"), F.when((i == 0) & (head != ""), F.concat(head, F.lit("\n"), body)).otherwise(body).alias("body"))
+
+    return F.transform(F.slice(parts, F.lit(2), F.size(parts)), clause)
+
+
+def _piece(tier: int, path: Column, body: Column) -> Column:
+    return F.struct(F.lit(tier).alias("tier"), path.alias("path"), body.alias("body"))
+
+
+def _numbered(texts: Column, tier: int, label: Column, body: Callable[[Column], Column]) -> Column:
+    return F.transform(texts, lambda w, i: _piece(tier, F.concat(label, (i + 1).cast("string")), body(w)))
+
+
+def _of_article(a: Column) -> Column:
+    """The pieces of an article: itself, or its clauses or windows below its heading if it is long."""
+
+    def cut(heading: Column) -> Column:
+        headed = lambda x: F.when(F.startswith(x, heading), x).otherwise(F.concat(heading, F.lit("\n"), x))
+        sub = lambda label: F.concat(label, F.lit(" > " + SUBPART_LABEL))
+
+        def part(c: Column) -> Column:
+            label = F.concat(a["label"], F.lit(" > "), c["label"])
+            return F.when(T.n_words(c["body"]) <= TARGET_WORDS, F.array(_piece(2, label, headed(c["body"])))).otherwise(_numbered(windows(c["body"]), 2, sub(label), headed))
+
+        parted = lambda parts: F.when(F.size(parts) >= 3, F.flatten(F.transform(merge_small(clauses(parts)), part))).otherwise(_numbered(windows(a["body"]), 2, sub(a["label"]), headed))
+        return let(marked_pieces(a["body"], CLAUSE), parted)
+
+    heading = T.strip(F.substring_index(a["body"], "\n", 1))
+    return F.when(T.n_words(a["body"]) <= TARGET_WORDS, F.array(_piece(1, a["label"], a["body"]))).otherwise(let(heading, cut))
 
 
 def chunk(docs: DataFrame) -> DataFrame:
     """Chunks of ``docs`` (doc_id, name, link, passage): doc_id, chunk_id, ordinal, tier, path, n_words, text.
 
     Tier 0 is a title without a text, tier 1 an article, tier 2 a part of a long article, tier 3 a window of a text without
-    articles. A null or blank passage counts as empty; with no title either it gives no chunk.
+    articles. A null or blank passage counts as empty; with no title either it gives no chunk. One pass over the documents.
     """
     base = docs.select("doc_id", T.title("name", "link").alias("title"), T.clean("passage").alias("body"))
-    bare = base.where((F.col("body") == "") & (F.col("title") != "")).select("doc_id", F.lit("").alias("title"), F.array(F.lit(0)).alias("at"), F.lit(0).alias("tier"), F.lit(TITLE_ONLY).alias("path"), F.col("title").alias("body"))
-    cut = base.where(F.col("body") != "").withColumn("parts", marked_pieces(F.col("body"), ARTICLE))
-
-    plain = cut.where(F.size("parts") == 1).select("doc_id", "title", F.posexplode(windows(F.col("body"))).alias("i", "body"))
-    plain = plain.select("doc_id", "title", F.array("i").alias("at"), F.lit(3).alias("tier"), F.concat(F.lit(PART_LABEL), (F.col("i") + 1).cast("string")).alias("path"), "body")
-
-    rows = cut.where(F.size("parts") > 1).select("doc_id", "title", F.posexplode("parts").alias("idx", "raw"))
-    kept = rows.where((F.col("idx") > 0) | (T.n_words("raw") >= HEAD_WORDS))
-    named = kept.select("doc_id", "title", "idx", F.when(F.col("idx") == 0, F.lit(PREAMBLE)).otherwise(F.regexp_extract("raw", ARTICLE, 1)).alias("label"), T.strip("raw").alias("body"))
-    articles = merge_small(named, ["doc_id", "title"])
-    short = articles.where(T.n_words("body") <= TARGET_WORDS).select("doc_id", "title", F.array("idx").alias("at"), F.lit(1).alias("tier"), F.col("label").alias("path"), "body")
-
-    long = articles.where(T.n_words("body") > TARGET_WORDS).select("doc_id", "title", F.col("idx").alias("art"), F.col("label").alias("art_label"), "body", T.strip(F.substring_index("body", "\n", 1)).alias("heading"))
-    keys = ["doc_id", "title", "art", "art_label", "heading"]
-    parts = merge_small(clauses(long, keys), keys)
-    headed = lambda piece: F.when(F.startswith(piece, F.col("heading")), piece).otherwise(F.concat(F.col("heading"), F.lit("\n"), piece))
-    small = T.n_words("body") <= TARGET_WORDS
-    label = F.concat("art_label", F.lit(" > "), F.col("label"))
-    fitting = parts.where(small).select("doc_id", "title", F.array("art", "idx").alias("at"), F.lit(2).alias("tier"), label.alias("path"), headed(F.col("body")).alias("body"))
-    sub = lambda stem: F.concat(stem, F.lit(" > " + SUBPART_LABEL), (F.col("i") + 1).cast("string"))
-    wide = parts.where(~small).select(*keys, "idx", "label", F.posexplode(windows(F.col("body"))).alias("i", "piece"))
-    wide = wide.select("doc_id", "title", F.array("art", "idx", "i").alias("at"), F.lit(2).alias("tier"), sub(label).alias("path"), headed(F.col("piece")).alias("body"))
-    unclaused = long.where(F.size(marked_pieces(F.col("body"), CLAUSE)) < 3).select(*keys, F.posexplode(windows(F.col("body"))).alias("i", "piece"))
-    unclaused = unclaused.select("doc_id", "title", F.array("art", "i").alias("at"), F.lit(2).alias("tier"), sub(F.col("art_label")).alias("path"), headed(F.col("piece")).alias("body"))
-
-    structural = short.unionByName(fitting).unionByName(wide).unionByName(unclaused)
-    numbered = structural.withColumn("ordinal", F.row_number().over(Window.partitionBy("doc_id").orderBy("at")) - 1)
-    flat = plain.unionByName(bare).withColumn("ordinal", F.element_at("at", 1))
-    every = numbered.unionByName(flat)
-    header = F.concat_ws(" > ", F.when(F.col("title") != "", F.col("title")), F.when((F.col("path") != "") & (F.col("tier") > 0), F.col("path")))
-    suffix = F.when(F.col("tier") == 0, F.lit("t0")).otherwise(F.col("ordinal").cast("string"))
-    return every.select(
-        "doc_id", F.concat(F.col("doc_id").cast("string"), F.lit("#"), suffix).alias("chunk_id"), F.col("ordinal").cast("int").alias("ordinal"), "tier", "path",
-        T.n_words("body").cast("int").alias("n_words"), F.when(header != "", F.concat(header, F.lit("\n"), F.col("body"))).otherwise(F.col("body")).alias("text"),
+    cut = base.withColumn("parts", marked_pieces(F.col("body"), ARTICLE))
+    named = F.transform("parts", lambda raw, i: F.struct(F.when(i == 0, F.lit(PREAMBLE)).otherwise(F.regexp_extract(raw, ARTICLE, 1)).alias("label"), T.strip(raw).alias("body"), ((i > 0) | (T.n_words(raw) >= HEAD_WORDS)).alias("kept")))
+    articles = merge_small(F.filter(named, lambda p: p["kept"]))
+    bare = F.when(F.col("title") != "", F.array(_piece(0, F.lit(TITLE_ONLY), F.col("title"))))
+    flat = _numbered(windows(F.col("body")), 3, F.lit(PART_LABEL), lambda w: w)
+    pieces = F.when(F.col("body") == "", bare).when(F.size("parts") == 1, flat).otherwise(F.flatten(F.transform(articles, _of_article)))
+    # The outer form: for the other one Spark infers a filter that would compute the pieces twice.
+    each = cut.select("doc_id", "title", pieces.alias("pieces")).select("doc_id", "title", F.posexplode_outer("pieces").alias("ordinal", "p")).where("p is not null")
+    tier, path, body = F.col("p.tier"), F.col("p.path"), F.col("p.body")
+    header = F.concat_ws(" > ", F.when((F.col("title") != "") & (tier > 0), F.col("title")), F.when((path != "") & (tier > 0), path))
+    suffix = F.when(tier == 0, F.lit("t0")).otherwise(F.col("ordinal").cast("string"))
+    return each.select(
+        "doc_id", F.concat(F.col("doc_id").cast("string"), F.lit("#"), suffix).alias("chunk_id"), F.col("ordinal").cast("int").alias("ordinal"), tier.alias("tier"), path.alias("path"),
+        T.n_words(body).cast("int").alias("n_words"), F.when(header != "", F.concat(header, F.lit("\n"), body)).otherwise(body).alias("text"),
     )
 
 
 def with_index(chunks: DataFrame) -> DataFrame:
-    """``chunks`` with chunk_idx: ascending in doc_id and ordinal, without gaps inside a document."""
-    return chunks.withColumn("chunk_idx", F.col("doc_id").cast("long") * CHUNKS_PER_DOC + F.col("ordinal"))
+    """``chunks`` with chunk_idx: ascending in doc_id and ordinal, without gaps inside a document. A document of more than
+    2^20 chunks is an error: its numbers would be another one's."""
+    number = F.col("doc_id").cast("long") * CHUNKS_PER_DOC + F.col("ordinal")
+    wrong = F.raise_error(F.concat(F.lit(f"more than {CHUNKS_PER_DOC} chunks in document "), F.col("doc_id").cast("string"))).cast("long")
+    return chunks.withColumn("chunk_idx", F.when(F.col("ordinal") < CHUNKS_PER_DOC, number).otherwise(wrong))
 
 
 def tier_counts(chunks: DataFrame) -> DataFrame:

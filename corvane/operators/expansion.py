@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corvane.functions import json as J
 from corvane.functions import text as T
+from corvane.sources.corpus import append_expansions, cached_expansions
 
 MOST_TERMS, REPEATED, WEIGHT = 12, 4, 0.3
 
@@ -93,5 +97,57 @@ def missing(questions: DataFrame, cache: DataFrame) -> DataFrame:
     return questions.join(cache.select("qid"), "qid", "left_anti")
 
 
-def first_by(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    return rows.withColumn("n_", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("n_ = 1").drop("n_")
+def generated(questions: DataFrame, generate: Callable[[list[str]], list[str]], name: str, **rules) -> DataFrame:
+    """``questions`` (qid, question) with normalized_query, expansion_terms and ``source``, from a model's texts.
+
+    ``generate`` gives a text for each of a list of questions; the JSON object in it is recovered and its terms filtered. Where
+    it raises, its questions are asked one by one; a question that raises alone, or whose text holds no object, gets the terms
+    of the rules, and its source says which error that was.
+    """
+
+    def run(frames):
+        for frame in frames:
+            asked = frame["question"].fillna("").tolist()
+            try:
+                answers = [(x, None) for x in generate(asked)]
+                if len(answers) != len(asked):
+                    raise ValueError(f"{len(answers)} texts for {len(asked)} questions")
+            except Exception:  # noqa: BLE001 - whatever a model raises, the others of its batch are asked alone
+                answers = []
+                for q in asked:
+                    try:
+                        (one,) = generate([q])
+                        answers.append((one, None))
+                    except Exception as e:  # noqa: BLE001
+                        answers.append((None, type(e).__name__))
+            frame["answer_"], frame["error_"] = [a for a, _ in answers], [e for _, e in answers]
+            yield frame
+
+    schema = f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in questions.schema)}, answer_ string, error_ string"
+    found = questions.mapInPandas(run, schema).withColumn("made_", J.recovered(F.col("answer_"), "normalized_query string, expansion_terms array<string>"))
+    failed = F.when(F.col("error_").isNotNull(), F.col("error_")).when(F.col("made_").isNull(), F.lit("ValueError"))
+    proposed = found.select(*questions.columns, F.col("made_.normalized_query").alias("normalized_query"), F.col("made_.expansion_terms").alias("expansion_terms"), failed.alias("failed_"))
+    filtered = filter_expansions(proposed, **rules)
+    plain = rule_terms(F.col("question"), **rules)
+    by_rules = T.strip(F.concat_ws(" ", "question", F.array_join(F.slice(plain, 1, REPEATED), " ")))
+    broken = F.col("failed_").isNotNull()
+    source = F.when(broken, F.concat(F.lit("fallback_rules_after_error: "), F.col("failed_"))).otherwise(F.lit(name))
+    return filtered.withColumn("expansion_terms", F.when(broken, plain).otherwise(F.col("expansion_terms"))).withColumn("normalized_query", F.when(broken, by_rules).otherwise(F.col("normalized_query"))).withColumn("source", source).drop("failed_")
+
+
+def build_cache(questions: DataFrame, path: str, expand: Callable[[DataFrame], DataFrame], batch_rows: int = 1000) -> DataFrame:
+    """The cache at ``path``, made whole for ``questions`` (qid, question) by ``expand`` (``expand_rules`` or ``generated``).
+
+    Questions that the cache has are not expanded again. The others are dealt into batches by a hash of their qid, a folder
+    each: a run that is interrupted keeps what its whole batches hold, and one that is repeated gives the same rows.
+    """
+    spark = questions.sparkSession
+    asked = questions.select(F.col("qid").cast("string").alias("qid"), "question").where("qid is not null").dropDuplicates(["qid"])
+    held = cached_expansions(spark, path)
+    left, last = missing(asked, held), held.agg(F.max("batch")).first()[0]
+    n = -(-left.count() // batch_rows)
+    first = 0 if last is None else last + 1
+    numbered = left.withColumn("part", F.pmod(F.xxhash64("qid"), F.lit(max(1, n))))
+    for part in range(n):
+        append_expansions(expand(numbered.where(F.col("part") == part).drop("part")), path, first + part)
+    return cached_expansions(spark, path)

@@ -23,7 +23,11 @@ PART_DOCS = 4096
 #: What a written index depends on besides its chunks.
 OPTIONS = {"version": 2, "min_df": MIN_DF, "max_df_ratio": MAX_DF_RATIO, "block_lengths": BLOCK_LENGTHS}
 
-_TABLES = ("postings", "vocab", "blocks", "chunk_stats", "corpus_stats")
+#: Tables of a written index; an empty one has no file to take its columns from.
+_TABLES = {
+    "postings": "term string, chunk_idx long, doc_id long, doclen int, tf int, bucket int", "vocab": "term string, df long, idf double", "blocks": "term string, block int, most_tf int, least_len int, n long",
+    "chunk_stats": "chunk_idx long, doc_id long, doclen int", "corpus_stats": "n_chunks long, avgdl double, nnz long, vocab_size long",
+}
 
 
 @dataclass
@@ -140,9 +144,9 @@ def write(index: Index, path: str, buckets: int | None = None, part_rows: int =
         nnz = spark.read.parquet(f"{path}/corpus_stats").first()["nnz"]
         buckets = max(8, -(-nnz // BUCKET_ROWS))
     dealt(stored, buckets, part_rows).write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
-    block_bounds(spark.read.parquet(f"{path}/postings")).write.mode("overwrite").parquet(f"{path}/blocks")
+    block_bounds(spark.read.schema(_TABLES["postings"]).parquet(f"{path}/postings")).write.mode("overwrite").parquet(f"{path}/blocks")
     spark.range(1).select(F.lit(buckets).alias("buckets")).write.mode("overwrite").parquet(f"{path}/layout")
 
 
 def read(spark, path: str) -> Index:
-    return Index(*[spark.read.parquet(f"{path}/{name}") for name in _TABLES], buckets=spark.read.parquet(f"{path}/layout").first()["buckets"])
+    return Index(*[spark.read.schema(ddl).parquet(f"{path}/{name}") for name, ddl in _TABLES.items()], buckets=spark.read.parquet(f"{path}/layout").first()["buckets"])

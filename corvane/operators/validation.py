@@ -43,13 +43,18 @@ def _position(texts: pd.Series) -> pd.Series:
     """Where a text stops being JSON."""
 
     def where(text: str) -> str:
+        def no_value(name: str) -> None:
+            raise ValueError(f"{name} is no value")
+
         try:
-            json.loads(text)
+            json.loads(text, parse_constant=no_value)
         except json.JSONDecodeError as e:
             return f"line {e.lineno}, column {e.colno}"
         except RecursionError:
-            pass
-        return ""
+            return "nested too deep"
+        except ValueError as e:
+            return str(e)
+        return "no JSON value"
 
     return texts.map(where, na_action="ignore")
 
@@ -69,12 +74,28 @@ def report(files: DataFrame, reference: DataFrame | None = None, corpus: DataFra
     return _summarised(of_files.unionByName(_broken(files.where("json is not null").select("sub_id", "json"), reference, corpus)))
 
 
+def _lists(submissions: DataFrame) -> DataFrame:
+    """(sub_id, qid, ids) of each question of the submissions that are objects; ids are null where there is no list."""
+    return entries(parse(submissions)).select("sub_id", "qid", F.expr("try_variant_get(value, '$.answer', 'array<variant>')").alias("ids"))
+
+
 def statistics(submissions: DataFrame) -> DataFrame:
-    """(sub_id, n_questions, n_answers, n_ids, n_documents) of each submission that is an object: questions, those with a list
-    of ids, ids in all lists, and different ones."""
-    rows = entries(parse(submissions)).select("sub_id", "qid", F.expr("try_variant_get(value, '$.answer', 'array<variant>')").alias("ids"))
-    each = rows.select("sub_id", "qid", F.col("ids").isNotNull().alias("listed"), F.explode_outer("ids").alias("id")).withColumn("doc_id", F.expr("try_variant_get(id, '$', 'string')"))
-    return each.groupBy("sub_id").agg(F.count_distinct("qid").alias("n_questions"), F.count_distinct(F.when(F.col("listed"), F.col("qid"))).alias("n_answers"), F.count("doc_id").alias("n_ids"), F.count_distinct("doc_id").alias("n_documents"))
+    """(sub_id, n_questions, n_answers, n_entries, n_ids, n_documents, n_empty, n_over_limit) of each submission that is an
+    object: questions, those with a list, entries of all lists, those of them that have a text, different ones, lists without
+    an entry and those with more than five."""
+    rows = _lists(submissions)
+    each = rows.select("sub_id", F.explode("ids").alias("id")).withColumn("doc_id", F.expr("try_variant_get(id, '$', 'string')"))
+    ids = each.groupBy("sub_id").agg(F.count(F.lit(1)).alias("n_entries"), F.count("doc_id").alias("n_ids"), F.count_distinct("doc_id").alias("n_documents"))
+    size = F.when(F.col("ids").isNotNull(), F.size("ids"))
+    lists = rows.groupBy("sub_id").agg(F.count(F.lit(1)).alias("n_questions"), F.count("ids").alias("n_answers"), F.count_if(size == 0).alias("n_empty"), F.count_if(size > MOST_IDS).alias("n_over_limit"))
+    joined = lists.join(ids, "sub_id", "left")
+    none = lambda c: F.coalesce(c, F.lit(0).cast("long")).alias(c)
+    return joined.select("sub_id", "n_questions", "n_answers", none("n_entries"), none("n_ids"), none("n_documents"), "n_empty", "n_over_limit")
+
+
+def length_distribution(submissions: DataFrame) -> DataFrame:
+    """(sub_id, n_ids, n_questions): how many questions have a list of so many ids."""
+    return _lists(submissions).where("ids is not null").groupBy("sub_id", F.size("ids").cast("long").alias("n_ids")).agg(F.count(F.lit(1)).alias("n_questions"))
 
 
 def _broken(submissions: DataFrame, reference: DataFrame | None, corpus: DataFrame | None) -> DataFrame:
@@ -99,7 +120,8 @@ def _broken(submissions: DataFrame, reference: DataFrame | None, corpus: DataFra
     blank = T.strip("doc_id") == ""
     broken.append(rule(ids.where(F.col("t").isNull() | (F.col("t") != "STRING")), "E010"))
     broken.append(rule(strings.where(blank), "E011"))
-    broken.append(rule(strings.groupBy("sub_id", "qid", "doc_id").count().where("count > 1"), "E012"))
+    repeated = strings.groupBy("sub_id", "qid", "doc_id").count().where("count > 1")
+    broken.append(rule(repeated.select("sub_id", "qid").distinct(), "E012"))  # a question counts once
     keys = parsed.where(F.col("v").isNotNull()).select("sub_id", F.explode(F.json_object_keys("json")).alias("qid"))
     broken.append(rule(keys.groupBy("sub_id", "qid").count().where("count > 1"), "E013"))
     if corpus is not None:
@@ -109,7 +131,8 @@ def _broken(submissions: DataFrame, reference: DataFrame | None, corpus: DataFra
         broken.append(submissions.select("sub_id", F.lit("W005").alias("code"), F.lit("").alias("what")))
     else:
         asked = reference.select(F.col("qid").cast("string").alias("qid"))
-        all_asked = submissions.select("sub_id").crossJoin(F.broadcast(asked))  # a row for each question of a submission
+        # A row for each question of a submission that has questions: one that is no object or empty breaks E003 or E004 alone.
+        all_asked = parsed.where(top.startswith("OBJECT") & (top != "OBJECT<>")).select("sub_id").crossJoin(asked)
         broken.append(rule(all_asked.join(rows.select("sub_id", "qid"), ["sub_id", "qid"], "left_anti"), "E005"))
         broken.append(rule(rows.join(asked, "qid", "left_anti"), "E006"))
     return reduce(DataFrame.unionByName, broken)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -12,6 +14,7 @@ from corvane.functions import text as T
 from corvane.functions import vectors as V
 from corvane.operators import chunking, evaluation, expansion, fusion, index, prediction, rendering, scoring, validation
 from corvane.plans.retrieval import Options, corpus_chunks, corpus_index, dense_pool, gold, passages, questions, stand_in_vectors, table
+from corvane.sources.products import shared_root
 from corvane.plans.sql import ABBREVIATIONS, ADDED, FAULTS, PHRASES
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -89,6 +92,24 @@ def chunk_tier_counts(s, d):
     return chunking.tier_counts(chunking.chunk(passages(s, d)))
 
 
+def _statutes(s: SparkSession, d: str) -> DataFrame:
+    """Every document twice: as a text of articles made from its words, and as a title without a text."""
+    found = F.regexp_extract_all(F.lower("text"), F.lit("([a-z]+)"), F.lit(1))
+    some = table(s, d, "documents").select("doc_id", "source", F.when(F.size(found) > 0, found).otherwise(F.array(F.lit("w"))).alias("w"))
+    thousand = some.select("doc_id", "source", F.slice(F.flatten(F.array_repeat("w", F.ceil(F.lit(1000) / F.size("w")).cast("int"))), 1, 1000).alias("w"))
+    run = lambda i, j: F.array_join(F.slice("w", i, j - i + 1), " ")
+    lines = [run(961, 990), "\nĐiều 1. Mở đầu\n", run(1, 40), "\nĐiều 2. Ngắn\n", run(41, 50), "\n Điều 3. Dài\n1. ", run(51, 250), "\n2. ", run(251, 450), "\n3. ", run(451, 460), "\nĐiều 4. Rất dài\n", run(461, 960)]
+    text = F.concat(*[F.lit(x) if isinstance(x, str) else x for x in lines])
+    both = F.inline(F.array(F.struct((F.col("doc_id") * 2).alias("id"), text.alias("passage")), F.struct((F.col("doc_id") * 2 + 1).alias("id"), F.lit(" \n").alias("passage"))))
+    return thousand.select(F.col("source").alias("name"), both).select(F.col("id").alias("doc_id"), "name", F.lit(None).cast("string").alias("link"), "passage")
+
+
+@query
+def chunk_structure(s, d):
+    """Titles, merged articles, merged clauses and windows of long articles: tiers 0, 1 and 2."""
+    return chunking.chunk(_statutes(s, d)).select("doc_id", "chunk_id", F.col("ordinal").cast("long").alias("ordinal"), "tier", "path", F.col("n_words").cast("long").alias("n_words"), F.md5("text").alias("digest"))
+
+
 @query
 def bm25_chunks_topk(s, d):
     return scoring.top_chunks(scoring.score(_index(s, d), questions(s, d)), 10).select("qid", "chunk_idx", "doc_id", F.round("score", 6).alias("score"), F.col("rnk").cast("long").alias("rnk"))
@@ -449,6 +470,35 @@ def submission_statistics(s, d):
     return validation.statistics(_submission(s, d))
 
 
+@query
+def submission_lengths(s, d):
+    return validation.length_distribution(_submission(s, d))
+
+
+@query
+def validate_unreadable(s, d):
+    """Submissions that are no JSON, no object and empty, made from every question."""
+    made = F.inline(F.array(F.struct(F.lit("-text").alias("k"), F.col("text").alias("json")), *[F.struct(F.lit(k).alias("k"), F.lit(v).alias("json")) for k, v in (("-list", "[1]"), ("-empty", "{}"))]))
+    items = table(s, d, "benchmark")
+    found = validation.findings(items.select("item_id", made).select(F.concat(F.col("item_id").cast("string"), "k").alias("sub_id"), "json"), items.select(F.col("item_id").alias("qid")))
+    return found.select("sub_id", "code", "n")
+
+
+def _echo(asked: list[str]) -> list[str]:
+    """A stand-in for a model: chatter around an object with two terms; it fails for a third of all questions."""
+    if any(len(q) % 6 == 0 for q in asked):
+        raise KeyError(asked)
+    return ["no object" if len(q) % 3 == 0 else f"Here: {json.dumps({'normalized_query': q, 'expansion_terms': ['alpha  beta', q.split(' ')[0]]})} done" for q in asked]
+
+
+@query
+def expansion_cache(s, d):
+    """Every user's turn expanded by the stand-in model, in batches of a cache."""
+    expand = lambda part: expansion.generated(part, _echo, "echo", abbreviations=ABBREVIATIONS, phrases=PHRASES)
+    cache = expansion.build_cache(_users(s, d).select("qid", "question"), f"{shared_root(s)}/expansions-{uuid.uuid4().hex}", expand, batch_rows=400)
+    return cache.select("qid", F.array_join("expansion_terms", "|").alias("terms"), "normalized_query", "source")
+
+
 @query
 def json_recovery(s, d):
     """The objects inside chatter: every event's properties between words."""

@@ -135,7 +135,7 @@ _UNIT = r"""CASE WHEN regexp_matches(line, '^\d+\.\s') THEN 'p class="khoan"' WH
 
 # A submission with one fault of each kind: values by item_id % 12 (none for the last), and entries behind them.
 FAULTS = ('{"answer":["1","2"]}', '{"answer":null}', '{"answer":"x"}', "{}", "5", '{"answer":[7]}', '{"answer":[" "]}', '{"answer":["1","1"]}', '{"answer":[]}', '{"answer":["0","1","2","3","4","5"]}', '{"answer":["no such"]}')
-ADDED = (("0", '{"answer":["1"]}'), ("new", '{"answer":["1"]}'))
+ADDED = (("0", '{"answer":["1"]}'), ("new", '{"answer":["1"]}'), ("twice", '{"answer":["1","1","2","2"]}'))
 
 SUBMISSION = f"""faults(r, v) AS (VALUES {", ".join(f"({i}, '{v}')" for i, v in enumerate(FAULTS))}),
 listed AS (SELECT item_id::VARCHAR AS qid, v, 0 AS o FROM benchmark JOIN faults ON r = item_id % 12 UNION ALL VALUES {", ".join(f"('{k}', '{v}', 1)" for k, v in ADDED)}),
@@ -149,7 +149,7 @@ FINDINGS = f"""{SUBMISSION}, titles(code, title) AS (VALUES {", ".join(map(str,
 broken AS (SELECT 'E007' AS code, qid AS what FROM typed WHERE kind <> 'OBJECT' UNION ALL SELECT 'E008', qid FROM typed WHERE kind = 'OBJECT' AND t IS NULL
   UNION ALL SELECT 'E009', qid FROM typed WHERE kind = 'OBJECT' AND t <> 'ARRAY' UNION ALL SELECT 'W001', qid FROM typed WHERE t = 'ARRAY' AND json_array_length(a) = 0
   UNION ALL SELECT 'W002', qid FROM typed WHERE t = 'ARRAY' AND json_array_length(a) > 5 UNION ALL SELECT 'E010', qid FROM ids WHERE t <> 'VARCHAR'
-  UNION ALL SELECT 'E011', qid FROM ids WHERE t = 'VARCHAR' AND trim(doc_id) = '' UNION ALL SELECT 'E012', qid FROM ids WHERE t = 'VARCHAR' GROUP BY qid, doc_id HAVING count(*) > 1
+  UNION ALL SELECT 'E011', qid FROM ids WHERE t = 'VARCHAR' AND trim(doc_id) = '' UNION ALL SELECT DISTINCT 'E012', qid FROM ids WHERE t = 'VARCHAR' GROUP BY qid, doc_id HAVING count(*) > 1
   UNION ALL SELECT 'E013', qid FROM listed GROUP BY qid HAVING count(*) > 1 UNION ALL SELECT 'E014', doc_id FROM ids WHERE t = 'VARCHAR' AND trim(doc_id) <> '' AND doc_id NOT IN (SELECT doc_id::VARCHAR FROM documents)
   UNION ALL SELECT 'E005', item_id::VARCHAR FROM benchmark WHERE item_id::VARCHAR NOT IN (SELECT qid FROM latest) UNION ALL SELECT 'E006', qid FROM latest WHERE qid NOT IN (SELECT item_id::VARCHAR FROM benchmark))"""
 
@@ -186,6 +186,24 @@ html AS (SELECT doc_id, string_agg('<' || {_UNIT} || '>' || {ESCAPED} || '</p>',
 SELECT doc_id, true AS found, length(text) > 400000 AS truncated, md5(coalesce(html, '<p class="empty"></p>')) AS digest FROM shown LEFT JOIN html USING (doc_id)
 UNION ALL SELECT -1 - doc_id, false, NULL, NULL FROM documents"""
 
+def _run(i: int, j: int) -> str:
+    return f"array_to_string(w[{i}:{j}], ' ')"
+
+
+# The statutes of the query, chunk by chunk: a preamble and two short articles, two groups of clauses, three windows.
+_STATUTE = (
+    (1, "Phần mở đầu + Điều 2", f"{_run(961, 990)} || chr(10) || 'Điều 1. Mở đầu' || chr(10) || {_run(1, 40)} || chr(10) || 'Điều 2. Ngắn' || chr(10) || {_run(41, 50)}", 87),
+    (2, "Điều 3 > Khoản 1", f"'Điều 3. Dài' || chr(10) || '1. ' || {_run(51, 250)}", 204), (2, "Điều 3 > Khoản 2-3", f"'Điều 3. Dài' || chr(10) || '2. ' || {_run(251, 450)} || chr(10) || '3. ' || {_run(451, 460)}", 215),
+    (2, "Điều 4 > phần 1", f"'Điều 4. Rất dài ' || {_run(461, 712)}", 256), (2, "Điều 4 > phần 2", f"'Điều 4. Rất dài' || chr(10) || {_run(649, 904)}", 260), (2, "Điều 4 > phần 3", f"'Điều 4. Rất dài' || chr(10) || {_run(841, 960)}", 124),
+)
+_PIECES = ", ".join(f"{{'o': {i}, 'tier': {tier}, 'path': '{path}', 'body': {body}, 'n': {n}}}" for i, (tier, path, body, n) in enumerate(_STATUTE))
+_STRUCTURE = f"""WITH found AS (SELECT doc_id, trim(replace(source, '-', ' ')) AS title, regexp_extract_all(lower(text), '[a-z]+') AS f FROM documents),
+filled AS (SELECT doc_id, title, CASE WHEN len(f) > 0 THEN f ELSE ['w'] END AS f FROM found),
+worded AS (SELECT doc_id, title, list_transform(range(0, 1000), lambda i: f[i % len(f) + 1]) AS w FROM filled),
+cut AS (SELECT doc_id, title, unnest([{_PIECES}]) AS p FROM worded)
+SELECT doc_id * 2 AS doc_id, (doc_id * 2) || '#' || p.o AS chunk_id, p.o::BIGINT AS ordinal, p.tier AS tier, p.path AS path, p.n::BIGINT AS n_words, md5(title || ' > ' || p.path || chr(10) || p.body) AS digest FROM cut
+UNION ALL SELECT doc_id * 2 + 1, (doc_id * 2 + 1) || '#t0', 0, 0, 'title-only', len(list_filter(string_split(title, ' '), lambda x: x <> '')), md5(title) FROM found"""
+
 ORACLES = {
     "tokenize_stats": f"SELECT doc_id, len(t) AS n_tokens, len(list_distinct(t)) AS n_distinct FROM (SELECT doc_id, {tokens('text')} AS t FROM documents)",
     "doc_freq": f"WITH {INDEX} SELECT term, df FROM dfs",
@@ -197,6 +215,7 @@ ORACLES = {
     "clean_text": f"SELECT doc_id, md5({CLEAN.format('text')}) AS digest FROM documents",
     "title_from_slug": "SELECT page_id, trim(replace(regexp_extract(url || '/van-ban-' || page_id || '-7.aspx', '/([^/]+?)-[0-9]+\\.aspx', 1), '-', ' ')) AS title FROM pages",
     "chunk_windows": f"WITH {CHUNKS} SELECT doc_id, chunk_id, i AS ordinal, 3 AS tier, path, n_words, text FROM chunks",
+    "chunk_structure": _STRUCTURE,
     "chunk_tier_counts": f"WITH {CHUNKS} SELECT 3 AS tier, count(*) AS n_chunks, sum(n_words)::BIGINT AS n_words FROM chunks",
     "bm25_chunks_topk": f"{BM25}, {pool(10)} SELECT qid, chunk_idx, doc_id, round(score, 6) AS score, rnk FROM pool",
     "bm25_bounded_topk": f"{BM25}, {pool(10)} SELECT qid, chunk_idx, doc_id, round(score, 6) AS score, rnk FROM pool",
@@ -238,7 +257,10 @@ ORACLES = {
     "known_terms": f"WITH {INDEX}, {questions()}, each AS (SELECT DISTINCT qid, unnest({tokens('question')}) AS term FROM asked) SELECT qid, string_agg(term, ' ' ORDER BY term) AS terms FROM each SEMI JOIN vocab USING (term) GROUP BY qid",
     "document_view": _VIEW,
     "validate_findings": f"WITH {FINDINGS} SELECT CASE code[1] WHEN 'E' THEN 'error' ELSE 'warning' END AS severity, code, title, count(*) AS n, array_to_string(list_sort(list(DISTINCT what))[1:5], ',') AS examples FROM broken JOIN titles USING (code) GROUP BY code, title",
-    "submission_statistics": f"WITH {SUBMISSION} SELECT 'made' AS sub_id, (SELECT count(*) FROM latest) AS n_questions, (SELECT count(*) FROM typed WHERE t = 'ARRAY') AS n_answers, (SELECT count(doc_id) FROM ids) AS n_ids, (SELECT count(DISTINCT doc_id) FROM ids) AS n_documents",
+    "submission_statistics": f"WITH {SUBMISSION} SELECT 'made' AS sub_id, (SELECT count(*) FROM latest) AS n_questions, (SELECT count(*) FROM typed WHERE t = 'ARRAY') AS n_answers, (SELECT count(*) FROM ids) AS n_entries, (SELECT count(doc_id) FROM ids) AS n_ids, (SELECT count(DISTINCT doc_id) FROM ids) AS n_documents, (SELECT count(*) FROM typed WHERE t = 'ARRAY' AND json_array_length(a) = 0) AS n_empty, (SELECT count(*) FROM typed WHERE t = 'ARRAY' AND json_array_length(a) > 5) AS n_over_limit",
+    "submission_lengths": f"WITH {SUBMISSION} SELECT 'made' AS sub_id, json_array_length(a)::BIGINT AS n_ids, count(*) AS n_questions FROM typed WHERE t = 'ARRAY' GROUP BY ALL",
+    "validate_unreadable": "SELECT item_id || k AS sub_id, code, 1 AS n FROM benchmark, (VALUES ('-text', 'E003'), ('-list', 'E004'), ('-empty', 'E004')) v(k, code)",
+    "expansion_cache": f"WITH {EXPANSIONS} SELECT qid::VARCHAR AS qid, CASE WHEN length(question) % 3 = 0 THEN array_to_string(terms, '|') ELSE 'alpha beta|' || split_part(question, ' ', 1) END AS terms, CASE WHEN length(question) % 3 = 0 THEN normalized ELSE question END AS normalized_query, CASE WHEN length(question) % 6 = 0 THEN 'fallback_rules_after_error: KeyError' WHEN length(question) % 3 = 0 THEN 'fallback_rules_after_error: ValueError' ELSE 'echo' END AS source FROM expanded",
     "reflow_text": f"WITH {REFLOW} SELECT doc_id, line_no, line FROM lines",
     "highlight": f"WITH {REFLOW} SELECT doc_id, line_no, {_marked(_marked(ESCAPED))} AS html FROM lines",
     "structure_classify": f"WITH {REFLOW} SELECT doc_id, line_no, {_UNIT} AS unit FROM lines",

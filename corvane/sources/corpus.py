@@ -58,8 +58,33 @@ def expansions(spark: SparkSession, path: str | None) -> DataFrame:
     return _keyed(spark, path, EXPANSION)
 
 
-def append_expansions(rows: DataFrame, path: str) -> None:
-    rows.write.mode("append").parquet(path)
+def write_expansions(rows: DataFrame, path: str) -> None:
+    """One JSON object by question, as ``expansions`` reads it: for caches that fit into one file. Larger ones stay batches."""
+    value = F.struct(*[F.col(c) for c in ("question", "normalized_query", "expansion_terms", "source")])
+    entries = rows.select(F.col("qid").cast("string").alias("qid"), value.alias("v")).groupBy("qid").agg(F.min("v").alias("v"))
+    text = F.to_json(F.map_from_entries(F.array_sort(F.collect_list(F.struct("qid", "v")))), {"ignoreNullFields": "false"})
+    entries.agg(text.alias("value")).write.mode("overwrite").text(path)
+
+
+CACHED = "qid string, question string, normalized_query string, expansion_terms array<string>, source string, batch int"
+
+
+def append_expansions(rows: DataFrame, path: str, batch: int) -> None:
+    """Writes ``rows`` (qid, question, normalized_query, expansion_terms, source) as batch number ``batch`` of the cache at
+    ``path``. A batch that is written again replaces itself; one that was interrupted has no file that counts."""
+    named = rows.select(F.col("qid").cast("string").alias("qid"), "question", "normalized_query", "expansion_terms", "source")
+    named.write.mode("overwrite").parquet(f"{path}/batch={batch}")
+
+
+def cached_expansions(spark: SparkSession, path: str) -> DataFrame:
+    """(qid, question, normalized_query, expansion_terms, source, batch) of the cache that ``append_expansions`` writes, each
+    question once: that of the first batch that has it. Empty where there is no cache yet."""
+    top = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    if not top.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(top):
+        return spark.createDataFrame([], CACHED)
+    columns = [c.split()[0] for c in CACHED.split(", ")]
+    found = spark.read.schema(CACHED).parquet(path).groupBy("qid").agg(F.min(F.struct("batch", *columns[1:-1])).alias("v"))
+    return found.select("qid", *[F.col(f"v.{c}").alias(c) for c in columns[1:]])
 
 
 def vectors(spark: SparkSession, path: str) -> DataFrame:

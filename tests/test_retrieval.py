@@ -36,9 +36,21 @@ def test_windows(spark, n, starts):
 
 @pytest.mark.parametrize(("sizes", "groups"), [([40, 5, 50], [[0, 1], [2]]), ([5, 40], [[0, 1]]), ([5], [[0]]), ([31, 1, 40], [[0, 1], [2]]), ([20, 5, 40, 3], [[0, 1, 2, 3]])])
 def test_merge_small(spark, sizes, groups):
-    pieces = values(spark, [(1, i, f"Khoản {i}", " ".join([f"p{i}"] * n)) for i, n in enumerate(sizes)], "doc_id long, idx int, label string, body string")
-    got = [sorted({int(w[1:]) for w in r["body"].split()}) for r in chunking.merge_small(pieces, ["doc_id"]).orderBy("idx").collect()]
+    pieces = values(spark, [([(f"Khoản {i}", " ".join([f"p{i}"] * n)) for i, n in enumerate(sizes)],)], "p array<struct<label: string, body: string>>")
+    got = [sorted({int(w[1:]) for w in r["body"].split()}) for r in pieces.select(chunking.merge_small(F.col("p"))).first()[0]]
     assert got == groups
+    assert pieces.select(chunking.merge_small(F.slice("p", 1, 0))).first()[0] == []
+
+
+def test_too_many_chunks_are_an_error(spark):
+    with pytest.raises(Exception, match="more than 1048576 chunks in document 7"):
+        chunking.with_index(values(spark, [(7, 1 << 20)], "doc_id long, ordinal int")).collect()
+
+
+def test_chunks_need_no_shuffle(spark):
+    docs = values(spark, [(1, "n", None, "x")], "doc_id long, name string, link string, passage string")
+    plan = chunking.chunk(docs)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Union" not in plan
 
 
 @pytest.mark.parametrize(("a", "b", "c"), [("Khoản 1", "Khoản 1", "Khoản 1"), ("Khoản 1", "Khoản 3", "Khoản 1-3"), ("Phần mở đầu", "Điều 1", "Phần mở đầu + Điều 1"), ("Điều 1", "Điều 12a", "Điều 1 + Điều 12a")])
@@ -150,6 +162,15 @@ def test_validation(spark):
     assert "E003" in codes["bad"] and "E004" in codes["list"] and "E004" in codes["empty"]
 
 
+def test_unreadable_submissions_miss_no_question(spark):
+    subs = values(spark, [("text", "no json"), ("list", "[1]"), ("empty", "{}"), ("nan", '{"1": NaN}'), ("twice", '{"1":{"answer":["1","1","2","2"]}}')], "sub_id string, json string")
+    found = validation.findings(subs, values(spark, [("1",), ("2",)], "qid string")).collect()
+    assert {(r["sub_id"], r["code"], r["n"]) for r in found} == {("text", "E003", 1), ("list", "E004", 1), ("empty", "E004", 1), ("nan", "E003", 1), ("twice", "E012", 1), ("twice", "E005", 1)}
+    assert next(r["examples"] for r in found if r["sub_id"] == "nan") == ["NaN is no value"]
+    lengths = validation.length_distribution(subs).collect()
+    assert [tuple(r) for r in lengths] == [("twice", 4, 1)]
+
+
 def test_report_and_statistics(spark):
     files = values(spark, [("a", None, [("E001", "a.zip")]), ("b", '{"1":\n {"answer" ["x"]}}', [("W004", "b.json")]), ("c", '{"1":{"answer":["a","b"]},"2":{"answer":["a"]},"3":5}', [])], "sub_id string, json string, file_findings array<struct<code: string, detail: string>>")
     got = {(r["sub_id"], r["code"]): (r["title"], r["n"], r["examples"]) for r in validation.report(files, corpus=values(spark, [("a",)], "doc_id string")).collect()}

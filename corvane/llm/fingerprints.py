@@ -18,6 +18,8 @@ from corvane.llm.common import unused, written
 RANGE_ROWS, RANGES = 1000, 65_536
 #: Repeated fingerprints up to which their table is broadcast (16 bytes each as text of 32); beyond it the join shuffles.
 BROADCAST_FINGERPRINTS = 1_000_000
+#: Parts of a repeated fingerprint's rows in a join that shuffles.
+SALTS = 64
 
 
 def canonical(text: Column) -> Column:
@@ -125,5 +127,17 @@ def edited_fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "te
     collided = collisions(docs, prints, text)
     if collided:
         prints = written(made(collided), "fingerprints")
-    groups = prints.groupBy("fingerprint").agg(F.min("doc_id").alias("group_id"))
-    return prints.join(groups, "fingerprint").select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "group_id")
+    return _grouped(prints).select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "group_id")
+
+
+def _grouped(prints: DataFrame, most: int = BROADCAST_FINGERPRINTS) -> DataFrame:
+    """``prints`` with group_id, the least doc_id of the row's fingerprint. Only repeated fingerprints are joined: by a
+    broadcast up to ``most`` of them, counted; beyond it in SALTS parts of each, so that no group meets in one task."""
+    least = prints.groupBy("fingerprint").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("c"))
+    repeated = written(least.where("c > 1").select("fingerprint", "least"), "groups")
+    if repeated.count() <= most:
+        joined = prints.join(F.broadcast(repeated), "fingerprint", "left")
+    else:
+        salted = repeated.withColumn("salt_", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        joined = prints.withColumn("salt_", F.pmod(F.xxhash64("doc_id", "edited_sha256"), F.lit(SALTS)).cast("int")).join(salted, ["fingerprint", "salt_"], "left")
+    return joined.withColumn("group_id", F.coalesce("least", "doc_id"))

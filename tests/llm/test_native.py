@@ -118,6 +118,15 @@ def test_edited_fingerprints(spark):
         assert seen.setdefault(r["fingerprint"], folded(text)) == folded(text)
 
 
+def test_groups_of_fingerprints(spark):
+    rows = [(i if i % 9 else None, "hot" if i % 3 else f"f{i // 4}", str(i % 50)) for i in range(400)]
+    prints = spark.createDataFrame(rows, "doc_id long, fingerprint string, edited_sha256 string")
+    least = {f: min((d for d, g, _ in rows if g == f and d is not None), default=None) for _, f, _ in rows}
+    for most in (1000, 0):
+        got = sorted((r["doc_id"] or -1, r["fingerprint"], r["group_id"]) for r in fingerprints._grouped(prints, most).collect())
+        assert got == sorted((d or -1, f, least[f]) for d, f, _ in rows)
+
+
 def test_edited_fingerprints_of_odd_tables(spark):
     rows = [(1, None, 0), (2, "", 0), (2, "😀é", 0), (None, "n", 0)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, fingerprint int")

@@ -70,25 +70,3 @@ def rerank_docs(candidates: DataFrame, beta: float = BETA, agg: str = "top3", k:
     per = Window.partitionBy("qid")
     value = beta * minmax("logit", per) + (1 - beta) * minmax("fused", per) if beta < 1 else F.col("logit")
     return rank_docs(ranked_by(candidates.withColumn("blend", value), "blend"), "max" if agg == "max" else "top3", k)
-
-
-def with_model(df: DataFrame, call, text: str, out: str, kind: str, batch: int = 64) -> DataFrame:
-    """``df`` with ``out`` of DDL type ``kind``: what ``call`` gives for a list of texts. Arrow batches are sorted by length,
-    so that mini-batches of ``batch`` texts waste little padding. Encoders, rerankers and expanders plug in here."""
-    schema = df.drop(out).schema
-    for f in df.sparkSession.createDataFrame([], f"`{out}` {kind}").schema:
-        schema = schema.add(f)
-
-    def run(frames):
-        for frame in frames:
-            texts = frame[text].fillna("").tolist()
-            order = sorted(range(len(texts)), key=lambda i: -len(texts[i]))
-            got = [None] * len(texts)
-            for i in range(0, len(order), batch):
-                part = order[i : i + batch]
-                for j, value in zip(part, call([texts[j] for j in part]), strict=True):
-                    got[j] = value
-            frame[out] = got
-            yield frame
-
-    return df.drop(out).mapInPandas(run, schema)

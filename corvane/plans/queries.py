@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 from corvane.functions import json as J
 from corvane.functions import text as T
 from corvane.functions import vectors as V
-from corvane.operators import chunking, evaluation, expansion, fusion, index, prediction, rendering, scoring, validation
-from corvane.plans.retrieval import Options, corpus_chunks, corpus_index, dense_pool, gold, passages, questions, stand_in_vectors, table
+from corvane.operators import chunking, encoding, evaluation, expansion, fusion, index, prediction, rendering, scoring, validation
+from corvane.plans.retrieval import Options, corpus_chunks, corpus_index, dense_pool, gold, passages, questions, ranked_docs, stand_in_vectors, table
 from corvane.sources.products import shared_root
 from corvane.plans.sql import ABBREVIATIONS, ADDED, FAULTS, PHRASES
 
@@ -193,8 +193,8 @@ def hybrid_docs(s, d):
     return _shown(fusion.hybrid_docs(_pool(s, d)))
 
 
-def _candidates(s: SparkSession, d: str, pool: DataFrame | None = None) -> DataFrame:
-    return fusion.rerank_candidates(fusion.fuse(pool or _pool(s, d), "linear"), n_docs=3, m_chunks=3)
+def _candidates(s: SparkSession, d: str) -> DataFrame:
+    return fusion.rerank_candidates(fusion.fuse(_pool(s, d), "linear"), n_docs=3, m_chunks=3)
 
 
 @query
@@ -202,14 +202,34 @@ def rerank_candidates(s, d):
     return _candidates(s, d).select("qid", "chunk_idx", "doc_id", F.col("rn").cast("long").alias("rn"), F.col("in_doc").cast("long").alias("in_doc"))
 
 
-def _reranked(s: SparkSession, d: str, pool: DataFrame | None = None) -> DataFrame:
-    texts = corpus_chunks(s, d).select("chunk_idx", "text")
-    return _candidates(s, d, pool).join(texts, "chunk_idx").withColumn("logit", (F.char_length("text") % 97).cast("double"))
+def _reranker(pairs: DataFrame) -> DataFrame:
+    return encoding.score_pairs(pairs, encoding.overlap)
+
+
+def _reranked(s: SparkSession, d: str, k: int, beta: float = fusion.BETA) -> DataFrame:
+    """The documents of the whole plan with a reranker, which scores both texts of each candidate by their words."""
+    options = Options(topk=k, n_docs=3, beta=beta)
+    return ranked_docs(_index(s, d), questions(s, d), options, stand_in_vectors(s, d), chunks=corpus_chunks(s, d), rerank=_reranker)
 
 
 @query
 def rerank_blend(s, d):
-    return _shown(fusion.rerank_docs(_reranked(s, d)))
+    return _shown(_reranked(s, d, 5))
+
+
+@query
+def bm25_expanded_docs(s, d):
+    """Documents by questions and their expanded forms, combined before the pool is cut."""
+    asked = questions(s, d)
+    expansions = asked.select("qid", F.array_join(F.slice(F.split("question", " "), 1, 3), " ").alias("normalized_query"), F.array().cast("array<string>").alias("expansion_terms"))
+    return _shown(ranked_docs(_index(s, d), asked, Options(), expansions=expansions))
+
+
+@query
+def encode_lengths(s, d):
+    """Token lengths of all chunks, encoded with a cut at 128 tokens by a stand-in encoder."""
+    coded = encoding.encode(corpus_chunks(s, d).select("chunk_idx", "text"), encoding.hashed_encoder(32), most=128)
+    return encoding.length_statistics(coded.where(F.size("vec") == 32)).select("n_texts", *[F.round(c, 6).alias(c) for c in ("median", "p90", "p99")], "longest", F.round("truncated", 6).alias("truncated"))
 
 
 def _users(s: SparkSession, d: str) -> DataFrame:
@@ -352,10 +372,9 @@ def fusion_deltas(s, d):
 
 @query
 def rerank_compare(s, d):
-    """Fused documents against those of a reranker, whose stand-in scores are lengths."""
-    pool = _pool(s, d)
-    plain = fusion.hybrid_docs(pool, k=20).withColumn("system", F.lit("hybrid"))
-    ranked = plain.unionByName(fusion.rerank_docs(_reranked(s, d, pool), k=20).withColumn("system", F.lit("reranked")))
+    """Fused documents against those of a reranker, whose stand-in scores are shares of words."""
+    plain = fusion.hybrid_docs(_pool(s, d), k=20).withColumn("system", F.lit("hybrid"))
+    ranked = plain.unionByName(_reranked(s, d, 20).withColumn("system", F.lit("reranked")))
     metrics = evaluation.means(evaluation.per_question(ranked, gold(s, d), by=["system"]), ["system"])
     compared = evaluation.deltas(metrics, F.col("system") == "hybrid")
     return compared.select("system", F.round("recall", 6).alias("recall"), F.round("mrr", 6).alias("mrr"), F.round("delta", 6).alias("delta"))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from corvane.functions import json as J
 from corvane.functions import text as T
 from corvane.functions import vectors as V
-from corvane.operators import chunking, evaluation, expansion, fusion, index, prediction, rendering, scoring, validation
+from corvane.operators import chunking, encoding, evaluation, expansion, fusion, index, prediction, rendering, scoring, validation
 from corvane.plans import retrieval
 
 
@@ -225,3 +225,35 @@ def test_private_characters_stay_in_their_pieces(spark):
     text = "one \ue000 two \ue000b three\nĐiều 1. four\ue000a\nĐiều 2. five"
     row = spark.createDataFrame([(text,)], "t string").select(chunking.marked_pieces(F.col("t"), chunking.ARTICLE).alias("p")).first()
     assert row["p"] == ["one \ue000 two \ue000b three\n", "Điều 1. four\ue000a\n", "Điều 2. five"]
+
+
+def test_encoding_across_batches(spark):
+    def call(texts):
+        assert [len(t.split()) for t in texts] == sorted((len(t.split()) for t in texts), reverse=True) and len(texts) <= 64
+        return [[float(len(t.split())), 3.0, 4.0] for t in texts]
+
+    rows = [(i, " ".join(["w"] * (i % 40))) for i in range(300)] + [(300, None)]
+    df = values(spark, rows, "chunk_idx long, text string").coalesce(1)
+    got = {r["chunk_idx"]: r for r in encoding.encode(df, call, most=30, batch=15, super_batch=250).collect()}
+    assert len(got) == 301 and all(got[i]["n_tokens"] == i % 40 and got[i]["vec"][0] == min(30, i % 40) and got[i]["truncated"] == (i % 40 > 30) for i in range(300)) and got[300]["vec"][0] == 0
+    short = encoding.encode(df, call, dim=2).where("chunk_idx = 4").first()["vec"]
+    assert short == pytest.approx([0.8, 0.6])
+    row = encoding.length_statistics(encoding.encode(df, call, most=30)).first()
+    assert (row["n_texts"], row["longest"], round(row["truncated"], 6)) == (301, 39, round(sum(i % 40 > 30 for i in range(300)) / 301, 6))
+
+
+def test_vectors_are_encoded_once(spark, tmp_path):
+    path, rows = str(tmp_path / "vectors"), values(spark, [(i, f"text {i}") for i in range(30)], "chunk_idx long, text string")
+    coded = lambda df: encoding.encode(df, encoding.hashed_encoder(8))
+    parts = []
+    assert encoding.build_vectors(rows.where("chunk_idx < 9"), path, coded, part_rows=4).count() == 9
+    found = encoding.build_vectors(rows, path, lambda df: (parts.append(df.count()), coded(df))[1], part_rows=100)
+    assert parts == [21] and found.count() == 30
+    whole = {r["chunk_idx"]: r["vec"] for r in coded(rows).collect()}
+    assert {r["chunk_idx"]: r["vec"] for r in found.collect()} == whole
+
+
+def test_pairs_are_cut_together(spark):
+    pairs = values(spark, [(1, "a b c", "x " * 9 + "a"), (2, "a b c", "a c " + "x " * 9), (3, None, "a"), (4, "a", None)], "qid long, question string, text string")
+    got = {r["qid"]: (round(r["logit"], 6), r["n_tokens"]) for r in encoding.score_pairs(pairs, encoding.overlap, most=8).collect()}
+    assert got == {1: (0.0, 13), 2: (round(2 / 3, 6), 14), 3: (0.0, 1), 4: (0.0, 1)}

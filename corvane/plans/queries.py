@@ -13,6 +13,7 @@ from corvane.functions import json as J
 from corvane.functions import text as T
 from corvane.functions import vectors as V
 from corvane.operators import chunking, encoding, evaluation, expansion, fusion, index, prediction, rendering, scoring, validation
+from corvane.plans import experiments, search
 from corvane.plans.retrieval import Options, corpus_chunks, corpus_index, dense_pool, gold, passages, questions, ranked_docs, stand_in_vectors, table
 from corvane.sources.products import shared_root
 from corvane.plans.sql import ABBREVIATIONS, ADDED, FAULTS, PHRASES
@@ -307,10 +308,7 @@ K1S, BS = (0.6, 0.9, 1.2, 1.5, 2.0), (0.4, 0.6, 0.75, 0.9)
 
 
 def _grid(s: SparkSession, d: str) -> DataFrame:
-    params = s.createDataFrame([(k1, b) for k1 in K1S for b in BS], "k1 double, b double")
-    by = ["k1", "b"]
-    pool = scoring.top_chunks(scoring.score(_index(s, d), questions(s, d), params), scoring.POOL, by)
-    return evaluation.means(evaluation.per_question(scoring.rank_docs(pool, "top3", 20, by=by), gold(s, d), by=by), by)
+    return experiments.sweep(_index(s, d), questions(s, d), gold(s, d), K1S, BS)
 
 
 @query
@@ -338,24 +336,11 @@ def grid_matrix(s, d):
 
 @query
 def best_aggregator(s, d):
-    idx, asked = _index(s, d), questions(s, d)
-    pool = scoring.top_chunks(scoring.score(idx, asked), scoring.POOL)
-    listed = [scoring.rank_docs(pool, a, 20, scoring.chunks_per_doc(idx)).withColumn("agg", F.lit(a)) for a in ("max", "top3", "top3_log")]
-    ranked = listed[0].unionByName(listed[1]).unionByName(listed[2])
-    return _rounded(evaluation.best(evaluation.means(evaluation.per_question(ranked, gold(s, d), by=["agg"]), ["agg"]), ["agg"]), "agg")
+    return _rounded(evaluation.best(experiments.aggregators(_index(s, d), questions(s, d), gold(s, d)), ["agg"]), "agg")
 
 
 def _fusions(s: SparkSession, d: str) -> DataFrame:
-    from pyspark.sql import Window
-
-    per = Window.partitionBy("qid")
-    mixed = fusion.fuse(_pool(s, d), "rrf").withColumn("md", fusion.minmax("dense", per)).withColumn("ms", fusion.minmax("score", per))
-    linear = lambda a: a * F.col("md") + (1 - a) * F.col("ms")
-    configs = {"bm25": F.col("score"), "dense": F.col("dense"), "rrf": F.col("fused"), **{f"linear_{a}": linear(a) for a in (0.3, 0.5, 0.7)}}
-    listed = F.array(*[F.struct(F.lit(n).alias("fusion"), c.alias("value")) for n, c in configs.items()])
-    each = mixed.select("qid", "chunk_idx", "doc_id", F.inline(listed))
-    ranked = scoring.rank_docs(fusion.ranked_by(each, "value", ["fusion"]), "top3", 20, by=["fusion"])
-    return evaluation.means(evaluation.per_question(ranked, gold(s, d), by=["fusion"]), ["fusion"])
+    return experiments.fusions(_pool(s, d), gold(s, d))
 
 
 @query
@@ -373,9 +358,7 @@ def fusion_deltas(s, d):
 @query
 def rerank_compare(s, d):
     """Fused documents against those of a reranker, whose stand-in scores are shares of words."""
-    plain = fusion.hybrid_docs(_pool(s, d), k=20).withColumn("system", F.lit("hybrid"))
-    ranked = plain.unionByName(_reranked(s, d, 20).withColumn("system", F.lit("reranked")))
-    metrics = evaluation.means(evaluation.per_question(ranked, gold(s, d), by=["system"]), ["system"])
+    metrics = experiments.systems({"hybrid": fusion.hybrid_docs(_pool(s, d), k=20), "reranked": _reranked(s, d, 20)}, gold(s, d))
     compared = evaluation.deltas(metrics, F.col("system") == "hybrid")
     return compared.select("system", F.round("recall", 6).alias("recall"), F.round("mrr", 6).alias("mrr"), F.round("delta", 6).alias("delta"))
 
@@ -449,6 +432,16 @@ def search_chunks(s, d):
     return rendering.search_chunks(scoring.top_chunks(scoring.score(_index(s, d), questions(s, d)), 5), chunks)
 
 
+@query
+def search_requests(s, d):
+    """Requests for none to six documents, of which at least one is given, and an empty one."""
+    items = table(s, d, "benchmark")
+    asked = items.select(F.col("item_id").alias("qid"), F.col("text").alias("q"), (F.col("item_id") % 7).alias("k"), F.lit("doc").alias("mode"), F.lit("max").alias("agg"))
+    empty = items.agg((F.max("item_id") + 1).alias("qid")).select("qid", F.lit("").alias("q"), F.lit(None).cast("long").alias("k"), F.lit("chunk").alias("mode"), F.lit(None).cast("string").alias("agg"))
+    found = search.search(_index(s, d), corpus_chunks(s, d), asked.unionByName(empty))
+    return found.select("qid", F.size("terms").cast("long").alias("n_terms"), F.explode_outer("results").alias("r")).select("qid", "n_terms", F.col("r.rnk").cast("long").alias("rnk"), "r.doc_id", "r.score")
+
+
 @query
 def known_terms(s, d):
     return scoring.known_terms(_index(s, d), questions(s, d)).select("qid", F.array_join("terms", " ").alias("terms"))

@@ -257,6 +257,7 @@ ORACLES = {
     "answer_length_hist": f"{ANSWERS} SELECT len(answer) AS n_ids, count(*) AS n_questions FROM answers GROUP BY 1",
     "prediction_summary": f"{PADDED} SELECT (SELECT count(DISTINCT qid) FROM padded) AS n_questions, (SELECT count(DISTINCT doc_id) FROM padded) AS n_documents, (SELECT count(*) FROM asked WHERE qid NOT IN (SELECT qid FROM ranked GROUP BY qid HAVING count(*) >= 5)) AS n_padded",
     "search_results": f"{BM25}, {pool(3000)}, {docs('max', 5)}, {snippets('* FROM ranked')}",
+    "search_requests": f"{BM25}, {pool(3000)}, {docs('max', 100)}, termed AS (SELECT qid, (SELECT count(*) FROM (SELECT unnest({tokens('question')}) AS term) SEMI JOIN vocab USING (term)) AS n_terms FROM asked) SELECT qid, n_terms, rnk, doc_id, round(score, 2) AS score FROM termed LEFT JOIN ranked USING (qid) WHERE rnk <= greatest(1, qid % 7) OR rnk IS NULL UNION ALL SELECT max(item_id) + 1, 0, NULL, NULL, NULL FROM benchmark",
     "search_chunks": f"{BM25}, {pool(5)}, {snippets('qid, rnk, doc_id, score, chunk_idx AS best_chunk, 1 AS n_chunk FROM pool')}",
     "known_terms": f"WITH {INDEX}, {questions()}, each AS (SELECT DISTINCT qid, unnest({tokens('question')}) AS term FROM asked) SELECT qid, string_agg(term, ' ' ORDER BY term) AS terms FROM each SEMI JOIN vocab USING (term) GROUP BY qid",
     "document_view": _VIEW,

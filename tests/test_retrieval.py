@@ -7,7 +7,7 @@ from corvane.functions import json as J
 from corvane.functions import text as T
 from corvane.functions import vectors as V
 from corvane.operators import chunking, encoding, evaluation, expansion, fusion, index, prediction, rendering, scoring, validation
-from corvane.plans import retrieval
+from corvane.plans import retrieval, search
 
 
 def values(spark, rows, ddl):
@@ -257,3 +257,18 @@ def test_pairs_are_cut_together(spark):
     pairs = values(spark, [(1, "a b c", "x " * 9 + "a"), (2, "a b c", "a c " + "x " * 9), (3, None, "a"), (4, "a", None)], "qid long, question string, text string")
     got = {r["qid"]: (round(r["logit"], 6), r["n_tokens"]) for r in encoding.score_pairs(pairs, encoding.overlap, most=8).collect()}
     assert got == {1: (0.0, 13), 2: (round(2 / 3, 6), 14), 3: (0.0, 1), 4: (0.0, 1)}
+
+
+def test_search_requests(spark, idx):
+    chunks = values(spark, [(i, d, f"t{i} > p\nbody {t}", f"p{i}", 3, 3) for i, d, t in CORPUS], "chunk_idx long, doc_id long, text string, path string, n_words int, tier int")
+    asked = values(spark, [(1, "phí căn cước zzz", 0, None, "max"), (2, "phí căn cước", 500, "chunk", None), (3, "", 5, None, None), (4, None, None, None, None), (5, "phí căn cước", None, "doc", "none such"), (6, "zzz", -3, None, None)], "qid long, q string, k int, mode string, agg string")
+    got = {r["qid"]: (r["terms"], [(x["doc_id"], x["score"]) for x in r["results"]]) for r in search.search(idx, chunks, asked).collect()}
+    assert got[1] == (["phí", "căn", "cước"], [(10, 3.28)]) and got[2][1] == [(10, 3.28), (10, 1.82), (20, 1.1)]
+    assert got[3] == got[4] == got[6] == ([], []) and got[5][1] == [(10, 2.55), (20, 1.1)]
+
+
+def test_document_requests(spark):
+    docs = values(spark, [(7, "n", None, "text")], "doc_id long, name string, link string, passage string")
+    asked = values(spark, [("7",), ("8",), ("7x",), ("",), (None,)], "doc_id string")
+    got = {r["doc_id"]: (r["found"], r["error"], r["html"] is not None) for r in search.documents(asked, docs).collect()}
+    assert got == {"7": (True, None, True), "8": (False, "unknown", False), "7x": (False, "invalid", False), "": (False, "invalid", False), None: (False, "invalid", False)}

@@ -181,7 +181,7 @@ def test_report_and_statistics(spark):
 
 
 def test_examples_are_five(spark):
-    subs = values(spark, [("s", "{}")], "sub_id string, json string")
+    subs = values(spark, [("s", '{"x": 1}')], "sub_id string, json string")  # an empty object breaks E004 alone
     asked = values(spark, [(str(i),) for i in range(10, 30)], "qid string")
     row = validation.findings(subs, asked).where("code = 'E005'").first()
     assert row["n"] == 20 and row["examples"] == ["10", "11", "12", "13", "14"]

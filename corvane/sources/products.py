@@ -16,6 +16,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 MANIFEST = "_manifest"
+#: The temporary folder of each local application that has no shared one.
+_local: dict[str, str] = {}
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -24,8 +26,8 @@ def shared_root(spark: SparkSession) -> str:
     if not found:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        found = tempfile.mkdtemp(prefix="corvane-")
-        spark.conf.set("spark.checkpoint.dir", found)
+        found = _local.setdefault(spark.sparkContext.applicationId, "") or tempfile.mkdtemp(prefix="corvane-")
+        _local[spark.sparkContext.applicationId] = found
     return found.rstrip("/")
 
 

@@ -79,11 +79,11 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
     """``df`` written as Parquet to the shared folder and read again: its statistics are known and its columns prunable."""
     spark = df.sparkSession
     path = fresh_path(spark, name)
-    df.write.parquet(path)
+    df.write.option("compression", codec).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -110,8 +110,8 @@ def sliced(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iter
         yield batch.slice(start)
 
 
-def with_arrow(df: DataFrame, kernel: Callable[[pa.RecordBatch], dict[str, pa.Array]], added: str, source: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """``df`` with the columns of DDL ``added`` that ``kernel`` computes from each slice.
+def with_arrow(df: DataFrame, kernel: Callable[[pa.RecordBatch], dict[str, pa.Array]], added: str, source: str = "text", keep: list[str] | None = None, reads: list[str] | None = None) -> DataFrame:
+    """``df`` with the columns of DDL ``added`` that ``kernel`` computes from each slice of ``source``, kept columns and ``reads``.
 
     ``keep`` names the input columns of the result (all by default). A kept column whose name equals an added one (case
     aside) gives way to it.
@@ -120,7 +120,7 @@ def with_arrow(df: DataFrame, kernel: Callable[[pa.RecordBatch], dict[str, pa.Ar
     extra = spark.createDataFrame([], added).schema
     new = {f.name.lower() for f in extra}
     kept = [c for c in (df.columns if keep is None else keep) if c.lower() not in new]
-    inputs = list(dict.fromkeys([*kept, source]))
+    inputs = list(dict.fromkeys([*kept, source, *(reads or [])]))
     frame = df.select(*[F.col(f"`{c}`") for c in inputs])
     schema = frame.select(*[F.col(f"`{c}`") for c in kept]).schema
     for f in extra:

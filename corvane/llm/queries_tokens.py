@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corvane.llm import byte_bpe, edit_counts, simple8b
-from corvane.llm.common import table
+from corvane.llm.common import table, written
 
 
 def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,10 +27,16 @@ def op4_simple8b(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_edit_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Counts every text's tokens, applies three derived edits to it and updates the count from the regions touched."""
+    """Counts every text's tokens, applies three derived edits, stores the edited texts with their trees, and applies three
+    edits derived from these to the trees that are read back. Counts of the second batch are named ``again_…``."""
+    ranks, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    edited = edit_counts.derived_edits(docs)
-    return edit_counts.count_edits(edited, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN).select("doc_id", "n_tokens", "edited_n_tokens", "edited_n_chars", "n_edits", "reencoded_chars")
+    first = ["n_tokens", "edited_n_tokens", "edited_n_chars", "n_edits", "reencoded_chars"]
+    kept = written(edit_counts.apply_edits(edit_counts.derived_edits(docs), ranks, pattern, keep=["doc_id"]), "trees", "zstd")
+    kept = kept.select("doc_id", "text", *edit_counts.TREE, F.struct(*first).alias("first"))
+    again = edit_counts.count_edits(edit_counts.derived_edits(kept), ranks, pattern, keep=["doc_id", "first"])
+    second = {"again_n_tokens": "edited_n_tokens", "again_n_chars": "edited_n_chars", "again_reencoded_chars": "reencoded_chars", "again_split_chars": "split_chars"}
+    return again.select("doc_id", "first.*", *[F.col(c).alias(n) for n, c in second.items()])
 
 
 QUERIES = {"op1_byte_bpe": op1_byte_bpe, "op4_simple8b": op4_simple8b, "op10_edit_counts": op10_edit_counts}

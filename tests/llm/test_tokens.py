@@ -185,3 +185,59 @@ def test_op10(spark, coder, tmp_path):
         assert (r["edited_n_tokens"], r["edited_n_chars"], r["n_edits"]) == (len(coder.encode(text)), len(text), 3)
     odd = docs.withColumn("edits", F.lit(None).cast(edit_counts.EDIT))
     assert {r["n_edits"] for r in edit_counts.count_edits(odd, RANKS, P.PATTERN).collect()} == {0}
+
+
+def _edited(text: str, edits) -> str:
+    for e in edits:
+        a, b = max(0, min(e["start"], len(text))), max(0, min(e["stop"], len(text)))
+        text = text[:a] + e["replacement"] + text[max(a, b) :]
+    return text
+
+
+def test_trees_are_stored_and_taken_up(spark, coder, tmp_path):
+    long = "word and other words, 12 of them; " * 3000
+    docs = spark.createDataFrame([*enumerate([*ODD, long]), (None, None)], "doc_id long, text string")
+    first = edit_counts.apply_edits(edit_counts.derived_edits(docs), RANKS, P.PATTERN)
+    first.write.parquet(str(tmp_path / "trees"))
+    stored = spark.read.parquet(str(tmp_path / "trees")).drop("edits", "n_tokens")
+    split = {"".join(p): p for p in map(coder.pattern.findall, [r["text"] for r in stored.collect()])}
+    for r in stored.collect():
+        pieces = split[r["text"]]
+        assert r["piece_chars"] == [*map(len, pieces)] and r["piece_tokens"] == [len(coder.encode(p)) for p in pieces]
+        assert sum(r["block_pieces"]) == len(pieces) and max(r["block_pieces"]) <= 2 * edit_counts.BLOCK
+        assert r["node_chars"][1] == len(r["text"]) and r["node_tokens"][1] == r["edited_n_tokens"] == len(coder.encode(r["text"]))
+        for nodes in (r["node_chars"], r["node_tokens"]):
+            assert all(nodes[i] == nodes[2 * i] + nodes[2 * i + 1] for i in range(1, len(nodes) // 2))
+    again = edit_counts.apply_edits(edit_counts.derived_edits(stored), RANKS, P.PATTERN).collect()
+    before = {r["doc_id"]: r["text"] for r in stored.collect()}
+    for r in again:
+        assert r["text"] == _edited(before[r["doc_id"]], r["edits"]) and r["edited_n_tokens"] == len(coder.encode(r["text"]))
+        assert r["split_chars"] == 0 and r["n_tokens"] == len(coder.encode(before[r["doc_id"]]))
+    (whole,) = [r for r in again if len(r["text"]) > 50_000]
+    assert whole["reencoded_chars"] < 1500
+    counted = {r["doc_id"]: r for r in edit_counts.count_edits(edit_counts.derived_edits(stored), RANKS, P.PATTERN, keep=["doc_id"]).collect()}
+    assert all(counted[r["doc_id"]]["edited_n_tokens"] == r["edited_n_tokens"] for r in again) and "text" not in counted[0]
+    grown = spark.read.parquet(str(tmp_path / "trees"))
+    assert {r["edited_n_tokens"] for r in grown.collect()} == {r["node_tokens"][1] for r in edit_counts.apply_edits(grown, RANKS, P.PATTERN, edits=None).collect()}
+
+
+def test_trees_that_do_not_fit_are_made_anew(spark, coder):
+    docs = spark.createDataFrame([(1, "some words, here"), (2, "others"), (3, None)], "doc_id long, text string")
+    trees = edit_counts.apply_edits(docs, RANKS, P.PATTERN, edits=None, keep=["doc_id"])
+    assert {r["split_chars"] for r in trees.collect()} == {16, 6, 0} and edit_counts.apply_edits(docs.where("false"), RANKS, P.PATTERN, edits=None).count() == 0
+    other = trees.withColumn("text", F.when(F.col("doc_id") == 1, "quite other words of another length").otherwise(F.col("text")))
+    nulled = other.withColumn("node_tokens", F.when(F.col("doc_id") != 2, F.col("node_tokens")))
+    for r in edit_counts.count_edits(edit_counts.derived_edits(nulled), RANKS, P.PATTERN).collect():
+        assert r["n_tokens"] == len(coder.encode(r["text"])) and r["split_chars"] == len(r["text"])
+        assert r["edited_n_tokens"] == len(coder.encode(_edited(r["text"], r["edits"])))
+    clash = docs.withColumn("piece_chars", F.lit("x")).withColumn("N_Tokens", F.lit(1))
+    assert edit_counts.apply_edits(edit_counts.derived_edits(clash), RANKS, P.PATTERN).count() == 3
+
+
+def test_op10_second_batch(spark, coder, tmp_path):
+    docs = spark.createDataFrame([*enumerate(ODD), (None, None)], "doc_id long, text string")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    first = edit_counts.apply_edits(edit_counts.derived_edits(docs), RANKS, P.PATTERN, keep=["doc_id"])
+    after = {r["doc_id"]: _edited(r["text"], r["edits"]) for r in edit_counts.derived_edits(first).collect()}
+    for r in Q.op10_edit_counts(spark, str(tmp_path)).collect():
+        assert (r["again_n_tokens"], r["again_n_chars"], r["again_split_chars"]) == (len(coder.encode(after[r["doc_id"]])), len(after[r["doc_id"]]), 0)

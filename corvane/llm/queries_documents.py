@@ -31,9 +31,13 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_telephony(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Stores every whole text as the codes of a mu-law WAVE file, reads the file back and describes its sound."""
+    """Makes every whole text the codes of a mu-law WAVE file, reads these back and describes their sound; stores the resampled
+    PCM of each file as Parquet and describes what is read from there."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return telephony.features(telephony.store(docs, keep=["doc_id"]), keep=["doc_id", "n_bytes"])
+    files = telephony.store_pcm(telephony.store(docs, keep=["doc_id"]))
+    kept = written(telephony.features(files, keep=["doc_id", "n_bytes", "pcm_media"], pcm=False), "pcm", "zstd")
+    read = telephony.pcm_features(kept, keep=[c for c in kept.columns if c != "pcm_media"])
+    return read.withColumn("feature", F.concat_ws(";", "feature", "pcm_feature")).drop("pcm_feature")
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -222,16 +222,37 @@ def store_pcm(df: DataFrame, media: str = "media", out: str = "pcm_media", keep:
     return with_arrow(df, kernel, f"`{out}` binary", media, keep)
 
 
-def features(df: DataFrame, media: str = "media", keep: list[str] | None = None) -> DataFrame:
+def pcm_parts(stored: bytes) -> tuple[str, int, str]:
+    """Samples and CRC-32 of the data read back from a WAVE file of PCM, as the part of a feature; the file's size and digest."""
+    tag, rate, _, samples = wav_parse(stored)
+    if tag != TAG_PCM:
+        raise ValueError(f"format tag {tag} is not PCM")
+    return f"pcm{rate // 1000}k:{len(samples) // 2},{zlib.crc32(samples)}", len(stored), hashlib.sha256(stored).hexdigest()
+
+
+def pcm_features(df: DataFrame, pcm: str = "pcm_media", keep: list[str] | None = None) -> DataFrame:
+    """``df`` with pcm_feature, pcm_bytes and pcm_sha256 of the PCM files of ``store_pcm``, as they were stored. A null file
+    gives nulls, one of another format fails the task; rows and other columns stay, those named like an added one give way; an
+    empty table stays empty. No shuffle."""
+
+    def kernel(part: pa.RecordBatch) -> dict[str, pa.Array]:
+        rows = [(None, None, None) if x is None else pcm_parts(x) for x in part.column(pcm).to_pylist()]
+        return {n: pa.array([r[k] for r in rows], t) for k, (n, t) in enumerate((("pcm_feature", pa.string()), ("pcm_bytes", pa.int64()), ("pcm_sha256", pa.string())))}
+
+    return with_arrow(df, kernel, "pcm_feature string, pcm_bytes bigint, pcm_sha256 string", pcm, keep)
+
+
+def features(df: DataFrame, media: str = "media", keep: list[str] | None = None, pcm: bool = True) -> DataFrame:
     """``df`` with payload_bytes, payload_sha256 and tail_crc32 of the bytes read back from each file, media_bytes and
     media_sha256 of the file, a ``feature`` string, and pcm_bytes and pcm_sha256 of its ``pcm_file``.
 
     The feature names, for the payload read as mu-law, as A-law and as ADPCM blocks of 576 bytes: samples, mean absolute
-    value, peak and sign changes, and samples and CRC-32 of the PCM that is read back from the file stored for it. It depends
-    on the bytes alone. A null file gives nulls; rows and other columns stay, those named like an added one give way; an empty
-    table stays empty. No shuffle.
+    value, peak and sign changes, and samples and CRC-32 of the file's PCM. It depends on the bytes alone. Without ``pcm`` the
+    part and the columns of PCM are left to ``pcm_features``, which reads stored files. A null file gives nulls; rows and
+    other columns stay, those named like an added one give way; an empty table stays empty. No shuffle.
     """
-    added = "payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string, pcm_bytes bigint, pcm_sha256 string"
+    added = "payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string"
+    added += ", pcm_bytes bigint, pcm_sha256 string" if pcm else ""
     kinds = [(n, pa.int64() if t == "bigint" else pa.string()) for n, t in (x.split() for x in added.split(", "))]
 
     def kernel(part: pa.RecordBatch) -> dict[str, pa.Array]:
@@ -248,14 +269,13 @@ def features(df: DataFrame, media: str = "media", keep: list[str] | None = None)
                 continue
             parts = []
             codes = np.frombuffer(x, np.uint8)
-            for name, pcm in (("mulaw", mulaw_table()[codes]), ("alaw", alaw_table()[codes]), ("adpcm", adpcm[(end - len(x)) // BLOCK_BYTES : end // BLOCK_BYTES].ravel())):
-                size = np.abs(pcm.astype(np.int32))
-                negative = pcm < 0
-                parts.append(f"{name}:{len(pcm)},{int(size.sum()) // max(1, len(pcm))},{int(size.max(initial=0))},{int(np.count_nonzero(negative[1:] != negative[:-1]))}")
-            stored = pcm_file(file)
-            samples = wav_parse(stored)[3]
-            parts.append(f"pcm16k:{len(samples) // 2},{zlib.crc32(samples)}")
-            rows.append([len(x), hashlib.sha256(x).hexdigest(), zlib.crc32(x[-32:]), len(file), hashlib.sha256(file).hexdigest(), ";".join(parts), len(stored), hashlib.sha256(stored).hexdigest()])
+            for name, sound in (("mulaw", mulaw_table()[codes]), ("alaw", alaw_table()[codes]), ("adpcm", adpcm[(end - len(x)) // BLOCK_BYTES : end // BLOCK_BYTES].ravel())):
+                size = np.abs(sound.astype(np.int32))
+                negative = sound < 0
+                parts.append(f"{name}:{len(sound)},{int(size.sum()) // max(1, len(sound))},{int(size.max(initial=0))},{int(np.count_nonzero(negative[1:] != negative[:-1]))}")
+            part, *of_pcm = pcm_parts(pcm_file(file)) if pcm else ("",)
+            parts += [part] if pcm else []
+            rows.append([len(x), hashlib.sha256(x).hexdigest(), zlib.crc32(x[-32:]), len(file), hashlib.sha256(file).hexdigest(), ";".join(parts), *of_pcm])
         return {n: pa.array([r[k] for r in rows], t) for k, (n, t) in enumerate(kinds)}
 
     return with_arrow(df, kernel, added, media, keep)

@@ -303,6 +303,18 @@ def test_pcm_is_stored_and_read_back(spark):
     assert rows[1]["feature"].endswith(f"pcm16k:{len(pcm)},{zlib.crc32(pcm.tobytes())}") and rows[2]["feature"] is None
 
 
+def test_stored_pcm_gives_the_same_features(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "plain words"), (2, ""), (3, None), (4, "é" * 5000), (5, "plain words")], "doc_id long, text string")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    once = {r["doc_id"]: r.asDict() for r in telephony.features(telephony.store(docs, keep=["doc_id"]), keep=["doc_id", "n_bytes"]).collect()}
+    assert {r["doc_id"]: r.asDict() for r in Q.op3_telephony(spark, str(tmp_path)).collect()} == once and "pcm16k" in once[3]["feature"]
+    files = telephony.store_pcm(telephony.store(docs)).withColumn("pcm_bytes", F.lit("x"))
+    nulled = files.withColumn("pcm_media", F.when(F.col("doc_id") > 1, F.col("pcm_media")))
+    got = {r["doc_id"]: r for r in telephony.pcm_features(nulled).collect()}
+    assert got[1]["pcm_feature"] is got[1]["pcm_bytes"] is None and got[2]["pcm_bytes"] == once[2]["pcm_bytes"]
+    assert telephony.pcm_features(nulled.where("false")).count() == 0
+
+
 def test_op6(spark, tmp_path):
     rows = [(1, "http://a/", PAGE), (2, None, None), (2, None, None), (None, "http://b/\r\nX: y", ""), (4, "no url [", "<a href='http://[bad'>x</a>" + "y" * 50_000)]
     spark.createDataFrame([(*r, "clash") for r in rows], "page_id long, url string, html string, record string").write.parquet(str(tmp_path / "pages.parquet"))

@@ -146,6 +146,15 @@ def _rounded(rows: DataFrame, plan: DataFrame, count: int, most: int) -> DataFra
     return rated.withColumn("copies", (F.col("whole") + F.coalesce((F.col("flip") < F.col("shift")).cast("int"), F.lit(0))).cast("int"))
 
 
+def source_targets(docs: DataFrame, text: str = "text", source: str = "source", most: int = MOST) -> DataFrame:
+    """One row for each source of ``docs``: source, n_docs, source_size (words) and target, as ``mix`` takes them. Null and
+    empty texts have size 0, a null source is one of its own, a table without words has targets 0, an empty one no rows."""
+    sized = docs.select(_key(F.col(source)).alias("key"), F.col(source).alias("source"), n_words(F.col(text)).alias("size"))
+    by_source = sized.groupBy("key", "source").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("n_docs"))
+    kept = cut(by_source)  # texts are read once, what follows has a row for each source
+    return kept.select("key", "source", "n_docs").join(targets(kept, most), "key").select("source", "n_docs", "source_size", "target")
+
+
 def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", most: int = MOST) -> DataFrame:
     """doc_id, source, size (words), source_size, target (both of the source), rate, copies and taken (copies times size)
     of each document: one row for each row of ``docs``, which gives no other columns.

@@ -11,6 +11,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from corvane.llm import components, fingerprints, mixing, ngram_join
+from corvane.llm import queries_native as N
+from tests.llm.sql import compare
 
 SF = "/root/testdata/sf0.01"
 DOC = "doc_id long, text string, lang string, source string, n_chars long"
@@ -245,3 +247,18 @@ def test_components_of_chains(spark):
     got = {r["node"]: r["root"] for r in components.components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert got == {**{i: 100 for i in range(101, 161)}, 900: 100, 7: 3}
     assert components.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+@pytest.mark.parametrize("name", ["mixing_targets", "edited_digests"])
+def test_native_queries_like_their_sql(spark, name):
+    compare(spark, N, name)
+
+
+def test_source_targets_of_odd_tables(spark):
+    words = "w " * 30
+    docs = spark.createDataFrame([("a", words), ("a", words * 9), ("b", None), ("b", "one"), (None, words), ("", "")], "source string, text string")
+    got = {r["source"]: r for r in mixing.source_targets(docs).collect()}
+    assert {s: r["n_docs"] for s, r in got.items()} == {"a": 2, "b": 2, None: 1, "": 1} and got[""]["target"] == 0
+    assert got["b"]["target"] == 3 and sum(r["target"] for r in got.values()) == sum(r["source_size"] for r in got.values()) == 331
+    mixed = {r["source"]: (r["source_size"], r["target"]) for r in mixing.mix(docs.withColumn("doc_id", F.monotonically_increasing_id())).collect()}
+    assert mixed == {s: (r["source_size"], r["target"]) for s, r in got.items()} and mixing.source_targets(docs.where("false")).count() == 0

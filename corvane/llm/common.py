@@ -79,11 +79,12 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def written(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
-    """``df`` written as Parquet to the shared folder and read again: its statistics are known and its columns prunable."""
+def written(df: DataFrame, name: str, **options: str) -> DataFrame:
+    """``df`` written as Parquet to the shared folder, with the writer's ``options``, and read again: its statistics are known
+    and its columns prunable."""
     spark = df.sparkSession
     path = fresh_path(spark, name)
-    df.write.option("compression", codec).parquet(path)
+    df.write.options(**options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -30,12 +30,16 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged(quality.score(featured, model, keep=["doc_id"]), 3, 1)
 
 
+#: PCM has four bytes for one of a text: it is packed well, in pages that show the packer enough of it.
+PCM_STORE = {"compression": "zstd", "parquet.compression.codec.zstd.level": "9", "parquet.page.size": str(8 << 20), "parquet.block.size": str(64 << 20)}
+
+
 def op3_telephony(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Makes every whole text the codes of a mu-law WAVE file, reads these back and describes their sound; stores the resampled
     PCM of each file as Parquet and describes what is read from there."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    files = telephony.store_pcm(telephony.store(docs, keep=["doc_id"]))
-    kept = written(telephony.features(files, keep=["doc_id", "n_bytes", "pcm_media"], pcm=False), "pcm", "zstd")
+    made = telephony.features(telephony.store(docs, keep=["doc_id"]), keep=["doc_id", "n_bytes"], stored="pcm_media")
+    kept = written(made, "pcm", **PCM_STORE)
     read = telephony.pcm_features(kept, keep=[c for c in kept.columns if c != "pcm_media"])
     return read.withColumn("feature", F.concat_ws(";", "feature", "pcm_feature")).drop("pcm_feature")
 

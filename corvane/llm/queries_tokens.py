@@ -32,7 +32,7 @@ def op10_edit_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     first = ["n_tokens", "edited_n_tokens", "edited_n_chars", "n_edits", "reencoded_chars"]
-    kept = written(edit_counts.apply_edits(edit_counts.derived_edits(docs), ranks, pattern, keep=["doc_id"]), "trees", "zstd")
+    kept = written(edit_counts.apply_edits(edit_counts.derived_edits(docs), ranks, pattern, keep=["doc_id"]), "trees", compression="zstd")
     kept = kept.select("doc_id", "text", *edit_counts.TREE, F.struct(*first).alias("first"))
     again = edit_counts.count_edits(edit_counts.derived_edits(kept), ranks, pattern, keep=["doc_id", "first"])
     second = {"again_n_tokens": "edited_n_tokens", "again_n_chars": "edited_n_chars", "again_reencoded_chars": "reencoded_chars", "again_split_chars": "split_chars"}

@@ -242,18 +242,19 @@ def pcm_features(df: DataFrame, pcm: str = "pcm_media", keep: list[str] | None =
     return with_arrow(df, kernel, "pcm_feature string, pcm_bytes bigint, pcm_sha256 string", pcm, keep)
 
 
-def features(df: DataFrame, media: str = "media", keep: list[str] | None = None, pcm: bool = True) -> DataFrame:
+def features(df: DataFrame, media: str = "media", keep: list[str] | None = None, stored: str | None = None) -> DataFrame:
     """``df`` with payload_bytes, payload_sha256 and tail_crc32 of the bytes read back from each file, media_bytes and
     media_sha256 of the file, a ``feature`` string, and pcm_bytes and pcm_sha256 of its ``pcm_file``.
 
     The feature names, for the payload read as mu-law, as A-law and as ADPCM blocks of 576 bytes: samples, mean absolute
-    value, peak and sign changes, and samples and CRC-32 of the file's PCM. It depends on the bytes alone. Without ``pcm`` the
-    part and the columns of PCM are left to ``pcm_features``, which reads stored files. A null file gives nulls; rows and
+    value, peak and sign changes, and samples and CRC-32 of the file's PCM. It depends on the bytes alone. With ``stored``
+    the PCM file becomes a column of that name instead, for ``pcm_features`` to describe once it is stored. A null file gives nulls; rows and
     other columns stay, those named like an added one give way; an empty table stays empty. No shuffle.
     """
     added = "payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string"
-    added += ", pcm_bytes bigint, pcm_sha256 string" if pcm else ""
-    kinds = [(n, pa.int64() if t == "bigint" else pa.string()) for n, t in (x.split() for x in added.split(", "))]
+    added += f", `{stored}` binary" if stored else ", pcm_bytes bigint, pcm_sha256 string"
+    types = {"bigint": pa.int64(), "string": pa.string(), "binary": pa.binary()}
+    kinds = [(n.strip("`"), types[t]) for n, t in (x.rsplit(" ", 1) for x in added.split(", "))]
 
     def kernel(part: pa.RecordBatch) -> dict[str, pa.Array]:
         files = part.column(media).to_pylist()
@@ -273,8 +274,9 @@ def features(df: DataFrame, media: str = "media", keep: list[str] | None = None,
                 size = np.abs(sound.astype(np.int32))
                 negative = sound < 0
                 parts.append(f"{name}:{len(sound)},{int(size.sum()) // max(1, len(sound))},{int(size.max(initial=0))},{int(np.count_nonzero(negative[1:] != negative[:-1]))}")
-            part, *of_pcm = pcm_parts(pcm_file(file)) if pcm else ("",)
-            parts += [part] if pcm else []
+            made = pcm_file(file)
+            part, *of_pcm = (None, made) if stored else pcm_parts(made)
+            parts += [] if stored else [part]
             rows.append([len(x), hashlib.sha256(x).hexdigest(), zlib.crc32(x[-32:]), len(file), hashlib.sha256(file).hexdigest(), ";".join(parts), *of_pcm])
         return {n: pa.array([r[k] for r in rows], t) for k, (n, t) in enumerate(kinds)}
 

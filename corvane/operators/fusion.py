@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
@@ -11,10 +13,12 @@ from corvane.operators.scoring import rank_docs
 RRF_K, POOL, ALPHA, BETA, N_DOCS, M_CHUNKS = 60, 1000, 0.7, 0.6, 20, 3
 
 
-def with_dense(pool: DataFrame, vectors: DataFrame, question_vectors: DataFrame, dim: int | None = None) -> DataFrame:
+def with_dense(pool: DataFrame, vectors: DataFrame | Callable[[DataFrame], DataFrame], question_vectors: DataFrame, dim: int | None = None) -> DataFrame:
     """``pool`` with ``dense``, the dot product of question_vectors (qid, qvec) and vectors (chunk_idx, vec); chunks and
-    questions without a vector drop out. ``dim``: both are cut to that many components and normalised."""
-    joined = pool.join(vectors, "chunk_idx").join(question_vectors, "qid")
+    questions without a vector drop out. ``vectors`` may be a function that finds those of the pool's chunks (chunk_idx, doc_id).
+    ``dim``: both are cut to that many components and normalised."""
+    found = vectors(pool.select("chunk_idx", "doc_id").distinct()) if callable(vectors) else vectors
+    joined = pool.join(found, "chunk_idx").join(question_vectors, "qid")
     shorten = (lambda c: V.truncated(c, dim)) if dim else (lambda c: c)
     return joined.withColumn("dense", V.dot(shorten(F.col("vec")), shorten(F.col("qvec")))).drop("vec", "qvec")
 

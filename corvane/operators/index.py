@@ -1,6 +1,7 @@
-"""The inverted index as tables without parameters: postings, vocabulary, blocks, chunk and corpus statistics.
+"""The index as tables without parameters: rows of chunks with their terms, vocabulary, postings, blocks, corpus statistics.
 
-Terms are counted inside a chunk's row; what is shuffled is one row for each term of a chunk, once, to the place where it stays.
+Terms are counted inside a chunk's row. Written rows are what everything else is counted from, without a look at the texts, and
+what searches read; only the inverted form shuffles a row for each term of a chunk, once, to the place where it stays.
 """
 
 from __future__ import annotations
@@ -21,19 +22,19 @@ BUCKET_ROWS, PART_ROWS = 1 << 22, 1 << 21
 PART_DOCS = 4096
 
 #: What a written index depends on besides its chunks.
-OPTIONS = {"version": 2, "min_df": MIN_DF, "max_df_ratio": MAX_DF_RATIO, "block_lengths": BLOCK_LENGTHS}
+OPTIONS = {"version": 3, "min_df": MIN_DF, "max_df_ratio": MAX_DF_RATIO, "block_lengths": BLOCK_LENGTHS}
 
 #: Tables of a written index; an empty one has no file to take its columns from.
 _TABLES = {
     "postings": "term string, chunk_idx long, doc_id long, doclen int, tf int, bucket int", "vocab": "term string, df long, idf double", "blocks": "term string, block int, most_tf int, least_len int, n long",
-    "chunk_stats": "chunk_idx long, doc_id long, doclen int", "corpus_stats": "n_chunks long, avgdl double, nnz long, vocab_size long",
+    "rows": "chunk_idx long, doc_id long, doclen int, terms array<struct<term: string, tf: int>>", "corpus_stats": "n_chunks long, avgdl double, nnz long, vocab_size long",
 }
 
 
 @dataclass
 class Index:
     """postings(term, chunk_idx, doc_id, doclen, tf, bucket), vocab(term, df, idf), blocks(term, block, most_tf, least_len, n),
-    chunk_stats(chunk_idx, doc_id, doclen), corpus_stats(n_chunks, avgdl, nnz, vocab_size): lazy, or read from a written index.
+    rows(chunk_idx, doc_id, doclen, terms), corpus_stats(n_chunks, avgdl, nnz, vocab_size): lazy, or read from a written index.
 
     ``buckets``: how many the postings' folders are; 0 if they are not in folders.
     """
@@ -41,10 +42,14 @@ class Index:
     postings: DataFrame
     vocab: DataFrame
     blocks: DataFrame
-    chunk_stats: DataFrame
+    rows: DataFrame
     corpus_stats: DataFrame
     buckets: int = 0
 
+    @property
+    def chunk_stats(self) -> DataFrame:
+        return self.rows.select("chunk_idx", "doc_id", "doclen")
+
     def postings_of(self, terms: DataFrame) -> DataFrame:
         """The postings in the buckets of ``terms`` (term): other folders are not read. At most every bucket's number goes to
         the driver."""
@@ -105,14 +110,22 @@ def block_bounds(postings: DataFrame) -> DataFrame:
 def assemble(rows: DataFrame, df: DataFrame, sizes: DataFrame) -> Index:
     """The index of the rows of ``forward``, their document frequencies (term, df) and their totals (n_chunks, avgdl)."""
     vocab = vocabulary(df, sizes)
-    postings = listed(rows).join(vocab.select("term"), "term", "left_semi").select("term", "chunk_idx", "doc_id", "doclen", "tf", F.lit(0).alias("bucket"))
     totals = sizes.crossJoin(vocab.agg(F.coalesce(F.sum("df"), F.lit(0)).alias("nnz"), F.count(F.lit(1)).alias("vocab_size")))
-    return Index(postings, vocab, block_bounds(postings), rows.select("chunk_idx", "doc_id", "doclen"), totals)
+    return _inverted(rows, vocab, totals)
+
+
+def _inverted(rows: DataFrame, vocab: DataFrame, totals: DataFrame) -> Index:
+    postings = listed(rows).join(vocab.select("term"), "term", "left_semi").select("term", "chunk_idx", "doc_id", "doclen", "tf", F.lit(0).alias("bucket"))
+    return Index(postings, vocab, block_bounds(postings), rows, totals)
 
 
 def build(chunks: DataFrame) -> Index:
     """The index over ``chunks`` (chunk_idx, doc_id, text)."""
-    rows = forward(chunks)
+    return counted(forward(chunks))
+
+
+def counted(rows: DataFrame) -> Index:
+    """The index of the rows of ``forward``, whose terms it counts."""
     sizes = rows.agg(F.count(F.lit(1)).alias("n_chunks"), F.avg("doclen").alias("avgdl"))
     return assemble(rows, document_frequencies(listed(rows)), sizes)
 
@@ -133,20 +146,49 @@ def dealt(index: Index, buckets: int, part_rows: int = PART_ROWS) -> DataFrame:
     return spread.withColumn("part", part).withColumn("hot", F.when(F.col("parts").isNotNull(), F.col("term"))).repartition("bucket", "hot", "part").sortWithinPartitions("bucket", "term", "chunk_idx").drop("part", "parts", "hot")
 
 
-def write(index: Index, path: str, buckets: int | None = None, part_rows: int = PART_ROWS) -> None:
-    """Parquet tables below ``path``: the postings in a folder a bucket, sorted by term in each file, so that readers prune
-    folders and row groups. ``buckets``: from the number of postings by default."""
-    for name in ("vocab", "chunk_stats", "corpus_stats"):
-        getattr(index, name).write.mode("overwrite").parquet(f"{path}/{name}")
+def _stored(spark, path: str, name: str) -> DataFrame:
+    return spark.read.schema(_TABLES[name]).parquet(f"{path}/{name}")
+
+
+def write_rows(rows: DataFrame, path: str) -> None:
+    """The rows of ``forward`` below ``path``, in one pass over the texts."""
+    rows.write.mode("overwrite").parquet(f"{path}/rows")
+
+
+def write_terms(spark, path: str) -> None:
+    """Vocabulary and corpus statistics of the rows below ``path``."""
+    found = counted(_stored(spark, path, "rows"))
+    found.vocab.write.mode("overwrite").parquet(f"{path}/vocab")
+    sizes = found.rows.agg(F.count(F.lit(1)).alias("n_chunks"), F.avg("doclen").alias("avgdl"))
+    totals = _stored(spark, path, "vocab").agg(F.coalesce(F.sum("df"), F.lit(0)).alias("nnz"), F.count(F.lit(1)).alias("vocab_size"))
+    sizes.crossJoin(totals).write.mode("overwrite").parquet(f"{path}/corpus_stats")
+
+
+def write_postings(index: Index, path: str, buckets: int | None = None, part_rows: int = PART_ROWS) -> None:
+    """The postings of a written index below ``path``, in a folder a bucket, sorted by term in each file, so that readers prune
+    folders and row groups; and their blocks. ``buckets``: from the number of postings by default."""
     spark = index.postings.sparkSession
-    stored = Index(index.postings, spark.read.parquet(f"{path}/vocab"), index.blocks, index.chunk_stats, index.corpus_stats)
     if buckets is None:
-        nnz = spark.read.parquet(f"{path}/corpus_stats").first()["nnz"]
-        buckets = max(8, -(-nnz // BUCKET_ROWS))
-    dealt(stored, buckets, part_rows).write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
-    block_bounds(spark.read.schema(_TABLES["postings"]).parquet(f"{path}/postings")).write.mode("overwrite").parquet(f"{path}/blocks")
+        buckets = max(8, -(-index.corpus_stats.first()["nnz"] // BUCKET_ROWS))
+    dealt(index, buckets, part_rows).write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
+    block_bounds(_stored(spark, path, "postings")).write.mode("overwrite").parquet(f"{path}/blocks")
     spark.range(1).select(F.lit(buckets).alias("buckets")).write.mode("overwrite").parquet(f"{path}/layout")
 
 
-def read(spark, path: str) -> Index:
-    return Index(*[spark.read.schema(ddl).parquet(f"{path}/{name}") for name, ddl in _TABLES.items()], buckets=spark.read.parquet(f"{path}/layout").first()["buckets"])
+def write(index: Index, path: str, buckets: int | None = None, part_rows: int = PART_ROWS) -> None:
+    """All tables below ``path``, counted from the rows that it writes first."""
+    spark = index.rows.sparkSession
+    write_rows(index.rows, path)
+    write_terms(spark, path)
+    write_postings(read_terms(spark, path), path, buckets, part_rows)
+
+
+def read_terms(spark, path: str) -> Index:
+    """The written index without its postings, which are lazy."""
+    return _inverted(*[_stored(spark, path, name) for name in ("rows", "vocab", "corpus_stats")])
+
+
+def read(spark, path: str, postings: str | None = None) -> Index:
+    """A written index; ``postings``: the folder of its postings, if that is another one."""
+    at, found = postings or path, read_terms(spark, path)
+    return Index(_stored(spark, at, "postings"), found.vocab, _stored(spark, at, "blocks"), found.rows, found.corpus_stats, spark.read.parquet(f"{at}/layout").first()["buckets"])

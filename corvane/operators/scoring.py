@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 
 from corvane.functions import text as T
 from corvane.operators.index import Index, block
-from corvane.sources.products import shared_root
+from corvane.operators.matching import matches
+from corvane.sources.products import shared_root, stored
 
 K1, B, POOL, TOP = 2.5, 0.9, 3000, 5
 #: Of a bounded search: the share of a question's postings that sets the first threshold, the shares of the threshold that the
@@ -51,28 +52,32 @@ def _saturated(tf: str, doclen: str, k1: float, b: float) -> Column:
     return F.col(tf) / (F.col(tf) + k1 * (1 - b + b * F.col(doclen) / F.col("avgdl")))
 
 
-def score(index: Index, questions: DataFrame, params: DataFrame | None = None, k1: float = K1, b: float = B) -> DataFrame:
+def _looked_for(index: Index, questions: DataFrame) -> DataFrame:
+    """(qid, term, w) of the questions' terms that the vocabulary has; ``w`` does not depend on parameters."""
+    return _weighted(index, query_terms(questions)).select("qid", "term", (F.col("qtf") * F.col("idf")).alias("w"))
+
+
+def score(index: Index, questions: DataFrame, params: DataFrame | None = None, k1: float = K1, b: float = B, k: int | None = None, longer: DataFrame | None = None, mode: str = "max", share: float = 0.3) -> DataFrame:
     """(qid, chunk_idx, doc_id, score) of every chunk with a term of the question.
 
     ``params`` (k1, b: one row for each pair, a table of parameters) scores for each of its rows in one job and adds its
-    columns. Of a written index only the folders of the questions' terms are read.
+    columns. ``k``: chunks that are certainly not among the ``k`` best of a question and pair may be missing. ``longer`` (qid,
+    question): the questions in another form, whose scores are combined by ``mode``, see ``expansion.combine``.
     """
-    asked = query_terms(questions)
-    matched = index.postings_of(asked).join(_weighted(index, asked), "term").crossJoin(F.broadcast(index.corpus_stats.select("avgdl")))
-    pairs = [(float(k1), float(b))] if params is None else [(r["k1"], r["b"]) for r in params.select("k1", "b").collect()]
-    if not pairs:
-        pairs, matched = [(k1, b)], matched.limit(0)
+    pairs = [(float(k1), float(b))] if params is None else [(float(r["k1"]), float(r["b"])) for r in params.select("k1", "b").collect()]
+    found = matches(index, _looked_for(index, questions), None if longer is None else _looked_for(index, longer), pairs or [(k1, b)], k, mode, share)
+    keys = ["qid", "chunk_idx", "doc_id"]
+    if params is None:
+        return found.select(*keys, F.col("scores")[0].alias("score"))
+    if k is not None:  # scores go to the ranking in one row for all pairs, which become rows there
+        found = found.repartition("qid")
+    each = F.array(*[F.struct(F.lit(x).alias("k1"), F.lit(y).alias("b"), F.get("scores", F.lit(i)).alias("score")) for i, (x, y) in enumerate(pairs or [(k1, b)])])
+    return found.select(*keys, F.inline(each)).where("score is not null" if pairs else "false")
 
-    def total(k1: float, b: float) -> Column:
-        norm = k1 * (1 - b + b * F.col("doclen") / F.col("avgdl"))
-        return F.sum(F.col("qtf") * F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + norm))
 
-    # A match is read and grouped once, with a sum for each pair of parameters; these become rows afterwards.
-    groups = matched.groupBy("qid", "chunk_idx", "doc_id")
-    if params is None:
-        return groups.agg(total(*pairs[0]).alias("score"))
-    sums = groups.agg(F.array(*[F.struct(F.lit(x).alias("k1"), F.lit(y).alias("b"), total(x, y).alias("score")) for x, y in pairs]).alias("by_pair"))
-    return sums.select("qid", "chunk_idx", "doc_id", F.inline("by_pair"))
+def best_chunks(index: Index, questions: DataFrame, k: int, k1: float = K1, b: float = B, longer: DataFrame | None = None, mode: str = "max", share: float = 0.3) -> DataFrame:
+    """The rows of ``top_chunks(score(index, questions), k)``, written to the shared folder: whoever reads them often scores once."""
+    return stored(top_chunks(score(index, questions, k1=k1, b=b, k=k, longer=longer, mode=mode, share=share), k), "pool")
 
 
 def top_chunks(scores: DataFrame, k: int, by: list[str] | None = None) -> DataFrame:
@@ -103,18 +108,18 @@ def bounded_top_chunks(index: Index, questions: DataFrame, k: int, k1: float = K
     spark = questions.sparkSession
     root = root or f"{shared_root(spark)}/bounded-{uuid.uuid4().hex}"
 
-    def stored(df: DataFrame, name: str) -> DataFrame:
+    def kept(df: DataFrame, name: str) -> DataFrame:
         df.write.mode("overwrite").parquet(f"{root}/{name}")
         return spark.read.schema(df.schema).parquet(f"{root}/{name}")
 
     asked = query_terms(questions)
     mean = F.broadcast(index.corpus_stats.select("avgdl"))
     weights = _weighted(index, asked, k1)
-    bounds = stored(index.blocks.join(weights.select("qid", "term", "w"), "term").crossJoin(mean).select("qid", "term", "block", "w", (F.col("w") * _saturated("most_tf", "least_len", k1, b)).alias("ub"), "n"), "bounds")
+    bounds = kept(index.blocks.join(weights.select("qid", "term", "w"), "term").crossJoin(mean).select("qid", "term", "block", "w", (F.col("w") * _saturated("most_tf", "least_len", k1, b)).alias("ub"), "n"), "bounds")
     per_term = bounds.groupBy("qid", "term").agg(F.max("ub").alias("ub"), F.sum("n").alias("n"), F.max("w").alias("w"))
     order = Window.partitionBy("qid").orderBy(F.col("ub").desc(), "term")
     behind = Window.partitionBy("qid").orderBy(F.col("ub").desc(), "term").rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    terms = stored(
+    terms = kept(
         per_term.select("qid", "term", "w", F.sum("ub").over(behind).alias("rest"), (F.sum("n").over(order) - F.col("n")).alias("before"), F.sum("n").over(Window.partitionBy("qid")).alias("total")), "terms",
     )
     postings = index.postings_of(asked)
@@ -132,22 +137,22 @@ def bounded_top_chunks(index: Index, questions: DataFrame, k: int, k1: float = K
         """(qid, least): the k-th best of the chunks that are best so far, scored whole; how many postings that took."""
         best = Window.partitionBy("qid").orderBy(F.col("s").desc(), "chunk_idx")
         seeds = partial.select(*keys, "s").withColumn("r", F.row_number().over(best)).where(F.col("r") <= k).select(*keys)
-        whole = stored(matches(terms).join(seeds, keys, "left_semi").groupBy(*keys).agg(F.sum("s").alias("s"), F.count(F.lit(1)).alias("m")), name)
+        whole = kept(matches(terms).join(seeds, keys, "left_semi").groupBy(*keys).agg(F.sum("s").alias("s"), F.count(F.lit(1)).alias("m")), name)
         # Sums in another order may differ in their last digits; ranks compare nine decimals.
         return whole.groupBy("qid").agg(F.when(F.count(F.lit(1)) >= k, F.min("s") - SLACK).otherwise(F.lit(0.0)).alias("least")), whole
 
     one = F.lit(1).alias("m")
     seeds = terms.where(F.col("before") < F.lit(SEED) * F.col("total"))
-    partial = stored(summed(matches(seeds).select("*", one)), "stage0")
+    partial = kept(summed(matches(seeds).select("*", one)), "stage0")
     least, whole = threshold(partial, "whole0")
-    least = stored(least, "least0")
+    least = kept(least, "least0")
     staged = terms.join(least, "qid", "left").withColumn("least", F.coalesce("least", F.lit(0.0)))
     reached = F.col("before") < F.lit(SEED) * F.col("total")
     # Stage 1: all terms but a tail that can't reach the threshold alone; then the tail in parts.
     stage = F.when(reached, 0).when(F.col("rest") >= F.col("least"), 1)
     for i, share in enumerate(SHARES):
         stage = stage.when(F.col("rest") >= F.lit(share) * F.col("least"), i + 2)
-    placed = stored(staged.withColumn("stage", stage.otherwise(len(SHARES) + 2)), "placed")
+    placed = kept(staged.withColumn("stage", stage.otherwise(len(SHARES) + 2)), "placed")
     tallies = [("seeds", partial), ("whole seeds", whole)]
     for i in range(1, len(SHARES) + 3):
         added = matches(placed.where(F.col("stage") == i)).select("*", one)
@@ -157,14 +162,14 @@ def bounded_top_chunks(index: Index, questions: DataFrame, k: int, k1: float = K
             partial = alive.select(*keys, "doc_id", "block", "s", "m")
             added = added.join(partial.select(*keys), keys, "left_semi")
         before = partial.withColumn("m", F.lit(0))
-        partial = stored(summed(before.select(*keys, "doc_id", "block", "s", "m").unionByName(added.select(*keys, "doc_id", "block", "s", "m"))), f"stage{i}")
+        partial = kept(summed(before.select(*keys, "doc_id", "block", "s", "m").unionByName(added.select(*keys, "doc_id", "block", "s", "m"))), f"stage{i}")
         tallies.append((f"stage {i}", partial))
         if i == 1:
             better, whole = threshold(partial, "whole1")
             tallies.append(("whole", whole))
-            least = stored(least.unionByName(better).groupBy("qid").agg(F.max("least").alias("least")), "least1")
+            least = kept(least.unionByName(better).groupBy("qid").agg(F.max("least").alias("least")), "least1")
     # The last sums add a chunk's terms in another order than one sum does: those that are left are scored at once.
-    best = stored(top_chunks(partial.withColumnRenamed("s", "score"), k).select(*keys), "best")
+    best = kept(top_chunks(partial.withColumnRenamed("s", "score"), k).select(*keys), "best")
     final = matches(terms).join(best, keys, "left_semi").groupBy(*keys, "doc_id").agg(F.sum("s").alias("score"))
     counted = [df.agg(F.coalesce(F.sum("m"), F.lit(0)).alias("scored")).select(F.lit(name).alias("stage"), "scored") for name, df in tallies]
     counted.append(per_term.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("scored")).select(F.lit("matched").alias("stage"), "scored"))
@@ -194,7 +199,7 @@ def chunks_per_doc(index: Index) -> DataFrame:
 
 def search_docs(index: Index, questions: DataFrame, chunks: DataFrame | None = None, agg: str = "max", k: int = TOP, pool: int = POOL, k1: float = K1, b: float = B) -> DataFrame:
     """Ranked documents of each question; ``chunks`` adds path, n_words, tier and text of each best chunk."""
-    ranked = rank_docs(top_chunks(score(index, questions, k1=k1, b=b), pool), agg, k, chunks_per_doc(index))
+    ranked = rank_docs(best_chunks(index, questions, pool, k1, b), agg, k, chunks_per_doc(index))
     if chunks is None:
         return ranked
     return ranked.join(chunks.select(F.col("chunk_idx").alias("best_chunk"), "path", "n_words", "tier", "text"), "best_chunk")

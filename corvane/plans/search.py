@@ -23,9 +23,8 @@ def search(idx: Index, chunks: DataFrame, requests: DataFrame) -> DataFrame:
     """
     asked = requests.select("qid", T.text_of("q").alias("question"), F.greatest(F.lit(1), F.least(F.lit(MOST_RESULTS), F.coalesce(F.col("k").cast("int"), F.lit(RESULTS)))).alias("k"), F.coalesce(F.col("mode") == "chunk", F.lit(False)).alias("by_chunk"), F.coalesce("agg", F.lit("top3")).alias("agg"))
     some = asked.where("question <> ''")
-    scores = scoring.score(idx, some.select("qid", "question"))
     limits = some.select("qid", "k", "by_chunk", F.when(F.col("agg").isin(*AGGREGATORS), F.col("agg")).otherwise("top3").alias("agg"))
-    pool = scoring.top_chunks(scores, scoring.POOL).join(limits, "qid")
+    pool = scoring.best_chunks(idx, some.select("qid", "question"), scoring.POOL).join(limits, "qid")
     shown = [rendering.search_chunks(pool.where(F.col("by_chunk") & (F.col("rnk") <= F.col("k"))).drop("k", "by_chunk", "agg"), chunks)]
     counts = scoring.chunks_per_doc(idx)
     for agg in AGGREGATORS:

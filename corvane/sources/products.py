@@ -10,6 +10,7 @@ from __future__ import annotations
 import hashlib
 import json
 import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -31,6 +32,13 @@ def shared_root(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written below the shared folder and read back: for rows that a plan reads more than once."""
+    at = f"{shared_root(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(at)
+    return df.sparkSession.read.schema(df.schema).parquet(at)
+
+
 def content_digest(df: DataFrame) -> str:
     """A digest of the rows of ``df``, whatever their order: their number and the sum of their hashes, in one pass."""
     hashed = df.select(F.xxhash64(*[F.to_json(F.struct(F.col(f"`{c}`"))) if "map<" in t or "variant" in t else F.col(f"`{c}`") for c, t in df.dtypes]).cast("decimal(38,0)").alias("h"))

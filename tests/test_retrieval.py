@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from corvane.functions import json as J
 from corvane.functions import text as T
 from corvane.functions import vectors as V
-from corvane.operators import chunking, encoding, evaluation, expansion, fusion, index, prediction, rendering, scoring, validation
+from corvane.operators import chunking, encoding, evaluation, expansion, fusion, index, matching, prediction, rendering, scoring, validation
 from corvane.plans import retrieval, search
 
 
@@ -272,3 +272,33 @@ def test_document_requests(spark):
     asked = values(spark, [("7",), ("8",), ("7x",), ("",), (None,)], "doc_id string")
     got = {r["doc_id"]: (r["found"], r["error"], r["html"] is not None) for r in search.documents(asked, docs).collect()}
     assert got == {"7": (True, None, True), "8": (False, "unknown", False), "7x": (False, "invalid", False), "": (False, "invalid", False), None: (False, "invalid", False)}
+
+
+def shown(df):
+    return sorted((*r[:-1], round(r[-1], 9)) for r in df.select(*[c for c in df.columns if c != "score"], "score").collect())
+
+
+@pytest.mark.parametrize(("k", "block"), [(1, 8000), (7, 6), (200, 8000)])
+def test_best_chunks_are_the_first_of_all(spark, monkeypatch, k, block):
+    """Copies make ties; blocks of a few questions and steps of a few chunks give the same rows."""
+    monkeypatch.setattr(matching, "BLOCK", block)
+    monkeypatch.setattr(matching, "STEP", 7)
+    rows = [(i << 20, i, " ".join(f"w{(i * j) % 23}" for j in range(1, 2 + i % 9))) for i in range(150)] + [(1000 + i << 20, 1000 + i, "w1 w2 w3") for i in range(30)]
+    idx = index.build(values(spark, rows, "chunk_idx long, doc_id long, text string").repartition(5))
+    asked = values(spark, [(i, f"w{i} w{i + 1} w{2 * i} w{i}") for i in range(9)] + [(20, "none"), (21, None)], "qid long, question string")
+    params = values(spark, [(0.6, 0.4), (2.0, 0.9)], "k1 double, b double")
+    assert shown(scoring.best_chunks(idx, asked, k)) == shown(scoring.top_chunks(scoring.score(idx, asked), k))
+    by = ["k1", "b"]
+    assert shown(scoring.top_chunks(scoring.score(idx, asked, params, k=k), k, by)) == shown(scoring.top_chunks(scoring.score(idx, asked, params), k, by))
+    assert scoring.best_chunks(idx, asked.where("false"), k).count() == 0
+
+
+def test_scores_shuffle_no_match(spark, idx):
+    asked = values(spark, [(1, "phí căn cước")], "qid long, question string")
+    plan = scoring.score(index.Index(idx.postings, idx.vocab, idx.blocks, values(spark, [(0, 10, 1, [("phí", 1)])], "chunk_idx long, doc_id long, doclen int, terms array<struct<term: string, tf: int>>"), idx.corpus_stats), asked)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Join" not in plan
+
+
+def test_index_of_queries_has_no_postings(spark, tmp_path):
+    spark.createDataFrame([(1, "s", "alpha beta"), (2, "s", "beta gamma delta")], "doc_id long, source string, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    assert retrieval.corpus_index(spark, str(tmp_path)).buckets == 0 and retrieval.corpus_postings(spark, str(tmp_path)).buckets > 0

@@ -27,6 +27,11 @@ def tokens(c: Column | str) -> Column:
     return F.regexp_extract_all(F.lower(text_of(c)), F.lit(TOKEN), F.lit(0))
 
 
+def upper(c: Column | str) -> Column:
+    """Upper case letter by letter: one without an upper case of a single letter (such as the German sharp s) stays."""
+    return F.array_join(F.transform(F.split(text_of(c), ""), lambda x: F.when(F.length(F.upper(x)) == F.length(x), F.upper(x)).otherwise(x)), "")
+
+
 def words(c: Column | str) -> Column:
     """Runs of anything but white space, in order."""
     return F.filter(F.split(text_of(c), rf"{SPACE}+"), lambda w: w != "")

@@ -302,3 +302,7 @@ def test_scores_shuffle_no_match(spark, idx):
 def test_index_of_queries_has_no_postings(spark, tmp_path):
     spark.createDataFrame([(1, "s", "alpha beta"), (2, "s", "beta gamma delta")], "doc_id long, source string, text string").write.parquet(str(tmp_path / "documents.parquet"))
     assert retrieval.corpus_index(spark, str(tmp_path)).buckets == 0 and retrieval.corpus_postings(spark, str(tmp_path)).buckets > 0
+
+
+def test_upper_case_by_letter(spark):
+    assert values(spark, [("Erßie đ",), (None,)], "t string").select(T.upper("t")).collect()[0][0] == "ERßIE Đ"

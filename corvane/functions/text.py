@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -9,17 +12,25 @@ from pyspark.sql import functions as F
 TOKEN = r"[\p{L}\p{N}_]+"
 #: White space of any script, with the separators that Java's \s leaves out.
 SPACE = r"[\s\x1c-\x1f\x85\p{Z}]"
+#: The same characters one by one, and a run of any others: printable ASCII is told first, as properties are slow.
+SPACES = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000" + "".join(map(chr, range(0x2000, 0x200B)))
+WORD = r"[!-~[^\s\x1c-\x1f\x85\p{Z}]]+"
 #: Characters that make a word for boundary tests: explicit, as \b depends on the Java version.
 NOT_AFTER_WORD, NOT_BEFORE_WORD = r"(?<![\p{L}\p{N}_])", r"(?![\p{L}\p{N}_])"
 
 
+def let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """``f`` of ``value``, which is computed once however often ``f`` reads it."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
 def text_of(c: Column | str) -> Column:
     """Null counts as empty everywhere."""
     return F.coalesce(F.col(c) if isinstance(c, str) else c, F.lit(""))
 
 
 def strip(c: Column | str) -> Column:
-    return F.regexp_replace(text_of(c), rf"\A{SPACE}+|{SPACE}+\z", "")
+    return F.trim(text_of(c), F.lit(SPACES))
 
 
 def tokens(c: Column | str) -> Column:
@@ -38,13 +49,15 @@ def words(c: Column | str) -> Column:
 
 
 def n_words(c: Column | str) -> Column:
-    return F.regexp_count(text_of(c), F.lit(r"[^\s\x1c-\x1f\x85\p{Z}]+"))
+    return F.regexp_count(text_of(c), F.lit(WORD))
 
 
 def clean(c: Column | str) -> Column:
     """Without carriage returns; runs of blanks become one blank, runs of line ends one line end; stripped."""
-    plain = F.regexp_replace(F.replace(text_of(c), F.lit("\r"), F.lit("")), r"[ \t]+", " ")
-    return strip(F.regexp_replace(plain, r"\n{2,}", "\n"))
+    # Most texts have nothing to replace: a search for bytes tells so sooner than a pattern does.
+    where_has = lambda t, signs, f: F.when(reduce(Column.__or__, [F.contains(t, F.lit(s)) for s in signs]), f(t)).otherwise(t)
+    plain = let(F.replace(text_of(c), F.lit("\r"), F.lit("")), lambda t: where_has(t, ("  ", "\t"), lambda x: F.regexp_replace(x, r"[ \t]+", " ")))
+    return strip(let(plain, lambda t: where_has(t, ("\n\n",), lambda x: F.regexp_replace(x, r"\n{2,}", "\n"))))
 
 
 def title(name: Column | str, link: Column | str) -> Column:

@@ -1,5 +1,7 @@
 """Operators on hand-derived cases."""
 
+from collections import Counter
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -313,3 +315,34 @@ def test_cached_terms_keep_their_line_ends(spark, tmp_path):
     spark.createDataFrame(rows, "conv_id long, turn int, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
     assert len(rows[0][3]) % 3  # the stand-in answers
     assert queries.QUERIES["expansion_cache"](spark, str(tmp_path)).first()["terms"] == "alpha beta|one.\ntwo"
+
+
+def test_packed_terms_are_those_of_the_pattern(spark):
+    texts = ["", " \n", "a A b\x00b _x 9", "Phần 1 > Điều 2: ÀÉ ﬁ Straße", "ΑΣ ΑΣ'Α İx", "日本語 𝒜𝒷 x²½ ٣٤ é", "\U0001F600 no🙂pe", "z y z " * 300]
+    chunks = values(spark, [(i, 10 * i, t) for i, t in enumerate(texts)], "chunk_idx long, doc_id long, text string").repartition(1)
+    wanted = {r["chunk_idx"]: Counter(r["t"]) for r in chunks.select("chunk_idx", T.tokens("text").alias("t")).collect()}
+    got = {r["chunk_idx"]: r for r in index.packed(chunks).collect()}
+    assert {i: sum(c.values()) for i, c in wanted.items()} == {i: r["doclen"] for i, r in got.items()}
+    assert {i: sorted(c.items()) for i, c in wanted.items()} == {i: sorted(zip(r["terms"].split(" ") if r["terms"] else [], r["tfs"], strict=True)) for i, r in got.items()}
+    df = Counter(t for c in wanted.values() for t in c)
+    assert dict(index.packed_frequencies(index.packed(chunks)).collect()) == df
+    assert dict(index.document_frequencies(index.listed(index.forward(chunks))).collect()) == df
+
+
+def test_space_is_that_of_the_pattern(spark):
+    signs = [chr(i) for i in [*range(1, 0x3001), 0xFEFF] if not 0xD800 <= i < 0xE000]
+    got = values(spark, [(x,) for x in signs], "x string").select("x", T.strip(F.concat("x", F.lit("a "), "x")).alias("s"), T.n_words("x").alias("n"), F.col("x").rlike(f"^{T.SPACE}$").alias("space")).collect()
+    assert all((r["s"] == "a", r["n"] == 0) == (r["space"], r["space"]) for r in got)
+    texts = ["a  b", "a\tb \t c", "a\r\n\r\nb", "\n\na b\n\n\nc ", "a b\nc"]
+    cleaned = [r[0] for r in values(spark, [(t,) for t in texts], "t string").select(T.clean("t")).collect()]
+    assert cleaned == ["a b", "a b c", "a\nb", "a b\nc", "a b\nc"]
+
+
+def test_few_best_are_found_in_one_pass(spark, monkeypatch):
+    """A search for a few reads the rows once, without the pass that tells marks, and ranks as the search of all does."""
+    chunks = values(spark, [(i, i // 3, " ".join(f"w{j}" for j in range(i % 7, 12) if (i * j) % 5)) for i in range(200)], "chunk_idx long, doc_id long, text string")
+    idx, asked = index.build(chunks), values(spark, [(1, "w2 w3 w9"), (2, "w1 w11 w4 w4")], "qid long, question string")
+    every = [tuple(r) for r in scoring.top_chunks(scoring.score(idx, asked), 7).select("qid", "chunk_idx", "rnk").orderBy("qid", "rnk").collect()]
+    monkeypatch.setattr(matching, "STEP", 20)
+    monkeypatch.setattr(matching, "_least_of", None)
+    assert every == [tuple(r) for r in scoring.top_chunks(scoring.score(idx, asked, k=7), 7).select("qid", "chunk_idx", "rnk").orderBy("qid", "rnk").collect()]

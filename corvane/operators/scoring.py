@@ -7,20 +7,17 @@ from __future__ import annotations
 
 import uuid
 from dataclasses import dataclass
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corvane.functions import text as T
-from corvane.operators.index import Index, block
-from corvane.operators.matching import matches
+from corvane.operators.index import Index
+from corvane.operators.matching import bounded, matches
 from corvane.sources.products import shared_root, stored
 
 K1, B, POOL, TOP = 2.5, 0.9, 3000, 5
-#: Of a bounded search: the share of a question's postings that sets the first threshold, the shares of the threshold that the
-#: terms of further stages can reach together at most, and what sums in different orders may differ by.
-SEED, SHARES, SLACK = 0.2, (0.6, 0.3), 1e-7
+
 
 
 def query_terms(questions: DataFrame) -> DataFrame:
@@ -47,11 +44,6 @@ def _weighted(index: Index, asked: DataFrame, k1: float | None = None) -> DataFr
     return weights if k1 is None else weights.withColumn("w", F.col("qtf") * F.col("idf") * F.lit(k1 + 1))
 
 
-def _saturated(tf: str, doclen: str, k1: float, b: float) -> Column:
-    """What a term's weight is multiplied by; it grows with tf and falls with the length."""
-    return F.col(tf) / (F.col(tf) + k1 * (1 - b + b * F.col(doclen) / F.col("avgdl")))
-
-
 def _looked_for(index: Index, questions: DataFrame) -> DataFrame:
     """(qid, term, w) of the questions' terms that the vocabulary has; ``w`` does not depend on parameters."""
     return _weighted(index, query_terms(questions)).select("qid", "term", (F.col("qtf") * F.col("idf")).alias("w"))
@@ -96,84 +88,16 @@ class Bounded:
 
 
 def bounded_top_chunks(index: Index, questions: DataFrame, k: int, k1: float = K1, b: float = B, root: str | None = None) -> Bounded:
-    """The rows of ``top_chunks(score(index, questions), k)``, from bounds of the index's blocks.
-
-    A block bounds what a term adds to its chunks' scores: its greatest tf in its least length. The terms of a question that
-    can add most are scored first, until SEED of its postings are read; the ``k`` best of these, scored whole, set a threshold
-    that the k-th best chunk reaches at least. Terms that together can't reach it alone need no look at chunks without any
-    other. Stage by stage a chunk is dropped as soon as its score so far and the bounds of what is left, in its block, stay
-    below the threshold, and only chunks that remain are scored on. Each stage's sums are written below ``root`` (the shared
-    folder by default), so that a stage is computed once.
-    """
-    spark = questions.sparkSession
-    root = root or f"{shared_root(spark)}/bounded-{uuid.uuid4().hex}"
-
-    def kept(df: DataFrame, name: str) -> DataFrame:
-        df.write.mode("overwrite").parquet(f"{root}/{name}")
-        return spark.read.schema(df.schema).parquet(f"{root}/{name}")
-
-    asked = query_terms(questions)
-    mean = F.broadcast(index.corpus_stats.select("avgdl"))
-    weights = _weighted(index, asked, k1)
-    bounds = kept(index.blocks.join(weights.select("qid", "term", "w"), "term").crossJoin(mean).select("qid", "term", "block", "w", (F.col("w") * _saturated("most_tf", "least_len", k1, b)).alias("ub"), "n"), "bounds")
-    per_term = bounds.groupBy("qid", "term").agg(F.max("ub").alias("ub"), F.sum("n").alias("n"), F.max("w").alias("w"))
-    order = Window.partitionBy("qid").orderBy(F.col("ub").desc(), "term")
-    behind = Window.partitionBy("qid").orderBy(F.col("ub").desc(), "term").rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    terms = kept(
-        per_term.select("qid", "term", "w", F.sum("ub").over(behind).alias("rest"), (F.sum("n").over(order) - F.col("n")).alias("before"), F.sum("n").over(Window.partitionBy("qid")).alias("total")), "terms",
-    )
-    postings = index.postings_of(asked)
-
-    def matches(chosen: DataFrame) -> DataFrame:
-        found = postings.join(chosen.select("qid", "term", "w"), "term").crossJoin(mean)
-        return found.select("qid", "chunk_idx", "doc_id", block("doclen").alias("block"), (F.col("w") * _saturated("tf", "doclen", k1, b)).alias("s"))
-
-    keys = ["qid", "chunk_idx"]
-
-    def summed(rows: DataFrame) -> DataFrame:
-        return rows.groupBy(*keys).agg(F.first("doc_id").alias("doc_id"), F.first("block").alias("block"), F.sum("s").alias("s"), F.sum("m").alias("m"))
-
-    def threshold(partial: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
-        """(qid, least): the k-th best of the chunks that are best so far, scored whole; how many postings that took."""
-        best = Window.partitionBy("qid").orderBy(F.col("s").desc(), "chunk_idx")
-        seeds = partial.select(*keys, "s").withColumn("r", F.row_number().over(best)).where(F.col("r") <= k).select(*keys)
-        whole = kept(matches(terms).join(seeds, keys, "left_semi").groupBy(*keys).agg(F.sum("s").alias("s"), F.count(F.lit(1)).alias("m")), name)
-        # Sums in another order may differ in their last digits; ranks compare nine decimals.
-        return whole.groupBy("qid").agg(F.when(F.count(F.lit(1)) >= k, F.min("s") - SLACK).otherwise(F.lit(0.0)).alias("least")), whole
-
-    one = F.lit(1).alias("m")
-    seeds = terms.where(F.col("before") < F.lit(SEED) * F.col("total"))
-    partial = kept(summed(matches(seeds).select("*", one)), "stage0")
-    least, whole = threshold(partial, "whole0")
-    least = kept(least, "least0")
-    staged = terms.join(least, "qid", "left").withColumn("least", F.coalesce("least", F.lit(0.0)))
-    reached = F.col("before") < F.lit(SEED) * F.col("total")
-    # Stage 1: all terms but a tail that can't reach the threshold alone; then the tail in parts.
-    stage = F.when(reached, 0).when(F.col("rest") >= F.col("least"), 1)
-    for i, share in enumerate(SHARES):
-        stage = stage.when(F.col("rest") >= F.lit(share) * F.col("least"), i + 2)
-    placed = kept(staged.withColumn("stage", stage.otherwise(len(SHARES) + 2)), "placed")
-    tallies = [("seeds", partial), ("whole seeds", whole)]
-    for i in range(1, len(SHARES) + 3):
-        added = matches(placed.where(F.col("stage") == i)).select("*", one)
-        if i > 1:  # chunks that are not there yet have none of the terms that could lift them
-            left = bounds.join(placed.where(F.col("stage") >= i).select("qid", "term"), ["qid", "term"], "left_semi").groupBy("qid", "block").agg(F.sum("ub").alias("left_"))
-            alive = partial.join(left, ["qid", "block"], "left").join(least, "qid", "left").where(F.col("s") + F.coalesce("left_", F.lit(0.0)) >= F.coalesce("least", F.lit(0.0)))
-            partial = alive.select(*keys, "doc_id", "block", "s", "m")
-            added = added.join(partial.select(*keys), keys, "left_semi")
-        before = partial.withColumn("m", F.lit(0))
-        partial = kept(summed(before.select(*keys, "doc_id", "block", "s", "m").unionByName(added.select(*keys, "doc_id", "block", "s", "m"))), f"stage{i}")
-        tallies.append((f"stage {i}", partial))
-        if i == 1:
-            better, whole = threshold(partial, "whole1")
-            tallies.append(("whole", whole))
-            least = kept(least.unionByName(better).groupBy("qid").agg(F.max("least").alias("least")), "least1")
-    # The last sums add a chunk's terms in another order than one sum does: those that are left are scored at once.
-    best = kept(top_chunks(partial.withColumnRenamed("s", "score"), k).select(*keys), "best")
-    final = matches(terms).join(best, keys, "left_semi").groupBy(*keys, "doc_id").agg(F.sum("s").alias("score"))
-    counted = [df.agg(F.coalesce(F.sum("m"), F.lit(0)).alias("scored")).select(F.lit(name).alias("stage"), "scored") for name, df in tallies]
-    counted.append(per_term.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("scored")).select(F.lit("matched").alias("stage"), "scored"))
-    return Bounded(top_chunks(final, k), reduce(DataFrame.unionByName, counted))
+    """The rows of ``top_chunks(score(index, questions), k)``, from bounds: see ``matching.bounded``. Terms that can't lift a
+    chunk to the best ones any more are not scored. What the tasks find is written once, below ``root`` (the shared folder by
+    default)."""
+    rows = bounded(index, _looked_for(index, questions), (k1, b), k)
+    at = f"{root or shared_root(questions.sparkSession)}/bounded-{uuid.uuid4().hex}"
+    rows.write.parquet(at)
+    found = questions.sparkSession.read.schema(rows.schema).parquet(at)
+    top = top_chunks(found.where("stage is null").select("qid", "chunk_idx", "doc_id", "score"), k)
+    none = questions.sparkSession.range(1).select(F.explode(F.array(F.lit("matched"), F.lit("seeds"))).alias("stage"), F.lit(0).cast("long").alias("scored"))
+    return Bounded(top, found.where("stage is not null").select("stage", "scored").unionByName(none).groupBy("stage").agg(F.sum("scored").alias("scored")))
 
 
 def rank_docs(pool: DataFrame, agg: str = "top3", k: int = TOP, doc_chunks: DataFrame | None = None, by: list[str] | None = None) -> DataFrame:

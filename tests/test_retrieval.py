@@ -346,3 +346,16 @@ def test_few_best_are_found_in_one_pass(spark, monkeypatch):
     monkeypatch.setattr(matching, "STEP", 20)
     monkeypatch.setattr(matching, "_least_of", None)
     assert every == [tuple(r) for r in scoring.top_chunks(scoring.score(idx, asked, k=7), 7).select("qid", "chunk_idx", "rnk").orderBy("qid", "rnk").collect()]
+
+
+def test_bounded_search_needs_no_postings(spark, tmp_path):
+    """Its tasks read the rows as they lie: no match and no posting is shuffled, and steps of chunks are its blocks."""
+    chunks = values(spark, [(i, i, " ".join(f"w{j}" for j in range(i % 7, 12) if (i * j) % 5)) for i in range(200)], "chunk_idx long, doc_id long, text string")
+    index.write_rows(index.packed(chunks), str(tmp_path))
+    index.write_terms(spark, str(tmp_path))
+    idx, asked = index.read_terms(spark, str(tmp_path)), values(spark, [(1, "w2 w3 w9"), (2, "w1 w11 w4 w4")], "qid long, question string")
+    idx.postings = idx.blocks = None
+    found = scoring.bounded_top_chunks(idx, asked, 5)
+    shown = lambda df: [(r["qid"], r["rnk"], r["chunk_idx"], round(r["score"], 9)) for r in df.orderBy("qid", "rnk").collect()]
+    assert shown(found.top) == shown(scoring.top_chunks(scoring.score(idx, asked), 5))
+    assert {r["stage"]: r["scored"] for r in scoring.bounded_top_chunks(idx, asked.where("false"), 5).tally.collect()} == {"matched": 0, "seeds": 0}

@@ -79,7 +79,11 @@ def escape_html(c: Column | str) -> Column:
     return out
 
 
+def quoted(term: str) -> str:
+    """A pattern for ``term`` itself."""
+    return "".join("\\" + ch if not (ch.isalnum() or ch.isspace() or ch == "_") else ch for ch in term)
+
+
 def whole_word(term: str) -> str:
     """A pattern for ``term`` between non-word characters."""
-    quoted = "".join("\\" + ch if not (ch.isalnum() or ch.isspace() or ch == "_") else ch for ch in term)
-    return NOT_AFTER_WORD + quoted + NOT_BEFORE_WORD
+    return NOT_AFTER_WORD + quoted(term) + NOT_BEFORE_WORD

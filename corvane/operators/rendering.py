@@ -10,9 +10,10 @@ from corvane.functions import text as T
 MOST_CHARS, SNIPPET = 400_000, 260
 
 # Fixed patterns of the legal texts that the defaults are for.
-OPENS = r"(?s)\A(Chương\s+[IVXLCDM\p{Nd}]|Điều\s+\p{Nd}|Mục\s+\p{Nd}|Phần\s+[IVXLCDM\p{Nd}]|\p{Nd}+\.\s|[a-zđ]\)\s|[-+*]\s).*"
+OPENS = r"\A(Chương\s+[IVXLCDM\p{Nd}]|Điều\s+\p{Nd}|Mục\s+\p{Nd}|Phần\s+[IVXLCDM\p{Nd}]|\p{Nd}+\.\s|[a-zđ]\)\s|[-+*]\s)"
 SEPARATOR = r"\A[-_=–—\s.]+\z"
-ENDS = r"""(?s).*[.;:!?]["')\]]?\z"""
+#: Of a line's last two characters: a search in the whole line would begin anew at each of its characters.
+ENDS = r"""[.;:!?]["')\]]?\z"""
 UNITS = ((r"\AChương\s+[IVXLCDM\p{Nd}]", "<h2>", "</h2>"), (r"\AMục\s+\p{Nd}", "<h4>", "</h4>"), (r"\A\p{Nd}+\.\s", '<p class="khoan">', "</p>"), (r"\A[a-zđ]\)\s", '<p class="diem">', "</p>"))
 HEADING = r"\AĐiều\s+(\p{Nd}+[a-zđ]?)"
 
@@ -24,7 +25,7 @@ def reflow(docs: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
     kept = raw.select(*keys, "i", T.strip("raw").alias("s")).where((F.col("s") != "") & ~F.col("s").rlike(SEPARATOR))
     order = Window.partitionBy(*keys).orderBy("i")
     before = F.lag("s").over(order)
-    grouped = kept.withColumn("b_", before).withColumn("g_", F.sum(F.when(F.col("b_").isNull() | F.col("s").rlike(OPENS) | F.col("b_").rlike(ENDS), 1).otherwise(0)).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    grouped = kept.withColumn("b_", before).withColumn("g_", F.sum(F.when(F.col("b_").isNull() | F.col("s").rlike(OPENS) | F.right("b_", F.lit(2)).rlike(ENDS), 1).otherwise(0)).over(order.rowsBetween(Window.unboundedPreceding, 0)))
     return grouped.groupBy(*keys, F.col("g_").cast("int").alias("line_no")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "s"))), lambda x: x["s"]), " ").alias("line"))
 
 
@@ -32,8 +33,10 @@ def highlight(escaped: Column, terms: list[str]) -> Column:
     """Marks whole occurrences of ``terms``, the longest first, in text that is escaped already."""
     if not terms:
         return escaped
-    quoted = "|".join(T.whole_word(t) for t in sorted(terms, key=lambda t: (-len(t), t)))
-    return F.regexp_replace(escaped, f"(?iu)({quoted})", "<mark>$1</mark>")
+    quoted = [T.quoted(t) for t in sorted(terms, key=lambda t: (-len(t), t))]
+    # At most places the first letter tells that no term begins there, before anything looks at what stands around.
+    begins = f"(?=[{''.join(sorted({T.quoted(t[0]) for t in terms}))}])" if all(terms) else ""
+    return F.regexp_replace(escaped, f"(?iu){begins}{T.NOT_AFTER_WORD}({'|'.join(quoted)}){T.NOT_BEFORE_WORD}", "<mark>$1</mark>")
 
 
 def anchor(label: Column) -> Column:

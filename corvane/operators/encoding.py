@@ -22,7 +22,7 @@ MOST_TOKENS, BATCH, SUPER_BATCH = 512, 64, 4096
 _TOKEN = re.compile(r"\w+")
 
 
-def cut(text: str, most: int) -> tuple[str, int]:
+def cut(text: str, most: float) -> tuple[str, int]:
     """The text up to the end of its token number ``most``, and how many tokens the whole has. A model with a tokenizer of its
     own brings its own ``cut``."""
     n, end = 0, 0
@@ -83,11 +83,11 @@ def encode(df: DataFrame, call: Callable[[list[str]], list], text: str = "text",
     return coded.withColumn(out, F.transform(V.truncated(F.col(out), dim), lambda x: x.cast("float"))) if dim else coded
 
 
-def score_pairs(df: DataFrame, call: Callable[[list[tuple[str, str]]], list], question: str = "question", text: str = "text", out: str = "logit", most: int = MOST_TOKENS, cut: Callable[[str, int], tuple[str, int]] = cut, **sizes: int) -> DataFrame:
+def score_pairs(df: DataFrame, call: Callable[[list[tuple[str, str]]], list], question: str = "question", text: str = "text", out: str = "logit", most: float = MOST_TOKENS, cut: Callable[[str, float], tuple[str, int]] = cut, **sizes: int) -> DataFrame:
     """``df`` with ``out``, what ``call`` gives for each pair of a question and a text, and the pair's ``n_tokens``.
 
-    A question is cut to ``most`` tokens, its text to what these leave. Pairs are ordered by their joint length. Nulls count as
-    empty texts."""
+    A question is cut to ``most`` tokens, its text to what these leave; ``math.inf`` cuts nothing. Pairs are ordered by their
+    joint length. Nulls count as empty texts."""
 
     def prepare(frame: pd.DataFrame) -> tuple[list, list[int]]:
         pairs, lengths = [], []

@@ -56,15 +56,18 @@ def hybrid_docs(pool: DataFrame, fusion: str = "linear", alpha: float = ALPHA, a
     return rank_docs(ranked_by(fuse(pool, fusion, alpha), "fused"), "max" if agg == "max" else "top3", k)
 
 
-def rerank_candidates(fused: DataFrame, n_docs: int = N_DOCS, m_chunks: int = M_CHUNKS) -> DataFrame:
+def rerank_candidates(fused: DataFrame, n_docs: int | None = N_DOCS, m_chunks: int | None = M_CHUNKS) -> DataFrame:
     """Chunks of a fused pool (qid, chunk_idx, doc_id, fused) that a reranker sees: those before the first chunk of document
-    ``n_docs + 1``, and of each document the first ``m_chunks``."""
+    ``n_docs + 1``, and of each document the first ``m_chunks``. None: all documents, all chunks of a document."""
     order = Window.partitionBy("qid").orderBy(F.round("fused", 9).desc(), "chunk_idx")
     walked = fused.withColumn("rn", F.row_number().over(order)).withColumn("first_", F.min("rn").over(Window.partitionBy("qid", "doc_id")))
     seen = walked.withColumn("nth_", F.dense_rank().over(Window.partitionBy("qid").orderBy("first_")))
-    stop = F.min(F.when(F.col("nth_") == n_docs + 1, F.col("rn"))).over(Window.partitionBy("qid"))
-    before = seen.withColumn("stop_", stop).where(F.col("stop_").isNull() | (F.col("rn") < F.col("stop_")))
-    kept = before.withColumn("in_doc", F.row_number().over(Window.partitionBy("qid", "doc_id").orderBy("rn"))).where(F.col("in_doc") <= m_chunks)
+    if n_docs is not None:
+        stop = F.min(F.when(F.col("nth_") == n_docs + 1, F.col("rn"))).over(Window.partitionBy("qid"))
+        seen = seen.withColumn("stop_", stop).where(F.col("stop_").isNull() | (F.col("rn") < F.col("stop_")))
+    kept = seen.withColumn("in_doc", F.row_number().over(Window.partitionBy("qid", "doc_id").orderBy("rn")))
+    if m_chunks is not None:
+        kept = kept.where(F.col("in_doc") <= m_chunks)
     return kept.drop("first_", "nth_", "stop_")
 
 

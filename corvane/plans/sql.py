@@ -169,9 +169,11 @@ _FUSIONS = f"{COMPARED}, {docs('top3', 20, source='fpool', by=_BY)}, {GOLD}, {me
 _AGGREGATORS = f"""{BM25}, {pool(3000)}, {docs("max", 20, "r1")}, {docs("top3", 20, "r2")}, {docs("top3_log", 20, "r3")}, {GOLD},
 ranked AS (SELECT *, 'max' AS agg FROM r1 UNION ALL SELECT *, 'top3' FROM r2 UNION ALL SELECT *, 'top3_log' FROM r3), {metrics(by=", agg")}"""
 _ASKED = f"list_distinct({tokens('question')})"
-_SEEN = f"{tokens('c.text')}[1:greatest(0, 512 - len({tokens('question')}))]"
+_SEEN = tokens("c.text")
 _LOGITS = f"logits AS (SELECT candidates.*, CASE WHEN len({_ASKED}) > 0 THEN len(list_intersect({_ASKED}, list_distinct({_SEEN})))::DOUBLE / len({_ASKED}) ELSE 0 END AS logit FROM candidates JOIN asked USING (qid) JOIN (SELECT chunk_idx, text FROM chunks) c USING (chunk_idx)), blended AS (SELECT qid, chunk_idx, doc_id, 0.6::DOUBLE * {minmax('logit')} + (1 - 0.6::DOUBLE) * {minmax('fused')} AS fused FROM logits)"
-_SYSTEMS = f"""{CANDIDATES}, {_LOGITS}, {REFUSED}, {docs("top3", 20, "r1", "fpool")}, {REFUSED.replace("fpool AS", "bpool AS").replace("FROM fused", "FROM blended")}, {docs("top3", 20, "r2", "bpool")}, {GOLD},
+# A reranker sees the whole pool of a question.
+_EVERY = f"{fused(LINEAR)}, candidates AS (SELECT * FROM fused)"
+_SYSTEMS = f"""{_EVERY}, {_LOGITS}, {REFUSED}, {docs("top3", 20, "r1", "fpool")}, {REFUSED.replace("fpool AS", "bpool AS").replace("FROM fused", "FROM blended")}, {docs("top3", 20, "r2", "bpool")}, {GOLD},
 ranked AS (SELECT *, 'hybrid' AS system FROM r1 UNION ALL SELECT *, 'reranked' FROM r2), {metrics(by=", system")}"""
 
 
@@ -231,7 +233,7 @@ ORACLES = {
     "fusion_rrf": f"{fused(RRF)} SELECT qid, chunk_idx, round(fused, 6) AS fused FROM fused",
     "hybrid_docs": f"{fused(LINEAR)}, {REFUSED}, {docs('top3', 5, source='fpool')} {RANKED}",
     "rerank_candidates": f"{CANDIDATES} SELECT qid, chunk_idx, doc_id, rn, in_doc FROM candidates",
-    "rerank_blend": f"{CANDIDATES}, {_LOGITS}, {REFUSED.replace('FROM fused', 'FROM blended')}, {docs('top3', 5, source='fpool')} {RANKED}",
+    "rerank_blend": f"{_EVERY}, {_LOGITS}, {REFUSED.replace('FROM fused', 'FROM blended')}, {docs('top3', 5, source='fpool')} {RANKED}",
     "bm25_expanded_docs": f"WITH {VARIANTS}, combined AS (SELECT qid, chunk_idx, doc_id, greatest(o, e) AS score FROM both_), {pool(1000, source='combined')}, {docs('top3', 5)} {RANKED}",
     "encode_lengths": f"WITH {CHUNKS}, sized AS (SELECT len({tokens('text')}) AS n FROM chunks) SELECT count(*) AS n_texts, round(quantile_cont(n, 0.5), 6) AS median, round(quantile_cont(n, 0.9), 6) AS p90, round(quantile_cont(n, 0.99), 6) AS p99, max(n) AS longest, round(avg((n > 128)::INT), 6) AS truncated FROM sized",
     "expand_rules": f"WITH {EXPANSIONS} SELECT qid, array_to_string(terms, '|') AS terms, normalized AS normalized_query FROM expanded",

@@ -10,8 +10,11 @@ from pyspark.sql import functions as F
 from corvane.functions import json as J
 from corvane.functions import text as T
 from corvane.sources.corpus import append_expansions, cached_expansions
+from corvane.sources.products import stored
 
 MOST_TERMS, REPEATED, WEIGHT = 12, 4, 0.3
+#: Jobs in which the batches of a cache are written at most, however many these are.
+ROUNDS = 8
 
 # Abbreviations and phrase rules of the legal questions that the defaults are for, in order.
 ABBREVIATIONS = (
@@ -139,15 +142,18 @@ def build_cache(questions: DataFrame, path: str, expand: Callable[[DataFrame], D
     """The cache at ``path``, made whole for ``questions`` (qid, question) by ``expand`` (``expand_rules`` or ``generated``).
 
     Questions that the cache has are not expanded again. The others are dealt into batches by a hash of their qid, a folder
-    each: a run that is interrupted keeps what its whole batches hold, and one that is repeated gives the same rows.
+    each, which are written in at most ``ROUNDS`` jobs: a run that is interrupted keeps what its whole jobs hold, and one that
+    is repeated gives the same rows.
     """
     spark = questions.sparkSession
     asked = questions.select(F.col("qid").cast("string").alias("qid"), "question").where("qid is not null").dropDuplicates(["qid"])
     held = cached_expansions(spark, path)
-    left, last = missing(asked, held), held.agg(F.max("batch")).first()[0]
-    n = -(-left.count() // batch_rows)
-    first = 0 if last is None else last + 1
-    numbered = left.withColumn("part", F.pmod(F.xxhash64("qid"), F.lit(max(1, n))))
-    for part in range(n):
-        append_expansions(expand(numbered.where(F.col("part") == part).drop("part")), path, first + part)
+    last = held.agg(F.max("batch")).first()[0]
+    # Written: each job reads its own questions of them, and none looks into the cache or for repeated ones again.
+    left = stored(missing(asked, held), "questions")
+    n, first = -(-left.count() // batch_rows), 0 if last is None else last + 1
+    part, step = F.pmod(F.xxhash64("qid"), F.lit(max(1, n))), max(1, -(-n // ROUNDS))
+    for begin in range(0, n, step):
+        of_job = left.where(part.between(begin, begin + step - 1))
+        append_expansions(expand(of_job.repartition(part) if step > 1 else of_job), path, part + F.lit(first))
     return cached_expansions(spark, path)

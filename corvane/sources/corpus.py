@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 DOCUMENT = "id long, name string, link string, passage string"
@@ -69,11 +69,15 @@ def write_expansions(rows: DataFrame, path: str) -> None:
 CACHED = "qid string, question string, normalized_query string, expansion_terms array<string>, source string, batch int"
 
 
-def append_expansions(rows: DataFrame, path: str, batch: int) -> None:
+def append_expansions(rows: DataFrame, path: str, batch: int | Column) -> None:
     """Writes ``rows`` (qid, question, normalized_query, expansion_terms, source) as batch number ``batch`` of the cache at
-    ``path``. A batch that is written again replaces itself; one that was interrupted has no file that counts."""
+    ``path``. A batch that is written again replaces itself; one that was interrupted has no file that counts. A column deals
+    the rows into the batches of its numbers, all in one job."""
     named = rows.select(F.col("qid").cast("string").alias("qid"), "question", "normalized_query", "expansion_terms", "source")
-    named.write.mode("overwrite").parquet(f"{path}/batch={batch}")
+    if isinstance(batch, Column):
+        named.withColumn("batch", batch.cast("int")).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(path)
+    else:
+        named.write.mode("overwrite").parquet(f"{path}/batch={batch}")
 
 
 def cached_expansions(spark: SparkSession, path: str) -> DataFrame:

@@ -153,7 +153,9 @@ def build_cache(questions: DataFrame, path: str, expand: Callable[[DataFrame], D
     left = stored(missing(asked, held), "questions")
     n, first = -(-left.count() // batch_rows), 0 if last is None else last + 1
     part, step = F.pmod(F.xxhash64("qid"), F.lit(max(1, n))), max(1, -(-n // ROUNDS))
+    # A number of tasks is given, as few questions are much work for a model.
+    tasks = min(step, 4 * spark.sparkContext.defaultParallelism)
     for begin in range(0, n, step):
         of_job = left.where(part.between(begin, begin + step - 1))
-        append_expansions(expand(of_job.repartition(part) if step > 1 else of_job), path, part + F.lit(first))
+        append_expansions(expand(of_job.repartition(tasks, part) if step > 1 else of_job), path, part + F.lit(first))
     return cached_expansions(spark, path)
